@@ -39,7 +39,7 @@ def test_a_stream_without_seek_table_is_walked_and_offsets_are_given():
 
 
 def bits_of(*fields):
-    text = "".join(f"{v & (1 << w) - 1:0{w}b}" for v, w in fields)
+    text = "".join(f"{v & (1 << w) - 1:0{w}b}" for v, w in fields if w)
     text += "0" * (-len(text) % 8)
     return int(text, 2).to_bytes(len(text) // 8, "big")
 
