@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, media_flac, simhash_gray
+from . import common, media_flac, quality_rules, simhash_gray
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_near_dedup": lambda s, d: simhash_gray.digest(_documents(s, d)),
+        "op9_quality_rules": lambda s, d: quality_rules.digest(_documents(s, d), common.table(s, d, "labels")),
         "op10_media_flac": lambda s, d: media_flac.media_digest(_documents(s, d)),
     }
 
