@@ -120,4 +120,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     model = fit(docs, labels)
     df = features(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text")), model)
-    return df.where("kept").select("row.*")
+    # A plain filter would be pushed below the projections and evaluate them many times over.
+    df = df.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row"))
+    return df.where("row IS NOT NULL").select("row.*")

@@ -72,7 +72,7 @@ def test_against_the_plain_definition(spark, monkeypatch, lookups):
         sep = rnd.choice([" ", "\n", "  "])
         rows.append((i, sep.join(rnd.choices(vocab[: rnd.randrange(5, 68)], k=rnd.randrange(1, 150)))))
     labels = [(i, i % 3 % 2, None) for i in range(60)] + [(None, 1, 0), (4, 1, 0), (4, 1, 0)]
-    df = spark.createDataFrame([(*r, "clash", 7) for r in rows], "doc_id long, text string, words string, ratio long")
+    df = spark.createDataFrame([(*r, "clash", 7) for r in rows], "doc_id long, text string, words string, ratio long").repartition(2)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     same(m.digest(df, lab).collect(), slow(rows, {i for i, q, _ in labels if q == 1 and i is not None}))
     kept = m.keep_good(df, lab)
@@ -83,5 +83,5 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert m.digest(docs, lab).count() == 0
-    some = spark.createDataFrame([(1, "w " * 20 + " ".join(f"v{i}" for i in range(60)))], "doc_id long, text string")
+    some = spark.createDataFrame([(1, "w " * 20 + " ".join(f"v{i}" for i in range(60)))], "doc_id long, text string").repartition(2)
     assert m.digest(some, lab).first().kept
