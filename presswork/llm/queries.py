@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, media_flac, quality_rules, simhash_gray
+from . import bpe_rounds, common, media_flac, packing, quality_rules, simhash_gray, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,9 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_near_dedup": lambda s, d: simhash_gray.digest(_documents(s, d)),
+        "op4_packing": lambda s, d: packing.packed(_documents(s, d), public_tokenizers.path("byte_bpe_50k.json")),
+        "op5_bpe_rounds": lambda s, d: bpe_rounds.digest(_documents(s, d), public_tokenizers.path("word_bpe_49k.json")),
+        "op6_token_files": lambda s, d: token_files.digest(_documents(s, d), public_tokenizers.path("word_bpe_49k.json")),
         "op9_quality_rules": lambda s, d: quality_rules.digest(_documents(s, d), common.table(s, d, "labels")),
         "op10_media_flac": lambda s, d: media_flac.media_digest(_documents(s, d)),
     }
