@@ -344,3 +344,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the text of each row that loses words replaced by the words that stay, joined by one space."""
+    new, mark, key = (common.fresh(docs, c) for c in ("kept_text", "text_mark", "kept_key"))
+    changed = without_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("kept").alias(new)).dropDuplicates([key, mark])
+    same = (docs["doc_id"].cast("long") == F.col(key)) & (F.crc32(docs["text"].cast("binary")) == F.col(mark))
+    out = docs.join(changed, same, "left")
+    return out.select(*[F.coalesce(F.col(new), docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
