@@ -94,6 +94,19 @@ def margins(raw: list[bytes], value: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
+def _gram_lists(words: list[bytes], chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words' n-grams in a row, and how many each word has."""
+    grams, counts = [], []
+    for k in range(0, len(words), chunk):
+        g = Grams(words[k : k + chunk])
+        place = np.concatenate([np.flatnonzero(v).astype(np.int32) for v in g.valid])
+        bucket = np.concatenate([b[v] for b, v in zip(g.bucket, g.valid)])
+        owner = np.searchsorted(g.at, place, "right") - 1
+        grams.append(bucket[np.argsort(owner, kind="stable")])
+        counts.append(np.bincount(owner, minlength=len(g.at)))
+    return np.concatenate(grams), np.concatenate(counts)
+
+
 def train(raw: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     """(a margin for each bucket, bias) of embeddings and softmax trained together."""
     if not len(raw) or toxic.all() or not toxic.any():
@@ -105,11 +118,7 @@ def train(raw: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, float]:
     keep = [k for k, t in enumerate(tokens) if len(t)]
     y = toxic[keep].astype(np.float64)
     tokens = [tokens[k] for k in keep]
-    g = Grams(list(number))
-    order, bucket = np.concatenate([np.flatnonzero(v) for v in g.valid]), np.concatenate([b[v] for b, v in zip(g.bucket, g.valid)])
-    owner = np.searchsorted(g.at, order, "right") - 1
-    by = np.argsort(owner, kind="stable")
-    grams, count = bucket[by], np.bincount(owner, minlength=len(g.at))
+    grams, count = _gram_lists(list(number))
     at = np.cumsum(count) - count
     flat = np.concatenate(tokens)
     n = np.fromiter(map(len, tokens), np.int64, len(tokens))
