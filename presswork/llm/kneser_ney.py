@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TRUSTED_ROWS = 4000
+TRUSTED_ROWS = 2000
 QUANTILE, SLACK = 0.99, 1.5
+#: Shorter documents give no steady perplexity; they are scored and kept.
+LEAST_WORDS = 20
 SLICE = 1 << 20
 _EDGE = np.uint64(0x5EED5EED5EED5EED)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -167,4 +169,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     every = found.groupBy(F.col("lang").alias("of")).agg(cut("every"))
     limits = every.join(own, every["of"].eqNullSafe(own["of"]), "left").select(every["of"], (F.coalesce("own", "every") * SLACK).alias("threshold"))
     out = found.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("of")), "left")
-    return out.select("doc_id", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "perplexity", "threshold", (F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) | (F.col("n_words") < LEAST_WORDS)).alias("kept"))
