@@ -86,7 +86,7 @@ def _level(counts: DataFrame, context: list[str], d: tuple[float, float, float])
     """(counts with p: the discounted share of its context), (context with g: the weight left to the lower order)."""
     cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
     total = counts.groupBy(*context).agg(F.sum("n").alias("all"), F.sum(cut).alias("left"))
-    shares = counts.join(total, context) if context else counts.crossJoin(F.broadcast(total))
+    shares = counts.join(total, context)
     return shares.withColumn("p", F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("all")), total.withColumn("g", F.col("left") / F.col("all"))
 
 
