@@ -421,3 +421,46 @@ def latest_upsert(s, d):
 def census_drift(s, d):
     nodes = readers.table(s, d, "events").withColumnRenamed("event_type", "type")
     return extensions.census_drift(extensions.census(nodes.where("event_id % 2 = 0")), extensions.census(nodes.where("event_id % 2 = 1 AND type <> 'error'")))
+
+
+@query("cluster_evict", "SELECT cluster_id, CASE WHEN latest_at < TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 1 DAY THEN 'evicted' ELSE 'open' END AS window_status FROM (SELECT user_id AS cluster_id, max(ts) AS latest_at FROM events GROUP BY user_id) t")
+def cluster_evict(s, d):
+    clusters = readers.table(s, d, "events").groupBy(F.col("user_id").alias("cluster_id")).agg(F.max("ts").alias("latest_at")).withColumn("window_status", F.lit("open"))
+    return extensions.evict(clusters, ts("2024-01-29 12:00:00"), 1).select("cluster_id", "window_status")
+
+
+@query("fallback_reasons", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN vec_id % 7 = 0 THEN 'service_unavailable' WHEN (vec_id % 100) / 100.0 < 0.5 THEN 'low_confidence' ELSE 'none' END AS reason FROM embeddings) t GROUP BY reason")
+def fallback_reasons(s, d):
+    confidence = F.when(F.col("vec_id") % 7 != 0, (F.col("vec_id") % 100) / 100)
+    rows = readers.table(s, d, "embeddings").select(extensions.fallback_reason(confidence).alias("reason"))
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- the wire ----------------------------------------------------------------------------------
+
+
+@query("wire_classify_requests", "SELECT doc_id, CASE WHEN doc_id % 9 > 0 THEN 1 END AS n_items, CASE WHEN doc_id % 9 > 0 THEN length(text) END AS n_chars FROM documents")
+def wire_classify_requests(s, d):
+    item = F.struct(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("").alias("title"), "text")
+    body = F.when(F.col("doc_id") % 9 > 0, F.to_json(F.struct(F.array(item).alias("items")))).otherwise("no json")
+    parsed = readers.read_requests(readers.table(s, d, "documents").withColumn("body", body), readers.CLASSIFY_REQUEST)
+    items = F.col("request.items")
+    return parsed.select("doc_id", F.when(items.isNotNull(), F.size(items)).alias("n_items"), F.length(F.get(items, 0)["text"]).alias("n_chars"))
+
+
+@query("wire_job_bodies", "SELECT j.id, '{\"public_id\":\"' || j.public_id || '\",\"status\":\"' || j.status || '\",\"items\":[' || string_agg('{\"item_id\":\"' || i.item_id || '\",\"id\":' || CAST(i.id AS VARCHAR) || '}', ',' ORDER BY i.item_id, i.id) || ']}' AS body FROM summarize_job j JOIN summarize_job_item i ON i.job_id = j.id GROUP BY j.id, j.public_id, j.status", "summarize_job", "summarize_job_item")
+def wire_job_bodies(s, d):
+    packed = jobs.with_items(view(s, d, "summarize_job"), view(s, d, "summarize_job_item").select("id", "job_id", "item_id"))
+    return readers.job_json(packed.where("items IS NOT NULL"))
+
+
+@query("public_ids", "SELECT v, CASE WHEN regexp_full_match(v, '[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}') THEN lower(v) END AS public_id FROM (VALUES ('0A0a0a0a-0000-4000-8000-00000000000b'), ('nonsense'), (''), ('0a0a0a0a-0000-4000-8000-00000000000g')) t(v)")
+def public_ids(s, d):
+    df = s.createDataFrame([("0A0a0a0a-0000-4000-8000-00000000000b",), ("nonsense",), ("",), ("0a0a0a0a-0000-4000-8000-00000000000g",)], "v string")
+    return df.select("v", inference.public_id(F.col("v")).alias("public_id"))
+
+
+@query("bearer_tokens", "SELECT * FROM (VALUES (1, 'abc'), (2, NULL), (3, NULL), (4, 'x y')) t(id, token)")
+def bearer_tokens(s, d):
+    df = s.createDataFrame([(1, "Bearer  abc "), (2, "Bearer   "), (3, "Basic abc"), (4, "bearer x y")], "id int, header string")
+    return df.select("id", inference.bearer_token(F.col("header")).alias("token"))
