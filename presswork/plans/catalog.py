@@ -331,7 +331,7 @@ def simhash_decode(s, d):
     return view(s, d, "canonical_record").select("article_id", bits.simhash_from_db(F.col("simhash")).cast("string").alias("simhash"))
 
 
-@query("simhash_hamming", "SELECT a.article_id, bit_count(xor(a.simhash, b.simhash)) AS distance FROM canonical_record a JOIN canonical_record b ON b.article_id = a.article_id + 1", "canonical_record")
+@query("simhash_hamming", "SELECT a.article_id, CAST(bit_count(xor(a.simhash, b.simhash)) AS INT) AS distance FROM canonical_record a JOIN canonical_record b ON b.article_id = a.article_id + 1", "canonical_record")
 def simhash_hamming(s, d):
     df = view(s, d, "canonical_record").select("article_id", "simhash")
     other = df.select((F.col("article_id") - 1).alias("article_id"), F.col("simhash").alias("other"))
@@ -445,7 +445,7 @@ def wire_classify_requests(s, d):
     body = F.when(F.col("doc_id") % 9 > 0, F.to_json(F.struct(F.array(item).alias("items")))).otherwise("no json")
     parsed = readers.read_requests(readers.table(s, d, "documents").withColumn("body", body), readers.CLASSIFY_REQUEST)
     items = F.col("request.items")
-    return parsed.select("doc_id", F.when(items.isNotNull(), F.size(items)).alias("n_items"), F.length(F.get(items, 0)["text"]).alias("n_chars"))
+    return parsed.select("doc_id", F.when(items.isNotNull(), F.size(items)).alias("n_items"), F.length(F.get(items, 0)["text"]).cast("bigint").alias("n_chars"))
 
 
 @query("wire_job_bodies", "SELECT j.id, '{\"public_id\":\"' || j.public_id || '\",\"status\":\"' || j.status || '\",\"items\":[' || string_agg('{\"item_id\":\"' || i.item_id || '\",\"id\":' || CAST(i.id AS VARCHAR) || '}', ',' ORDER BY i.item_id, i.id) || ']}' AS body FROM summarize_job j JOIN summarize_job_item i ON i.job_id = j.id GROUP BY j.id, j.public_id, j.status", "summarize_job", "summarize_job_item")
