@@ -12,12 +12,17 @@ TOPIC, TOPIC_CONFIDENCE = "Technology", 0.94
 FALLBACK_TOPIC, FALLBACK_CONFIDENCE = "Other", 0.31
 WITHHELD_SCORE, SUMMARY_SCORE = 0.42, 0.97
 WITHHELD_REASON = "below_faithfulness_bar"
-SENTENCES = ("First canned sentence.", "Second canned sentence.", "Third canned sentence.")
+SENTENCES = (
+    "A canned summary standing in for model output.",
+    "The shapes, limits and error model are real; this prose is not.",
+    "Real summarization replaces this without changing the contract.",
+)
+NO_DOCUMENTS, TOO_LARGE = "no documents supplied", "%d characters exceeds the %d limit"
 TAXONOMY_VERSIONS = ("v1",)
 
 
 def too_large(n: Column) -> Column:
-    return F.format_string("item has %d characters; the limit is %d", n.cast("int"), F.lit(MAX_CHARS))
+    return F.format_string(TOO_LARGE, n.cast("int"), F.lit(MAX_CHARS))
 
 
 def classify_text(text: Column) -> Column:
@@ -59,7 +64,7 @@ def summarize_documents(documents: Column, max_sentences: Column) -> Column:
         F.when(~bad & thin, WITHHELD_REASON).alias("withhold_reason"),
         F.when(~bad, provenance(documents)).alias("provenance"),
         F.when(empty, "invalid_request").when(big, "item_too_large").alias("error_code"),
-        F.when(empty, "item has no documents").when(big, too_large(n)).alias("error_message"),
+        F.when(empty, NO_DOCUMENTS).when(big, too_large(n)).alias("error_message"),
     )
 
 

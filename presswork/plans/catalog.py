@@ -166,7 +166,7 @@ def summarize_input(s: SparkSession, d: str) -> DataFrame:
     return conv.unionByName(single.select(F.concat(F.lit("d"), "doc_id").alias("item_id"), docs.alias("documents"), F.lit(None).cast("int").alias("max_sentences")))
 
 
-@query("classify_items", "SELECT doc_id, CASE WHEN length(text) > 20000 THEN NULL WHEN length(text) < 200 THEN 'Other' ELSE 'Technology' END AS topic, CASE WHEN length(text) > 20000 THEN NULL WHEN length(text) < 200 THEN CAST(0.31 AS DOUBLE) ELSE CAST(0.94 AS DOUBLE) END AS confidence, CASE WHEN length(text) <= 20000 THEN length(text) < 200 END AS fallback, CASE WHEN length(text) > 20000 THEN 'item_too_large' END AS error_code, CASE WHEN length(text) > 20000 THEN 'item has ' || CAST(length(text) AS VARCHAR) || ' characters; the limit is 20000' END AS error_message FROM documents")
+@query("classify_items", "SELECT doc_id, CASE WHEN length(text) > 20000 THEN NULL WHEN length(text) < 200 THEN 'Other' ELSE 'Technology' END AS topic, CASE WHEN length(text) > 20000 THEN NULL WHEN length(text) < 200 THEN CAST(0.31 AS DOUBLE) ELSE CAST(0.94 AS DOUBLE) END AS confidence, CASE WHEN length(text) <= 20000 THEN length(text) < 200 END AS fallback, CASE WHEN length(text) > 20000 THEN 'item_too_large' END AS error_code, CASE WHEN length(text) > 20000 THEN CAST(length(text) AS VARCHAR) || ' characters exceeds the 20000 limit' END AS error_message FROM documents")
 def classify_items(s, d):
     return readers.table(s, d, "documents").select("doc_id", inference.classify_text(F.col("text")).alias("r")).select("doc_id", "r.*")
 
@@ -184,7 +184,8 @@ def taxonomy_versions(s, d):
     return df.select("requested", inference.taxonomy_version(F.col("requested")).alias("version"), inference.taxonomy_supported(F.col("requested")).alias("supported"))
 
 
-_SUMMARY = "SELECT item_id, CASE WHEN n BETWEEN 200 AND 20000 THEN CASE least(greatest(coalesce(sentences, 3), 1), 3) WHEN 1 THEN 'First canned sentence.' WHEN 2 THEN 'First canned sentence. Second canned sentence.' ELSE 'First canned sentence. Second canned sentence. Third canned sentence.' END END AS summary, CASE WHEN n < 200 THEN CAST(0.42 AS DOUBLE) WHEN n <= 20000 THEN CAST(0.97 AS DOUBLE) END AS faithfulness_score, CASE WHEN n <= 20000 THEN n < 200 END AS withheld, CASE WHEN n < 200 THEN 'below_faithfulness_bar' END AS withhold_reason, CASE WHEN n <= 20000 THEN urls END AS provenance, CASE WHEN n IS NULL THEN 'invalid_request' WHEN n > 20000 THEN 'item_too_large' END AS error_code"
+_TEXT = [" ".join(inference.SENTENCES[:k]) for k in (1, 2, 3)]
+_SUMMARY = "SELECT item_id, CASE WHEN n BETWEEN 200 AND 20000 THEN CASE least(greatest(coalesce(sentences, 3), 1), 3) WHEN 1 THEN '" + _TEXT[0] + "' WHEN 2 THEN '" + _TEXT[1] + "' ELSE '" + _TEXT[2] + "' END END AS summary, CASE WHEN n < 200 THEN CAST(0.42 AS DOUBLE) WHEN n <= 20000 THEN CAST(0.97 AS DOUBLE) END AS faithfulness_score, CASE WHEN n <= 20000 THEN n < 200 END AS withheld, CASE WHEN n < 200 THEN 'below_faithfulness_bar' END AS withhold_reason, CASE WHEN n <= 20000 THEN urls END AS provenance, CASE WHEN n IS NULL THEN 'invalid_request' WHEN n > 20000 THEN 'item_too_large' END AS error_code"
 
 
 @query("summarize_items", f"{_SUMMARY} FROM ({_ITEMS}) t")
