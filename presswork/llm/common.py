@@ -50,6 +50,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, kind: str) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder, for results that are read by column or kind."""
+    path = scratch(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Ids that are broadcast at most (8 bytes each, some 64 as a hash table).
+BROADCAST_IDS = 1_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A frame of distinct ids, to be broadcast if it is counted to be small; else Spark shuffles both sides."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -1,48 +1,73 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of words.
 
-The model learns from trusted texts: at most ``TRUSTED_ROWS`` documents labelled
-quality 1 (those with the least hash of their id), which bounds it. Counts,
-continuation counts and their joins are Spark aggregations sharded by n-gram
-hash: trigrams give the context sums of pairs, pairs give the continuation sums
-of words, and each level's discounts come from its counts of counts. The tables
-of adjusted probabilities and back-off weights are then looked up by binary
-search in sorted 64-bit keys while every document is scanned once; nothing of
-the corpus is shuffled but one small row a document.
+The model learns from all trusted texts (labelled quality 1), so what it counts
+grows with the input; only every ``FOLD``-th trusted document (by a hash of its
+id) is left out, to set the thresholds. Counts and lookups are sharded joins.
+Each slice of texts packs its trigrams into flat arrays, one row a shard:
+
+1. trigrams go to the shard of their middle word, where trigram counts, context
+   sums and, for each pair, the number of words before it are all local;
+2. pair counts give the number of words before each word, in shards by word;
+3. the shares of single words come back to the pairs (a join by word);
+4. the trigrams of every document meet trigram and pair tables in the shard of
+   the middle word; those whose pair was never seen go on to the shard of their
+   last word; sums of log probabilities come back to the document's slice.
+
+No table of the model is broadcast or collected: the driver sees ``COUNTERS``
+word counts and the counts of counts. The number of shards follows the number
+of words, so a shard's tables fit one task at any size. A middle word that
+fills more than a shard is split by the word before it; its pair table, one row
+a pair, is copied to each part. Words are known by 48 bits of their hash.
 
 A document is kept when its perplexity does not exceed its language's
-threshold: the ``QUANTILE`` of trusted documents of that language that the model
-has not seen, times ``SLACK``. Languages without such documents use all of them.
-
-Edge cases: null or empty text has no words, perplexity 1 and is kept; null ids
-are scored and never trusted; a null language is a language of its own; repeated
-rows score alike; without any trusted text perplexity is null and all is kept;
-an empty table gives an empty table; other columns are not read.
+threshold: the ``QUANTILE`` of the left-out trusted documents of that language,
+times ``SLACK``. Languages without such documents use all of theirs. Quantiles
+are exact over log perplexities rounded to 1/``STEPS``, so they need a bounded
+number of counts.
+
+Edge cases: null or empty text has no words, perplexity 1 and is kept; documents
+under ``LEAST_WORDS`` words are scored and kept; null ids are scored and never
+trusted; a null language is a language of its own; repeated rows score alike;
+without any trusted text perplexity is null and all is kept; an empty table
+gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-TRUSTED_ROWS = 2000
-QUANTILE, SLACK = 0.99, 1.5
+#: One trusted document in FOLD sets thresholds instead of being counted.
+FOLD = 8
+QUANTILE, SLACK, STEPS = 0.99, 1.5, 10_000
 #: Shorter documents give no steady perplexity; they are scored and kept.
 LEAST_WORDS = 20
 SLICE = 1 << 20
-_EDGE = np.uint64(0x5EED5EED5EED5EED)
+COUNTERS = 1 << 14
+WORDS_A_SHARD = 1 << 21
+
+_LOW = np.uint64((1 << 48) - 1)
+_EDGE = np.uint64(0x5EED5EED5EED)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
+ROW = "shard int, kind int, slice long, n long, a binary, b binary, c binary, d binary, e binary"
+#: Kinds of rows, in the order in which a shard reads them: model tables, then questions.
+GRAM3, GRAM2, WORD, ASK, PART, BASE, STAT = range(7)
+Rows = Iterator[tuple]
+
 
 def contexts(raw: list[bytes]) -> tuple[common.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each word and of the two before it; a fixed hash stands before a text."""
+    """Hashes of the two words before each word and of the word; a fixed hash stands before a text."""
     w = common.Words(raw)
-    h = common.word_hashes(w)
+    h = common.word_hashes(w) & _LOW
     place = np.arange(len(h)) - w.first[:-1][w.doc]
     back = lambda k: np.where(place >= k, np.concatenate((np.full(k, _EDGE), h))[: len(h)], _EDGE)
     return w, back(2), back(1), h
@@ -56,25 +81,117 @@ def triple_key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return common.mix(pair_key(a, b) * _B + c)
 
 
-def trusted_ids(labels: DataFrame) -> DataFrame:
-    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted")).distinct()
-    return ids.orderBy(F.xxhash64("trusted"), "trusted").limit(TRUSTED_ROWS)
+class Layout:
+    """How many shards there are, and how many parts each middle word has."""
 
+    def __init__(self, counts: np.ndarray, least: int):
+        total = int(counts.sum())
+        self.shards = max(least, -(-total // WORDS_A_SHARD))
+        self.parts = np.clip(-(-counts * self.shards // max(total, 1)), 1, self.shards)
 
-def trigrams(docs: DataFrame) -> DataFrame:
-    """(u, v, w, n) of all words of docs (doc_id, text)."""
+    @staticmethod
+    def counter(v: np.ndarray) -> np.ndarray:
+        return (common.mix(v.copy()) & np.uint64(COUNTERS - 1)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, limit=SLICE):
-            _, u, v, w = contexts(common.texts(part.column(1)))
-            yield common.record(**{k: pa.array(x.view(np.int64), pa.int64()) for k, x in zip("uvw", (u, v, w))})
+    def by_word(self, w: np.ndarray, part: np.ndarray | int = 0) -> np.ndarray:
+        return (common.mix(w * _B + np.asarray(part, np.uint64)) % np.uint64(self.shards)).astype(np.int64)
+
+    def by_middle(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return self.by_word(v, common.mix(u.copy()) % self.parts[self.counter(v)].astype(np.uint64))
+
+    def copies(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in v, shard) for each shard that a part of the word goes to."""
+        n = self.parts[self.counter(v)]
+        at = np.repeat(np.arange(len(v)), n)
+        both = np.unique(at * self.shards + self.by_word(v[at], np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)))
+        return both // self.shards, both % self.shards
+
+
+def _six(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
+def _four(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4").astype(np.int64)
+
+
+def _deal(kind: int, shard: np.ndarray, slice_: int, columns: list[np.ndarray | None]) -> Rows:
+    """One row a shard; columns are 48-bit words (uint64) or counts (anything else, as given)."""
+    order = np.argsort(shard, kind="stable")
+    shard = shard[order]
+    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+    flat = [None if c is None else _six(c[order]) if c.dtype == np.uint64 else c[order] for c in columns]
+    flat += [None] * (5 - len(flat))
+    for a, b in zip(cut, [*cut[1:], len(shard)]):
+        yield int(shard[a]), kind, slice_, int(b - a), *(None if c is None else c[a:b].tobytes() for c in flat)
+
+
+def _batches(rows: Rows) -> Iterator[pa.RecordBatch]:
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    names = [f.split()[0] for f in ROW.split(", ")]
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(x) for x in row[4:] if x)
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Rows:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, 64).columns))
+
+
+def _map(df: DataFrame, fn: Callable[[Rows], Rows]) -> DataFrame:
+    return common.map_arrow(df, lambda batches: _batches(fn(_each(batches))), ROW)
+
+
+def _meet(df: DataFrame, layout: Layout, fn: Callable[[Rows], Rows]) -> DataFrame:
+    """fn over the rows of one shard after the other, models first."""
 
-    return common.map_arrow(docs, run, "u long, v long, w long").groupBy("u", "v", "w").agg(F.count(F.lit(1)).alias("n"))
+    def run(rows: Rows) -> Rows:
+        for _, own in _runs(rows):
+            yield from fn(own)
 
+    return _map(df.repartition(layout.shards, "shard").sortWithinPartitions("shard", "kind", "slice"), run)
 
-def discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of modified Kneser-Ney from the counts of counts of column n."""
-    found = {r.n: r.m for r in counts.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
+
+def _runs(rows: Rows) -> Iterator[tuple[int, Rows]]:
+    """The rows of each shard in turn."""
+    return groupby(rows, key=lambda r: r[0])
+
+
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key stands first, and its sum of n."""
+    order = np.argsort(key, kind="stable")
+    if not len(order):
+        return order, n
+    head = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
+    return order[head], np.add.reduceat(n[order], head)
+
+
+def _stats(n: np.ndarray) -> Rows:
+    """Counts of counts 1 to 4, of 3 and more (5), all (6) and their sum (7)."""
+    for k, x in enumerate([*(n == c for c in (1, 2, 3, 4)), n >= 3, n > 0, n], 1):
+        yield 0, STAT, k, int(x.sum()), None, None, None, None, None
+
+
+def _found(rows: DataFrame) -> dict[int, int]:
+    return {r.slice: r.n for r in rows.where(F.col("kind") == STAT).groupBy("slice").agg(F.sum("n").alias("n")).collect()}
+
+
+def discounts(found: dict[int, int]) -> tuple[float, float, float]:
+    """The three discounts of modified Kneser-Ney from the counts of counts."""
     n1, n2, n3, n4 = (found.get(k, 0) for k in (1, 2, 3, 4))
     if not (n1 and n2 and n3):
         return (0.5, 0.75, 0.9)
@@ -82,91 +199,258 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def _level(counts: DataFrame, context: list[str], d: tuple[float, float, float]) -> tuple[DataFrame, DataFrame]:
-    """(counts with p: the discounted share of its context), (context with g: the weight left to the lower order)."""
-    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    total = counts.groupBy(*context).agg(F.sum("n").alias("all"), F.sum(cut).alias("left"))
-    shares = counts.join(total, context)
-    return shares.withColumn("p", F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("all")), total.withColumn("g", F.col("left") / F.col("all"))
-
-
-def _sorted(table: pa.Table, columns: list[str], value: str) -> tuple[np.ndarray, np.ndarray]:
-    cols = [table.column(c).to_numpy().view(np.uint64) for c in columns]
-    key = cols[0] if len(cols) == 1 else pair_key(*cols) if len(cols) == 2 else triple_key(*cols)
-    order = np.argsort(key)
-    return key[order], table.column(value).to_numpy()[order].astype(np.float32)
+def _cut(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(n, 3)]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Sorted tables p3, g2, p2, g1, p1 and the weight and share of unseen words."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    some = rows.join(F.broadcast(trusted_ids(labels)), F.col("doc_id") == F.col("trusted"), "left_semi")
-    three = common.durable(trigrams(some))
-    if three.isEmpty():
-        return None
-    two = common.durable(three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")))
-    one = common.durable(two.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    p3, g2 = _level(three, ["u", "v"], discounts(three))
-    p2, g1 = _level(two, ["v"], discounts(two))
-    d = discounts(one)
-    sums = one.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))).first()
-    total, vocabulary, left = int(sums[0]), int(sums[1]) + 1, float(sums[2])
-    unseen = left / total / vocabulary
-    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    p1 = one.withColumn("p", F.greatest(F.col("n") - cut, F.lit(0.0)) / total + unseen)
-    pull = lambda df, keys, value: _sorted(df.select(*keys, value).toArrow(), keys, value)  # noqa: E731  at most the trusted sample's n-grams
-    return {"p3": pull(p3, ["u", "v", "w"], "p"), "g2": pull(g2, ["u", "v"], "g"), "p2": pull(p2, ["v", "w"], "p"), "g1": pull(g1, ["v"], "g"), "p1": pull(p1, ["w"], "p"), "unseen": unseen}
+def _shares(context: np.ndarray, n: np.ndarray, d: tuple[float, float, float]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(the discounted share of each n in its context, (contexts in order, the weight each leaves to the lower order))."""
+    order = np.argsort(context, kind="stable")
+    if not len(order):
+        return np.zeros(0), (np.zeros(0, np.uint64), np.zeros(0))
+    head = np.flatnonzero(np.append(True, context[order[1:]] != context[order[:-1]]))
+    total = np.add.reduceat(n[order], head)
+    share = np.empty(len(n))
+    share[order] = np.maximum(n - _cut(n, d), 0)[order] / np.repeat(total, np.diff(np.append(head, len(order))))
+    return share, (context[order][head], np.add.reduceat(_cut(n, d)[order], head) / total)
 
 
 def _look(table: tuple[np.ndarray, np.ndarray], key: np.ndarray, none: float) -> np.ndarray:
     keys, values = table
+    if not len(keys):
+        return np.full(len(key), none)
     at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return np.where(keys[at] == key, values[at], np.float32(none))
+    return np.where(keys[at] == key, values[at], none)
 
 
-def probabilities(model: dict, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    p1 = _look(model["p1"], w, model["unseen"])
-    p2 = _look(model["p2"], pair_key(v, w), 0.0) + _look(model["g1"], v, 1.0) * p1
-    return _look(model["p3"], triple_key(u, v, w), 0.0) + _look(model["g2"], pair_key(u, v), 1.0) * p2
+def _ordered(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key, kind="stable")
+    return key[order], value[order]
 
 
-def perplexity(docs: DataFrame, model: dict | None) -> DataFrame:
-    """(doc_id, lang, n_words, perplexity) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _joined(rows: list[tuple], column: int, read: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    return read(b"".join(r[column] for r in rows))
+
+
+def trusted_ids(labels: DataFrame, fold: int = FOLD) -> DataFrame:
+    """(trusted, held): the ids labelled quality 1, and which of them set thresholds."""
+    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted")).distinct()
+    return ids.withColumn("held", F.pmod(F.xxhash64("trusted"), F.lit(fold)) == 0 if fold else F.lit(False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, 2, SLICE):
-            raw = common.texts(part.column(2))
-            if shared.value is None:
-                n = np.fromiter((len(x.split()) for x in raw), np.int64)
-                out = pa.nulls(len(raw), pa.float64())
-            else:
-                w, u, v, h = contexts(raw)
-                # Equal trigrams of a slice are looked up once, in key order.
-                key, turn = np.unique(triple_key(u, v, h), return_inverse=True)
-                at = np.empty(len(key), np.int64)
-                at[turn] = np.arange(len(turn))
-                logs = np.log(probabilities(shared.value, u[at], v[at], h[at]).astype(np.float64))[turn]
-                n = w.n
-                sums = np.zeros(len(raw))
-                has = np.flatnonzero(n)
-                if len(has):
-                    sums[has] = np.add.reduceat(logs, w.first[:-1][has])
-                out = pa.array(np.exp(-sums / np.maximum(n, 1)))
-            yield common.record(doc_id=part.column(0), lang=part.column(1), n_words=n, perplexity=out)
 
+def layout(docs: DataFrame) -> Layout:
+    """Counts words by COUNTERS counters, over all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for part in common.slices(batches, 0, SLICE):
+            n += np.bincount(Layout.counter(contexts(common.texts(part.column(0)))[2]), minlength=COUNTERS)
+        some = np.flatnonzero(n)
+        yield common.record(counter=pa.array(some, pa.int64()), n=pa.array(n[some], pa.int64()))
+
+    n = np.zeros(COUNTERS, np.int64)
+    for r in common.map_arrow(docs.select("text"), run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+        n[r.counter] = r.n
+    return Layout(n, common.parts(docs.sparkSession))
+
+
+def fit(docs: DataFrame, labels: DataFrame, lay: Layout, fold: int = FOLD) -> dict | None:
+    """The sharded tables: ``grams`` (trigrams, and pairs with the share of their last word), ``words``, and discounts."""
+    some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.col("text"))
+    some = some.join(common.sized(trusted_ids(labels, fold).where("NOT held")), F.col("doc_id") == F.col("trusted"), "left_semi").select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Rows:
+            for part in common.slices(batches, 0, SLICE):
+                _, u, v, w = contexts(common.texts(part.column(0)))
+                at, n = _summed(triple_key(u, v, w), np.ones(len(w), np.int64))
+                at, n = (x[np.argsort(v[at], kind="stable")] for x in (at, n))
+                yield from _deal(GRAM3, lay.by_middle(u[at], v[at]), 0, [u[at], v[at], w[at], n.astype("<u4")])
+
+        return _batches(rows())
+
+    def threes(rows: Rows) -> Rows:
+        rows = list(rows)
+        shard = rows[0][0]
+        u, v, w, n = (_joined(rows, 4, _wide), _joined(rows, 5, _wide), _joined(rows, 6, _wide), _joined(rows, 7, _four))
+        at, n = _summed(triple_key(u, v, w), n)
+        u, v, w = u[at], v[at], w[at]
+        yield from _stats(n)
+        yield from _deal(GRAM3, np.full(len(n), shard), 0, [u, v, w, n.astype("<u4")])
+        at, n = _summed(pair_key(v, w), np.ones(len(n), np.int64))
+        yield from _deal(GRAM2, lay.by_word(v[at]), 0, [None, v[at], w[at], n.astype("<u4")])
+
+    def twos(rows: Rows) -> Rows:
+        rows = list(rows)
+        v, w, n = _joined(rows, 5, _wide), _joined(rows, 6, _wide), _joined(rows, 7, _four)
+        at, n = _summed(pair_key(v, w), n)
+        v, w = v[at], w[at]
+        yield from _stats(n)
+        yield from _deal(GRAM2, lay.by_word(w), 0, [None, v, w, n.astype("<u4")])
+        at, n = _summed(w, np.ones(len(n), np.int64))
+        yield from _deal(WORD, lay.by_word(w[at]), 0, [None, None, w[at], n.astype("<u4")])
+
+    def ones(rows: Rows) -> Rows:
+        rows = list(rows)
+        w, n = _joined(rows, 6, _wide), _joined(rows, 7, _four)
+        at, n = _summed(w, n)
+        yield from _stats(n)
+        yield from _deal(WORD, np.full(len(n), rows[0][0]), 0, [None, None, w[at], n.astype("<u4")])
+
+    kind = lambda df, k: df.where(F.col("kind") == k)
+    three = common.written(_meet(common.map_arrow(some, count, ROW), lay, threes), "trigrams")
+    two = common.written(_meet(kind(three, GRAM2), lay, twos), "pairs")
+    one = common.written(_meet(kind(two, WORD), lay, ones), "words")
+    sums = _found(one)
+    if not sums.get(7):
+        return None
+    d = discounts(sums)
+    unseen = (d[0] * sums[1] + d[1] * sums[2] + d[2] * sums[5]) / sums[7] / (sums[6] + 1)
+    model = {"d3": discounts(_found(three)), "d2": discounts(_found(two)), "d1": d, "total": sums[7], "unseen": unseen, "words": kind(one, WORD)}
+
+    def with_words(rows: Rows) -> Rows:
+        held, table = [], None
+        for row in rows:
+            if row[1] == WORD:
+                held.append(row)
+                continue
+            table = table or word_shares(held, model_numbers)
+            v, w = _wide(row[5]), _wide(row[6])
+            at, shard = lay.copies(v)
+            yield from _deal(GRAM2, shard, 0, [None, v[at], w[at], np.frombuffer(row[7], "<u4")[at], _look(table, w, unseen).astype("<f4")[at]])
+
+    model_numbers = (d, sums[7], unseen)
+    # The pairs ask here, so they come after the words.
+    pairs = _meet(kind(two, GRAM2).withColumn("kind", F.lit(ASK)).unionByName(model["words"]), lay, with_words)
+    return model | {"grams": kind(three, GRAM3).unionByName(pairs)}
+
+
+def word_shares(rows: list[tuple], numbers: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(words in order, their shares) of one shard."""
+    d, total, unseen = numbers
+    if not rows:
+        return np.zeros(0, np.uint64), np.zeros(0)
+    w, n = _joined(rows, 6, _wide), _joined(rows, 7, _four)
+    return _ordered(w, np.maximum(n - _cut(n, d), 0) / total + unseen)
+
+
+class Tables:
+    """The trigrams and pairs of one shard."""
+
+    def __init__(self, rows: list[tuple], d3: tuple, d2: tuple):
+        three, two = [r for r in rows if r[1] == GRAM3], [r for r in rows if r[1] == GRAM2]
+        u, v, w, n = _joined(three, 4, _wide), _joined(three, 5, _wide), _joined(three, 6, _wide), _joined(three, 7, _four)
+        share, self.left3 = _shares(pair_key(u, v), n, d3)
+        self.three = _ordered(triple_key(u, v, w), share)
+        v, w, n = _joined(two, 5, _wide), _joined(two, 6, _wide), _joined(two, 7, _four)
+        share, self.left2 = _shares(v, n, d2)
+        self.two = _ordered(pair_key(v, w), share + _look(self.left2, v, 1.0) * _joined(two, 8, lambda x: np.frombuffer(x, "<f4")))
+
+    def logs(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log probability, or log weight of the single word where the pair is unseen; which are unseen)."""
+        lower = _look(self.two, pair_key(v, w), -1.0)
+        unseen = lower < 0
+        weight = _look(self.left3, pair_key(u, v), 1.0)
+        high = _look(self.three, triple_key(u, v, w), 0.0)
+        return np.log(np.where(unseen, weight * _look(self.left2, v, 1.0), high + weight * lower)), unseen
+
+
+def _partial(slice_: int, shards: int, doc: np.ndarray, value: np.ndarray) -> tuple:
+    sums = np.bincount(doc, value)
+    some = np.unique(doc)
+    return slice_ % shards, PART, slice_, len(some), some.astype("<u4").tobytes(), sums[some].astype("<f8").tobytes(), None, None, None
+
+
+def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD) -> DataFrame:
+    """(doc_id, lang, n_words, log_perplexity) of every row."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.col("text"))
-    return common.map_arrow(rows, run, "doc_id long, lang string, n_words long, perplexity double")
+    lay = layout(docs)
+    model = fit(docs, labels, lay, fold)
+    schema = "doc_id long, lang string, n_words long, log_perplexity double"
+    if model is None:
+
+        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in common.slices(batches, 2, SLICE):
+                yield common.record(doc_id=part.column(0), lang=part.column(1), n_words=pa.array([len(x.split()) for x in common.texts(part.column(2))], pa.int64()), log_perplexity=pa.nulls(part.num_rows, pa.float64()))
+
+        return common.map_arrow(rows, plain, schema)
+    d3, d2, shards, numbers = model["d3"], model["d2"], lay.shards, (model["d1"], model["total"], model["unseen"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Rows:
+            number = TaskContext.get().partitionId() << 32
+            for k, part in enumerate(common.slices(batches, 2, SLICE)):
+                w, u, v, h = contexts(common.texts(part.column(2)))
+                base = common.record(doc_id=part.column(0), lang=part.column(1), n_words=w.n.astype(np.int64))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, base.schema) as writer:
+                    writer.write_batch(base)
+                yield (number + k) % shards, BASE, number + k, part.num_rows, sink.getvalue().to_pybytes(), None, None, None, None
+                at, n = _summed(common.mix(triple_key(u, v, h) + w.doc.astype(np.uint64) * _A), np.ones(len(h), np.int64))
+                at, n = (x[np.argsort(v[at], kind="stable")] for x in (at, n))
+                yield from _deal(ASK, lay.by_middle(u[at], v[at]), number + k, [u[at], v[at], h[at], w.doc[at].astype("<u4"), n.astype("<u4")])
+
+        return _batches(out())
+
+    def middle(rows: Rows) -> Rows:
+        held, tables = [], None
+        for row in rows:
+            if row[1] in (GRAM3, GRAM2):
+                held.append(row)
+            elif row[1] == BASE:
+                yield row
+            else:
+                if tables is None:
+                    tables, held = Tables(held, d3, d2), []
+                w, doc, n = _wide(row[6]), _four(row[7]), _four(row[8])
+                logs, unseen = tables.logs(_wide(row[4]), _wide(row[5]), w)
+                yield _partial(row[2], shards, doc, n * logs)
+                yield from _deal(ASK, lay.by_word(w[unseen]), row[2], [None, None, w[unseen], doc[unseen].astype("<u4"), n[unseen].astype("<u4")])
+
+    def last(rows: Rows) -> Rows:
+        held, table = [], None
+        for row in rows:
+            if row[1] == WORD:
+                held.append(row)
+            else:
+                table = table or word_shares(held, numbers)
+                yield _partial(row[2], shards, _four(row[7]), _four(row[8]) * np.log(_look(table, _wide(row[6]), numbers[2])))
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, value = [], []
+        for row in _each(batches):  # the parts of a slice come before its documents
+            if row[1] == PART:
+                doc.append(row[4])
+                value.append(row[5])
+                continue
+            base = pa.ipc.open_stream(row[4]).read_next_batch()
+            # Partial sums arrive in any order: sorted first, they always add up alike.
+            place, part = np.frombuffer(b"".join(doc), "<u4"), np.frombuffer(b"".join(value), "<f8")
+            order = np.lexsort((part, place))
+            sums = np.bincount(place[order], part[order], base.num_rows)
+            n = base.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([*base.columns, pa.array(np.round(-sums / np.maximum(n, 1), 9) + 0.0)], [*base.schema.names, "log_perplexity"])
+            doc, value = [], []
+
+    asked = common.written(_meet(common.map_arrow(rows, ask, ROW).unionByName(model["grams"]), lay, middle), "asked")
+    rest = _meet(asked.where(F.col("kind") == ASK).unionByName(model["words"]), lay, last)
+    parts = asked.where(F.col("kind").isin(PART, BASE)).unionByName(rest).select("slice", "kind", "a", "b")
+    parts = parts.repartition(shards, "slice").sortWithinPartitions("slice", "kind")
+    return common.map_arrow(parts.selectExpr("0 AS shard", "kind", "slice", "0L AS n", "a", "b"), back, schema)
+
+
+def _quantile(rows: DataFrame, name: str) -> DataFrame:
+    """(of, name): the least rounded log perplexity that QUANTILE of a language's documents do not exceed."""
+    bins = rows.where("log_perplexity IS NOT NULL").groupBy("lang", F.round(F.col("log_perplexity") * STEPS).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
+    return upto.where(F.col("upto") >= F.col("all") * QUANTILE).groupBy(F.col("lang").alias("of")).agg((F.min("bin") / STEPS).alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, perplexity, threshold, kept)."""
-    found = common.durable(perplexity(docs, fit(docs, labels)))
-    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    unseen = found.join(trusted, "doc_id", "left_semi").join(F.broadcast(trusted_ids(labels)), F.col("doc_id") == F.col("trusted"), "left_anti")
-    cut = lambda name: F.percentile("perplexity", F.lit(QUANTILE)).alias(name)
-    own = unseen.groupBy(F.col("lang").alias("of")).agg(cut("own"))
-    every = found.groupBy(F.col("lang").alias("of")).agg(cut("every"))
-    limits = every.join(own, every["of"].eqNullSafe(own["of"]), "left").select(every["of"], (F.coalesce("own", "every") * SLACK).alias("threshold"))
-    out = found.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("of")), "left")
+    found = common.written(perplexity(docs, labels), "perplexities")
+    held = found.join(common.sized(trusted_ids(labels).where("held")), F.col("doc_id") == F.col("trusted"), "left_semi")
+    own, every = _quantile(held, "own"), _quantile(found, "every")
+    limits = every.join(own, every["of"].eqNullSafe(own["of"]), "left").select(every["of"], (F.exp(F.coalesce("own", "every")) * SLACK).alias("threshold"))
+    out = found.join(common.sized(common.durable(limits)), F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("perplexity", F.exp("log_perplexity"))
     return out.select("doc_id", "perplexity", "threshold", (F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) | (F.col("n_words") < LEAST_WORDS)).alias("kept"))

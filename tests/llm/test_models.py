@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from presswork.llm import kneser_ney, secrets_crf, toxicity
 
@@ -97,11 +98,12 @@ def test_word_sums_equal_a_plain_sum():
         assert n == 0 and abs(plain - got) < 1e-4
 
 
-def test_kneser_ney_against_the_plain_formulas(spark):
+@pytest.mark.parametrize("words_a_shard", [kneser_ney.WORDS_A_SHARD, 7])
+def test_kneser_ney_against_the_plain_formulas(spark, monkeypatch, words_a_shard):
+    monkeypatch.setattr(kneser_ney, "WORDS_A_SHARD", words_a_shard)
     rows = [(i, t, "en") for i, t in enumerate(["a b c a b d", "a b c", "b c a b c a", "d d a b", "c a b e f"] * 3 + ["x y z", ""])] + [(None, "a b", None), (50, None, "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(13)], "doc_id long, quality int, toxic int")
-    model = kneser_ney.fit(docs, labels)
     three = Counter()
     for i, t, _ in rows[:13]:
         w = ["^", "^", *t.split()]
@@ -133,12 +135,28 @@ def test_kneser_ney_against_the_plain_formulas(spark):
                 out = max(own.get(full, 0) - cut(d, own.get(full, 1)), 0) / t + sum(cut(d, n) for n in own.values()) / t * out
         return out
 
-    got = {(r.doc_id, r.perplexity) for r in kneser_ney.perplexity(docs, model).collect()}
+    lay = kneser_ney.layout(docs)
+    assert (lay.parts.max() > 1) == (words_a_shard == 7)  # the words a and b are split
+    got = {(r.doc_id, math.exp(r.log_perplexity)) for r in kneser_ney.perplexity(docs, labels, fold=0).collect()}
     for i, t, _ in rows:
         w = ["^", "^", *(t or "").split()]
         n = len(w) - 2
         want = math.exp(-sum(math.log(p(*x)) for x in zip(w, w[1:], w[2:])) / max(n, 1))
         assert any(j == i and abs(x / want - 1) < 1e-5 for j, x in got)
+    if words_a_shard == 7:
+        return
     assert kneser_ney.classify(docs, labels).count() == len(rows)
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0
     assert kneser_ney.classify(docs, labels.limit(0)).where("kept").count() == len(rows)
+
+
+def test_kneser_ney_keeps_clean_texts_and_counts_all_trusted_ones(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    got = {r.doc_id: r.kept for r in kneser_ney.classify(docs, labels).collect()}
+    good = [got[i] for i, q in quality.items() if q == 1 and i in got]
+    bad = [got[i] for i, q in quality.items() if q == 0 and i in got]
+    assert sum(good) >= 0.97 * len(good) and sum(good) / len(good) > sum(bad) / len(bad)
+    ids = kneser_ney.trusted_ids(labels).groupBy("held").count().collect()
+    assert sum(r["count"] for r in ids) == len({i for i, q in quality.items() if q == 1})
