@@ -9,15 +9,18 @@ Each slice of texts packs its trigrams into flat arrays, one row a shard:
    sums and, for each pair, the number of words before it are all local;
 2. pair counts give the number of words before each word, in shards by word;
 3. the shares of single words come back to the pairs (a join by word);
-4. the trigrams of every document meet trigram and pair tables in the shard of
-   the middle word; those whose pair was never seen go on to the shard of their
-   last word; sums of log probabilities come back to the document's slice.
+4. the trigrams of every document meet the pair tables in the shard of the middle
+   word, where those of trusted documents give the trigram table too; those whose
+   pair was never seen go on to the shard of their last word; sums of log
+   probabilities come back to the document's slice.
 
 No table of the model is broadcast or collected: the driver sees ``COUNTERS``
-word counts and the counts of counts. The number of shards follows the number
-of words, so a shard's tables fit one task at any size. A middle word that
-fills more than a shard is split by the word before it; its pair table, one row
-a pair, is copied to each part. Words are known by 48 bits of their hash.
+word counts, the counts of counts, and at most ``CODES`` frequent words. The
+latter get two-byte codes on the way; every other word travels as it is, so they
+change sizes only. The number of shards follows the number of words, so a
+shard's tables fit one task at any size. A middle word that fills more than a
+shard is split by the word before it; its pair table, one row a pair, is copied
+to each part. Words are known by 48 bits of their hash.
 
 A document is kept when its perplexity does not exceed its language's
 threshold: the ``QUANTILE`` of the left-out trusted documents of that language,
@@ -35,7 +38,7 @@ gives an empty table; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +55,9 @@ QUANTILE, SLACK, STEPS = 0.99, 1.5, 10_000
 LEAST_WORDS = 20
 SLICE = 1 << 20
 COUNTERS = 1 << 14
-WORDS_A_SHARD = 1 << 21
+WORDS_A_SHARD = 1 << 23
+#: Frequent words that travel as two bytes; a task counts at most four times as many.
+CODES = (1 << 16) - 1
 
 _LOW = np.uint64((1 << 48) - 1)
 _EDGE = np.uint64(0x5EED5EED5EED)
@@ -60,7 +65,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 ROW = "shard int, kind int, slice long, n long, a binary, b binary, c binary, d binary, e binary"
 #: Kinds of rows, in the order in which a shard reads them: model tables, then questions.
-GRAM3, GRAM2, WORD, ASK, PART, BASE, STAT = range(7)
+GRAM3, GRAM2, WORD, TRAIN, ASK, PART, BASE, STAT = range(8)
 Rows = Iterator[tuple]
 
 
@@ -82,9 +87,11 @@ def triple_key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Layout:
-    """How many shards there are, and how many parts each middle word has."""
+    """How many shards there are, how many parts each middle word has, and the codes of frequent words."""
 
-    def __init__(self, counts: np.ndarray, least: int):
+    def __init__(self, counts: np.ndarray, least: int, frequent: np.ndarray):
+        self.frequent = frequent
+        self.sorted, self.code = _ordered(frequent, np.arange(len(frequent), dtype=np.uint16))
         total = int(counts.sum())
         self.shards = max(least, -(-total // WORDS_A_SHARD))
         self.parts = np.clip(-(-counts * self.shards // max(total, 1)), 1, self.shards)
@@ -106,30 +113,60 @@ class Layout:
         both = np.unique(at * self.shards + self.by_word(v[at], np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)))
         return both // self.shards, both % self.shards
 
+    def pack_words(self, w: np.ndarray) -> bytes:
+        """Two-byte codes; behind them the six bytes of each word without one."""
+        code = np.full(len(w), CODES, "<u2")
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, w), len(self.sorted) - 1)
+            code = np.where(self.sorted[at] == w, self.code[at], CODES).astype("<u2")
+        return _pack(_planes(code) + w[code == CODES].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+
+    def words(self, rows: list[tuple], column: int) -> np.ndarray:
+        """The words of a column of one or more rows."""
+        out = [np.zeros(0, np.uint64)]
+        for row in rows:
+            raw, n = _unpack(row[column]), row[3]
+            code = _numbers(raw[: 2 * n], "<u2")
+            rest = np.zeros(((len(raw) - 2 * n) // 6, 8), np.uint8)
+            rest[:, :6] = np.frombuffer(raw, np.uint8, offset=2 * n).reshape(-1, 6)
+            own = np.empty(n, np.uint64)
+            known = code != CODES
+            own[known] = self.frequent[code[known]]
+            own[~known] = rest.view("<u8")[:, 0]
+            out.append(own)
+        return np.concatenate(out)
+
+    def deal(self, kind: int, shard: np.ndarray, slice_: int, columns: list[np.ndarray | None]) -> Rows:
+        """One row a shard; columns are words (uint64) or numbers of four bytes."""
+        order = np.argsort(shard, kind="stable")
+        shard = shard[order]
+        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+        flat = [None if c is None else c[order] for c in [*columns, *[None] * (5 - len(columns))]]
+        for a, b in zip(cut, [*cut[1:], len(shard)]):
+            yield int(shard[a]), kind, slice_, int(b - a), *(None if c is None else self.pack_words(c[a:b]) if c.dtype == np.uint64 else _pack(_planes(c[a:b])) for c in flat)
+
+
+def _pack(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
+
 
-def _six(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+def _unpack(raw: bytes) -> bytes:
+    return pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "zstd", asbytes=True)
 
 
-def _wide(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8")[:, 0]
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on, which compresses better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
-def _four(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u4").astype(np.int64)
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    size = int(kind[2:])
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
 
 
-def _deal(kind: int, shard: np.ndarray, slice_: int, columns: list[np.ndarray | None]) -> Rows:
-    """One row a shard; columns are 48-bit words (uint64) or counts (anything else, as given)."""
-    order = np.argsort(shard, kind="stable")
-    shard = shard[order]
-    cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
-    flat = [None if c is None else _six(c[order]) if c.dtype == np.uint64 else c[order] for c in columns]
-    flat += [None] * (5 - len(flat))
-    for a, b in zip(cut, [*cut[1:], len(shard)]):
-        yield int(shard[a]), kind, slice_, int(b - a), *(None if c is None else c[a:b].tobytes() for c in flat)
+def _four(rows: list[tuple], column: int, kind: str = "<u4") -> np.ndarray:
+    """The numbers of a column of one or more rows."""
+    return np.concatenate([np.zeros(0, np.int64 if kind == "<u4" else np.float64), *(_numbers(_unpack(r[column]), kind) for r in rows)])
 
 
 def _batches(rows: Rows) -> Iterator[pa.RecordBatch]:
@@ -228,10 +265,6 @@ def _ordered(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key[order], value[order]
 
 
-def _joined(rows: list[tuple], column: int, read: Callable[[bytes], np.ndarray]) -> np.ndarray:
-    return read(b"".join(r[column] for r in rows))
-
-
 def trusted_ids(labels: DataFrame, fold: int = FOLD) -> DataFrame:
     """(trusted, held): the ids labelled quality 1, and which of them set thresholds."""
     ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted")).distinct()
@@ -239,23 +272,37 @@ def trusted_ids(labels: DataFrame, fold: int = FOLD) -> DataFrame:
 
 
 def layout(docs: DataFrame) -> Layout:
-    """Counts words by COUNTERS counters, over all documents."""
+    """Counts words by COUNTERS counters and finds frequent ones, over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(COUNTERS, np.int64)
+        word, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for part in common.slices(batches, 0, SLICE):
-            n += np.bincount(Layout.counter(contexts(common.texts(part.column(0)))[2]), minlength=COUNTERS)
+            w, _, _, h = contexts(common.texts(part.column(0)))
+            own, m = np.unique(h, return_counts=True)
+            n[Layout.counter(np.array([_EDGE]))] += np.count_nonzero(w.n)
+            n += np.bincount(Layout.counter(own), m, COUNTERS).astype(np.int64)
+            both, m = np.concatenate((word, own)), np.concatenate((count, m))
+            at, count = _summed(both, m)
+            word = both[at]
+            if len(word) > 4 * CODES:
+                top = np.argpartition(-count, 2 * CODES)[: 2 * CODES]
+                word, count = word[top], count[top]
         some = np.flatnonzero(n)
-        yield common.record(counter=pa.array(some, pa.int64()), n=pa.array(n[some], pa.int64()))
+        yield common.record(counter=pa.array(some, pa.int64()), word=pa.nulls(len(some), pa.int64()), n=pa.array(n[some], pa.int64()))
+        top = np.lexsort((word, -count))[:CODES]
+        yield common.record(counter=pa.nulls(len(top), pa.int64()), word=pa.array(word[top].view(np.int64), pa.int64()), n=pa.array(count[top], pa.int64()))
 
+    found = common.written(common.map_arrow(docs.select("text"), run, "counter long, word long, n long").groupBy("counter", "word").agg(F.sum("n").alias("n")), "words")
     n = np.zeros(COUNTERS, np.int64)
-    for r in common.map_arrow(docs.select("text"), run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).collect():
+    for r in found.where("counter IS NOT NULL").collect():
         n[r.counter] = r.n
-    return Layout(n, common.parts(docs.sparkSession))
+    frequent = found.where("word IS NOT NULL AND n > 1").orderBy(F.desc("n"), "word").limit(CODES).toArrow()
+    return Layout(n, common.parts(docs.sparkSession), frequent.column("word").to_numpy().view(np.uint64))
 
 
 def fit(docs: DataFrame, labels: DataFrame, lay: Layout, fold: int = FOLD) -> dict | None:
-    """The sharded tables: ``grams`` (trigrams, and pairs with the share of their last word), ``words``, and discounts."""
+    """The sharded tables ``pairs`` (with the share of their last word) and ``words``, and the discounts."""
     some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.col("text"))
     some = some.join(common.sized(trusted_ids(labels, fold).where("NOT held")), F.col("doc_id") == F.col("trusted"), "left_semi").select("text")
 
@@ -265,37 +312,35 @@ def fit(docs: DataFrame, labels: DataFrame, lay: Layout, fold: int = FOLD) -> di
                 _, u, v, w = contexts(common.texts(part.column(0)))
                 at, n = _summed(triple_key(u, v, w), np.ones(len(w), np.int64))
                 at, n = (x[np.argsort(v[at], kind="stable")] for x in (at, n))
-                yield from _deal(GRAM3, lay.by_middle(u[at], v[at]), 0, [u[at], v[at], w[at], n.astype("<u4")])
+                yield from lay.deal(GRAM3, lay.by_middle(u[at], v[at]), 0, [u[at], v[at], w[at], n.astype("<u4")])
 
         return _batches(rows())
 
     def threes(rows: Rows) -> Rows:
         rows = list(rows)
-        shard = rows[0][0]
-        u, v, w, n = (_joined(rows, 4, _wide), _joined(rows, 5, _wide), _joined(rows, 6, _wide), _joined(rows, 7, _four))
-        at, n = _summed(triple_key(u, v, w), n)
-        u, v, w = u[at], v[at], w[at]
+        u, v, w = (lay.words(rows, k) for k in (4, 5, 6))
+        at, n = _summed(triple_key(u, v, w), _four(rows, 7))
+        v, w = v[at], w[at]
         yield from _stats(n)
-        yield from _deal(GRAM3, np.full(len(n), shard), 0, [u, v, w, n.astype("<u4")])
         at, n = _summed(pair_key(v, w), np.ones(len(n), np.int64))
-        yield from _deal(GRAM2, lay.by_word(v[at]), 0, [None, v[at], w[at], n.astype("<u4")])
+        yield from lay.deal(GRAM2, lay.by_word(v[at]), 0, [None, v[at], w[at], n.astype("<u4")])
 
     def twos(rows: Rows) -> Rows:
         rows = list(rows)
-        v, w, n = _joined(rows, 5, _wide), _joined(rows, 6, _wide), _joined(rows, 7, _four)
-        at, n = _summed(pair_key(v, w), n)
+        v, w = lay.words(rows, 5), lay.words(rows, 6)
+        at, n = _summed(pair_key(v, w), _four(rows, 7))
         v, w = v[at], w[at]
         yield from _stats(n)
-        yield from _deal(GRAM2, lay.by_word(w), 0, [None, v, w, n.astype("<u4")])
+        yield from lay.deal(GRAM2, lay.by_word(w), 0, [None, v, w, n.astype("<u4")])
         at, n = _summed(w, np.ones(len(n), np.int64))
-        yield from _deal(WORD, lay.by_word(w[at]), 0, [None, None, w[at], n.astype("<u4")])
+        yield from lay.deal(WORD, lay.by_word(w[at]), 0, [None, None, w[at], n.astype("<u4")])
 
     def ones(rows: Rows) -> Rows:
         rows = list(rows)
-        w, n = _joined(rows, 6, _wide), _joined(rows, 7, _four)
-        at, n = _summed(w, n)
+        w = lay.words(rows, 6)
+        at, n = _summed(w, _four(rows, 7))
         yield from _stats(n)
-        yield from _deal(WORD, np.full(len(n), rows[0][0]), 0, [None, None, w[at], n.astype("<u4")])
+        yield from lay.deal(WORD, np.full(len(n), rows[0][0]), 0, [None, None, w[at], n.astype("<u4")])
 
     kind = lambda df, k: df.where(F.col("kind") == k)
     three = common.written(_meet(common.map_arrow(some, count, ROW), lay, threes), "trigrams")
@@ -314,37 +359,39 @@ def fit(docs: DataFrame, labels: DataFrame, lay: Layout, fold: int = FOLD) -> di
             if row[1] == WORD:
                 held.append(row)
                 continue
-            table = table or word_shares(held, model_numbers)
-            v, w = _wide(row[5]), _wide(row[6])
+            table = table or word_shares(lay, held, model_numbers)
+            v, w = lay.words([row], 5), lay.words([row], 6)
             at, shard = lay.copies(v)
-            yield from _deal(GRAM2, shard, 0, [None, v[at], w[at], np.frombuffer(row[7], "<u4")[at], _look(table, w, unseen).astype("<f4")[at]])
+            yield from lay.deal(GRAM2, shard, 0, [None, v[at], w[at], _four([row], 7).astype("<u4")[at], _look(table, w, unseen).astype("<f4")[at]])
 
     model_numbers = (d, sums[7], unseen)
     # The pairs ask here, so they come after the words.
     pairs = _meet(kind(two, GRAM2).withColumn("kind", F.lit(ASK)).unionByName(model["words"]), lay, with_words)
-    return model | {"grams": kind(three, GRAM3).unionByName(pairs)}
+    return model | {"pairs": pairs}
 
 
-def word_shares(rows: list[tuple], numbers: tuple) -> tuple[np.ndarray, np.ndarray]:
+def word_shares(lay: Layout, rows: list[tuple], numbers: tuple) -> tuple[np.ndarray, np.ndarray]:
     """(words in order, their shares) of one shard."""
     d, total, unseen = numbers
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0)
-    w, n = _joined(rows, 6, _wide), _joined(rows, 7, _four)
+    w, n = lay.words(rows, 6), _four(rows, 7)
     return _ordered(w, np.maximum(n - _cut(n, d), 0) / total + unseen)
 
 
 class Tables:
     """The trigrams and pairs of one shard."""
 
-    def __init__(self, rows: list[tuple], d3: tuple, d2: tuple):
-        three, two = [r for r in rows if r[1] == GRAM3], [r for r in rows if r[1] == GRAM2]
-        u, v, w, n = _joined(three, 4, _wide), _joined(three, 5, _wide), _joined(three, 6, _wide), _joined(three, 7, _four)
+    def __init__(self, lay: Layout, rows: list[tuple], d3: tuple, d2: tuple):
+        three, two = [r for r in rows if r[1] == TRAIN], [r for r in rows if r[1] == GRAM2]
+        u, v, w = (lay.words(three, k) for k in (4, 5, 6))
+        at, n = _summed(triple_key(u, v, w), _four(three, 8))
+        u, v, w = u[at], v[at], w[at]
         share, self.left3 = _shares(pair_key(u, v), n, d3)
         self.three = _ordered(triple_key(u, v, w), share)
-        v, w, n = _joined(two, 5, _wide), _joined(two, 6, _wide), _joined(two, 7, _four)
-        share, self.left2 = _shares(v, n, d2)
-        self.two = _ordered(pair_key(v, w), share + _look(self.left2, v, 1.0) * _joined(two, 8, lambda x: np.frombuffer(x, "<f4")))
+        v, w = lay.words(two, 5), lay.words(two, 6)
+        share, self.left2 = _shares(v, _four(two, 7), d2)
+        self.two = _ordered(pair_key(v, w), share + _look(self.left2, v, 1.0) * _four(two, 8, "<f4"))
 
     def logs(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log probability, or log weight of the single word where the pair is unseen; which are unseen)."""
@@ -358,7 +405,7 @@ class Tables:
 def _partial(slice_: int, shards: int, doc: np.ndarray, value: np.ndarray) -> tuple:
     sums = np.bincount(doc, value)
     some = np.unique(doc)
-    return slice_ % shards, PART, slice_, len(some), some.astype("<u4").tobytes(), sums[some].astype("<f8").tobytes(), None, None, None
+    return slice_ % shards, PART, slice_, len(some), _pack(_planes(some.astype("<u4"))), _pack(_planes(sums[some].astype("<f4"))), None, None, None
 
 
 def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD) -> DataFrame:
@@ -374,6 +421,8 @@ def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD) -> DataFram
                 yield common.record(doc_id=part.column(0), lang=part.column(1), n_words=pa.array([len(x.split()) for x in common.texts(part.column(2))], pa.int64()), log_perplexity=pa.nulls(part.num_rows, pa.float64()))
 
         return common.map_arrow(rows, plain, schema)
+    learnt = common.sized(trusted_ids(labels, fold).where("NOT held"))
+    rows = rows.join(learnt, F.col("doc_id") == F.col("trusted"), "left").select("doc_id", "lang", "text", F.col("trusted").isNotNull().alias("learnt"))
     d3, d2, shards, numbers = model["d3"], model["d2"], lay.shards, (model["d1"], model["total"], model["unseen"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,53 +437,67 @@ def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD) -> DataFram
                 yield (number + k) % shards, BASE, number + k, part.num_rows, sink.getvalue().to_pybytes(), None, None, None, None
                 at, n = _summed(common.mix(triple_key(u, v, h) + w.doc.astype(np.uint64) * _A), np.ones(len(h), np.int64))
                 at, n = (x[np.argsort(v[at], kind="stable")] for x in (at, n))
-                yield from _deal(ASK, lay.by_middle(u[at], v[at]), number + k, [u[at], v[at], h[at], w.doc[at].astype("<u4"), n.astype("<u4")])
+                learnt = part.column(3).to_numpy(zero_copy_only=False)[w.doc[at]]
+                for kind, some in ((TRAIN, learnt), (ASK, ~learnt)):
+                    i = at[some]
+                    yield from lay.deal(kind, lay.by_middle(u[i], v[i]), number + k, [u[i], v[i], h[i], w.doc[i].astype("<u4"), n[some].astype("<u4")])
 
         return _batches(out())
 
     def middle(rows: Rows) -> Rows:
         held, tables = [], None
-        for row in rows:
-            if row[1] in (GRAM3, GRAM2):
+
+        def answer(row: tuple) -> Rows:
+            w, doc, n = lay.words([row], 6), _four([row], 7), _four([row], 8)
+            logs, unseen = tables.logs(lay.words([row], 4), lay.words([row], 5), w)
+            yield _partial(row[2], shards, doc, n * logs)
+            yield from lay.deal(ASK, lay.by_word(w[unseen]), row[2], [None, None, w[unseen], doc[unseen].astype("<u4"), n[unseen].astype("<u4")])
+
+        for row in chain(rows, [None]):
+            if row is not None and row[1] in (GRAM2, TRAIN):
                 held.append(row)
-            elif row[1] == BASE:
-                yield row
-            else:
-                if tables is None:
-                    tables, held = Tables(held, d3, d2), []
-                w, doc, n = _wide(row[6]), _four(row[7]), _four(row[8])
-                logs, unseen = tables.logs(_wide(row[4]), _wide(row[5]), w)
-                yield _partial(row[2], shards, doc, n * logs)
-                yield from _deal(ASK, lay.by_word(w[unseen]), row[2], [None, None, w[unseen], doc[unseen].astype("<u4"), n[unseen].astype("<u4")])
+                continue
+            if tables is None:
+                tables = Tables(lay, held, d3, d2)
+                for own in held:
+                    if own[1] == TRAIN:
+                        yield from answer(own)
+                held = []
+            if row is not None:
+                if row[1] == ASK:
+                    yield from answer(row)
+                else:
+                    yield row
 
     def last(rows: Rows) -> Rows:
         held, table = [], None
         for row in rows:
             if row[1] == WORD:
                 held.append(row)
+            elif row[1] == ASK:
+                table = table or word_shares(lay, held, numbers)
+                yield _partial(row[2], shards, _four([row], 7), _four([row], 8) * np.log(_look(table, lay.words([row], 6), numbers[2])))
             else:
-                table = table or word_shares(held, numbers)
-                yield _partial(row[2], shards, _four(row[7]), _four(row[8]) * np.log(_look(table, _wide(row[6]), numbers[2])))
+                yield row
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc, value = [], []
         for row in _each(batches):  # the parts of a slice come before its documents
             if row[1] == PART:
-                doc.append(row[4])
-                value.append(row[5])
+                doc.append(_four([row], 4))
+                value.append(_four([row], 5, "<f4"))
                 continue
             base = pa.ipc.open_stream(row[4]).read_next_batch()
             # Partial sums arrive in any order: sorted first, they always add up alike.
-            place, part = np.frombuffer(b"".join(doc), "<u4"), np.frombuffer(b"".join(value), "<f8")
+            place, part = np.concatenate([np.zeros(0, np.int64), *doc]), np.concatenate([np.zeros(0), *value])
             order = np.lexsort((part, place))
             sums = np.bincount(place[order], part[order], base.num_rows)
             n = base.column(2).to_numpy()
             yield pa.RecordBatch.from_arrays([*base.columns, pa.array(np.round(-sums / np.maximum(n, 1), 9) + 0.0)], [*base.schema.names, "log_perplexity"])
             doc, value = [], []
 
-    asked = common.written(_meet(common.map_arrow(rows, ask, ROW).unionByName(model["grams"]), lay, middle), "asked")
-    rest = _meet(asked.where(F.col("kind") == ASK).unionByName(model["words"]), lay, last)
-    parts = asked.where(F.col("kind").isin(PART, BASE)).unionByName(rest).select("slice", "kind", "a", "b")
+    asked = _meet(common.map_arrow(rows, ask, ROW).unionByName(model["pairs"]), lay, middle)
+    parts = _meet(asked.unionByName(model["words"]), lay, last).select("slice", "kind", "a", "b")
     parts = parts.repartition(shards, "slice").sortWithinPartitions("slice", "kind")
     return common.map_arrow(parts.selectExpr("0 AS shard", "kind", "slice", "0L AS n", "a", "b"), back, schema)
 

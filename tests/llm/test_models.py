@@ -136,7 +136,7 @@ def test_kneser_ney_against_the_plain_formulas(spark, monkeypatch, words_a_shard
         return out
 
     lay = kneser_ney.layout(docs)
-    assert (lay.parts.max() > 1) == (words_a_shard == 7)  # the words a and b are split
+    assert words_a_shard != 7 or (lay.shards > 4 and lay.parts.max() > 2)  # frequent words are split
     got = {(r.doc_id, math.exp(r.log_perplexity)) for r in kneser_ney.perplexity(docs, labels, fold=0).collect()}
     for i, t, _ in rows:
         w = ["^", "^", *(t or "").split()]
