@@ -6,10 +6,10 @@ every pair of neighbours is hashed to one of ``BUCKETS``; two multinomials with
 additive smoothing are counted, one from trusted texts (labelled quality 1) and
 one from the raw corpus, and the mean of log(trusted / raw) over a document's
 n-grams must reach ``LEAST_RATIO``. Raw counts cover every word of every
-document. The trusted side takes at most ``TRUSTED_ROWS`` labelled rows (those
-with the least hash of their id), a documented bound that also bounds the
-broadcast of their ids. The model has BUCKETS numbers whatever the input; it
-reaches the scan as one folded literal, so scoring has no join and no shuffle.
+document, trusted counts every word of every trusted one. Trusted ids are
+broadcast only where they are counted to be few; beyond that Spark shuffles both
+sides. The model has BUCKETS numbers whatever the input; it reaches the scan as
+one folded literal, so scoring has no join and no shuffle.
 
 Edge cases: null or empty text has no words, fails the base rule and has ratio
 0; a null doc_id is scored but never trusted; repeated rows are scored alike;
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from . import common
 
 BUCKETS = 1 << 14
-TRUSTED_ROWS = 20_000
 SMOOTHING = 1.0
 #: Mean log ratio below which a document is rejected.
 LEAST_RATIO = -0.06
@@ -55,14 +54,13 @@ def _two(w: Column, after: Column) -> Column:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted")).distinct()
-    return ids.orderBy(F.xxhash64("trusted"), "trusted").limit(TRUSTED_ROWS)
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted")).distinct()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
     """The log ratio of every bucket; BUCKETS numbers reach the driver."""
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), words_of(common.text_or_empty()).alias("words"))
-    rows = rows.join(F.broadcast(trusted_ids(labels)), F.col("doc_id") == F.col("trusted"), "left")
+    rows = rows.join(common.sized(trusted_ids(labels)), F.col("doc_id") == F.col("trusted"), "left")
     pairs = F.arrays_zip(F.col("words").alias("w"), F.slice("words", F.lit(2), F.size("words")).alias("v"))
     rows = rows.select(F.col("trusted").isNotNull().cast("int").alias("t"), F.explode(pairs).alias("x"))
     rows = rows.select("t", F.explode(F.array(_one(F.col("x.w")), _two(F.col("x.w"), F.col("x.v")))).alias("g"))
