@@ -10,8 +10,9 @@ the others are opened, and each window gets the least document that has it, with
 its source coordinate. Neighbouring windows whose sources lie on one diagonal
 (same source document, same distance) compact into spans again, first inside a
 path, then along the document after a Spark join brings its paths together; the
-diagonal verifies that a long span is one passage of its source. Two windows
-count as equal when the 64-bit minimizer and the 48-bit fingerprint both agree.
+diagonal verifies that a long span is one passage of its source. Windows of one
+bucket are compared by a 64-bit mix of minimizer and 48-bit fingerprint, not by
+their words, so two different ones could meet by chance (one in 2^64 a pair).
 
 Skew: a first pass counts paths per minimizer in ``COUNTERS`` counters. Where a
 counter stands out its windows are dealt by their own fingerprint instead of the

@@ -85,3 +85,15 @@ def test_empty_tables(spark):
     assert m.digest(docs, lab).count() == 0
     some = spark.createDataFrame([(1, "w " * 20 + " ".join(f"v{i}" for i in range(60)))], "doc_id long, text string").repartition(2)
     assert m.digest(some, lab).first().kept
+
+
+def test_trusted_ids_beyond_the_broadcast_bound_give_the_same_model(spark, sf_dir, monkeypatch):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    want = quality_rules.fit(docs, labels)
+    monkeypatch.setattr(quality_rules.common, "BROADCAST_IDS", 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert quality_rules.fit(docs, labels) == want and any(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
