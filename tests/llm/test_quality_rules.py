@@ -89,11 +89,11 @@ def test_empty_tables(spark):
 
 def test_trusted_ids_beyond_the_broadcast_bound_give_the_same_model(spark, sf_dir, monkeypatch):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    want = quality_rules.fit(docs, labels)
-    monkeypatch.setattr(quality_rules.common, "BROADCAST_IDS", 0)
+    want = m.fit(docs, labels)
+    monkeypatch.setattr(m.common, "BROADCAST_IDS", 0)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        assert quality_rules.fit(docs, labels) == want and any(want)
+        assert m.fit(docs, labels) == want and any(want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
