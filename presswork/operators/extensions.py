@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bits import hamming
+from .near import near_pairs
 
-#: Ours: bits that may differ, confidence below which a topic is a fallback, least sources and least score of a summary.
-NEAR_BITS, LEAST_CONFIDENCE, LEAST_SOURCES, LEAST_SCORE = 3, 0.5, 2, 0.6
+#: Ours: confidence below which a topic is a fallback, least sources and least score of a summary.
+LEAST_CONFIDENCE, LEAST_SOURCES, LEAST_SCORE = 0.5, 2, 0.6
 
 
 def collapse_exact(records: DataFrame) -> DataFrame:
@@ -19,18 +19,6 @@ def collapse_exact(records: DataFrame) -> DataFrame:
     return records.join(first, "content_hash", "left").select("article_id", F.coalesce("least", "article_id").alias("representative_id"))
 
 
-def near_pairs(codes: DataFrame, bits: int = NEAR_BITS) -> DataFrame:
-    """(a, b, distance) of distinct fingerprints (column simhash) within ``bits`` bits: they share one of bits + 1 bands."""
-    bands = bits + 1
-    width = 64 // bands
-    distinct = codes.select(F.col("simhash").alias("code")).where("code IS NOT NULL").distinct()
-    parts = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("code", k * width).bitwiseAND(F.lit((1 << (width if k < bands - 1 else 64 - width * k)) - 1 if not (k == 0 and bands == 1) else -1)).alias("v")) for k in range(bands)]
-    keyed = distinct.select("code", F.explode(F.array(*parts)).alias("band"))
-    other = keyed.select(F.col("code").alias("b"), F.col("band").alias("other"))
-    pairs = keyed.join(other, (F.col("band") == F.col("other")) & (F.col("code") < F.col("b")))
-    return pairs.where(hamming(F.col("code"), F.col("b")) <= bits).select(F.col("code").alias("a"), "b", hamming(F.col("code"), F.col("b")).alias("distance")).distinct()
-
-
 def distinct_sources(members: DataFrame, records: DataFrame, copies: DataFrame) -> DataFrame:
     """(cluster_id, article_count, distinct_source_count): sources of members and of their copies, each once."""
     own = members.join(records.select("article_id", "source_id"), "article_id")

@@ -370,6 +370,11 @@ def dedup_near(s, d):
     return extensions.near_pairs(view(s, d, "canonical_record").where("article_id < 400")).withColumn("distance", F.col("distance").cast("int"))
 
 
+@query("dedup_near_all", "SELECT a.code AS a, b.code AS b, CAST(bit_count(xor(a.code, b.code)) AS INT) AS distance FROM (SELECT DISTINCT simhash AS code FROM canonical_record) a JOIN (SELECT DISTINCT simhash AS code FROM canonical_record) b ON a.code < b.code WHERE bit_count(xor(a.code, b.code)) <= 3", "canonical_record")
+def dedup_near_all(s, d):
+    return extensions.near_pairs(view(s, d, "canonical_record"))
+
+
 @query("distinct_sources", "SELECT m.cluster_id, count(DISTINCT m.article_id) AS article_count, count(DISTINCT x.source_id) AS distinct_source_count FROM member m JOIN (SELECT article_id, source_id FROM canonical_record UNION ALL SELECT article_id, source_id FROM alternate_copy) x ON x.article_id = m.article_id GROUP BY m.cluster_id", "member", "canonical_record", "alternate_copy")
 def distinct_sources(s, d):
     return extensions.distinct_sources(view(s, d, "member"), view(s, d, "canonical_record"), view(s, d, "alternate_copy"))
