@@ -97,6 +97,12 @@ def seed_insert_only(s, d):
     return registry.seed_verdicts(view(s, d, "source"), entries)
 
 
+@query("seed_insert_only_all", "SELECT position, name, home_url, NOT EXISTS (SELECT 1 FROM source s WHERE s.home_url = e.home_url) AND row_number() OVER (PARTITION BY home_url ORDER BY position) = 1 AS inserted FROM (SELECT doc_id AS position, 'n' || CAST(doc_id AS VARCHAR) AS name, 'https://src' || CAST(doc_id // 3 AS VARCHAR) || '.example.org' AS home_url FROM documents) e", "source")
+def seed_insert_only_all(s, d):
+    entries = readers.table(s, d, "documents").selectExpr("doc_id AS position", "concat('n', doc_id) AS name", "concat('https://src', doc_id DIV 3, '.example.org') AS home_url")
+    return registry.seed_verdicts(view(s, d, "source"), entries)
+
+
 # --- the work queue ----------------------------------------------------------------------------
 
 
@@ -178,6 +184,18 @@ def classify_batch_errors(s, d):
     return ids.select("batch", inference.batch_fault(F.col("ids"), inference.CLASSIFY_BATCH).alias("fault"))
 
 
+# Of each 192 documents 80 are one batch, 56 one with repeated ids and 56 one without.
+_BATCH = "CASE WHEN doc_id % 192 < 80 THEN 0 WHEN doc_id % 192 < 136 THEN 1 ELSE 2 END"
+_BATCH_ID = f"CASE WHEN ({_BATCH}) = 1 THEN doc_id % 50 ELSE doc_id END"
+
+
+@query("classify_batch_errors_all", f"SELECT batch, CASE WHEN n > 64 THEN 'too_many' WHEN m < n THEN 'duplicate_id' END AS fault FROM (SELECT doc_id // 192 * 3 + {_BATCH} AS batch, count(*) AS n, count(DISTINCT {_BATCH_ID}) AS m FROM documents GROUP BY 1) t")
+def classify_batch_errors_all(s, d):
+    docs = readers.table(s, d, "documents").select(F.expr(f"doc_id DIV 192 * 3 + {_BATCH}").alias("batch"), F.expr(_BATCH_ID).alias("id"))
+    ids = docs.groupBy("batch").agg(F.collect_list("id").alias("ids"))
+    return ids.select("batch", inference.batch_fault(F.col("ids"), inference.CLASSIFY_BATCH).alias("fault"))
+
+
 @query("taxonomy_versions", "SELECT v AS requested, CASE WHEN v IS NULL OR v = '' THEN 'v1' ELSE v END AS version, coalesce(nullif(v, ''), 'v1') = 'v1' AS supported FROM (VALUES ('v1'), ('v2'), (''), (NULL)) t(v)")
 def taxonomy_versions(s, d):
     df = s.createDataFrame([("v1",), ("v2",), ("",), (None,)], "requested string")
@@ -220,6 +238,18 @@ def job_run(s, d):
     return jobs.run(view(s, d, "summarize_job").where("id < 300"), items, ts(JOBS_NOW))[0].select("id", "status", "expires_at")
 
 
+# Five documents a job, but one in 100 alone in a job of its own that fails; the jobs after the last document have no items.
+_JOB = "2 * (doc_id {div} 5) + CASE WHEN doc_id % 100 = 7 THEN 1 ELSE 0 END"
+
+
+@query("job_run_all", f"SELECT id, CASE WHEN bad = 0 THEN 'succeeded' WHEN bad = n THEN 'failed' ELSE 'partial' END AS status, {{jobs_now}} + {{min:1440}} AS expires_at FROM (SELECT j.id, count(i.doc_id) AS n, count(CASE WHEN length(i.text) > 20000 OR i.doc_id % 50 = 7 THEN 1 END) AS bad FROM summarize_job j LEFT JOIN (SELECT *, {_JOB.format(div='//')} AS job_id FROM documents) i ON i.job_id = j.id GROUP BY j.id) t", "summarize_job")
+def job_run_all(s, d):
+    docs = readers.table(s, d, "documents")
+    doc = F.array(F.struct(F.col("source"), F.lit("").alias("title"), F.col("text"), F.lit(None).cast("string").alias("url")))
+    items = docs.select(F.col("doc_id").alias("id"), F.expr(_JOB.format(div="DIV")).alias("job_id"), F.concat(F.lit("i"), "doc_id").alias("item_id"), F.when(F.col("doc_id") % 50 != 7, doc).alias("documents"))
+    return jobs.run(view(s, d, "summarize_job"), items, ts(JOBS_NOW))[0].select("id", "status", "expires_at")
+
+
 @query("job_read_state", "SELECT id, CASE WHEN {jobs_now} >= expires_at THEN 'expired' ELSE status END AS status, {jobs_now} < expires_at AND status IN ('succeeded', 'partial', 'failed', 'expired') AS has_results FROM summarize_job", "summarize_job")
 def job_read_state(s, d):
     return jobs.read_state(view(s, d, "summarize_job"), ts(JOBS_NOW)).select("id", "status", "has_results")
