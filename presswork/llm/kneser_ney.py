@@ -22,15 +22,14 @@ shard's tables fit one task at any size. A middle word that fills more than a
 shard is split by the word before it; its pair table, one row a pair, is copied
 to each part. Words are known by 48 bits of their hash.
 
-A document is kept when its perplexity does not exceed its language's
-threshold: the ``QUANTILE`` of the left-out trusted documents of that language,
-times ``SLACK``. Languages without such documents use all of theirs. Quantiles
-are exact over log perplexities rounded to 1/``STEPS``, so they need a bounded
-number of counts.
-
-Edge cases: null or empty text has no words, perplexity 1 and is kept; documents
-under ``LEAST_WORDS`` words are scored and kept; null ids are scored and never
-trusted; a null language is a language of its own; repeated rows score alike;
+A document is kept when its perplexity does not exceed the threshold of its
+language and length class (under ``SHORT`` words or not): the ``QUANTILE`` of the
+left-out trusted documents of that language and class. Where there are none, all
+documents of the language and class are used. Quantiles are exact over log
+perplexities rounded up to 1/``STEPS``, so they need a bounded number of counts.
+
+Edge cases: null or empty text has no words, perplexity 1 and is kept; null ids
+are scored and never trusted; a null language is a language of its own; repeated rows score alike;
 without any trusted text perplexity is null and all is kept; an empty table
 gives an empty table; other columns are not read.
 """
@@ -50,9 +49,9 @@ from . import common
 
 #: One trusted document in FOLD sets thresholds instead of being counted.
 FOLD = 8
-QUANTILE, SLACK, STEPS = 0.99, 1.5, 10_000
-#: Shorter documents give no steady perplexity; they are scored and kept.
-LEAST_WORDS = 20
+QUANTILE, STEPS = 0.99, 10_000
+#: Documents under so many words have less steady perplexities and thresholds of their own.
+SHORT = 20
 SLICE = 1 << 20
 COUNTERS = 1 << 14
 WORDS_A_SHARD = 1 << 23
@@ -503,17 +502,19 @@ def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD) -> DataFram
 
 
 def _quantile(rows: DataFrame, name: str) -> DataFrame:
-    """(of, name): the least rounded log perplexity that QUANTILE of a language's documents do not exceed."""
-    bins = rows.where("log_perplexity IS NOT NULL").groupBy("lang", F.round(F.col("log_perplexity") * STEPS).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy("lang")))
-    return upto.where(F.col("upto") >= F.col("all") * QUANTILE).groupBy(F.col("lang").alias("of")).agg((F.min("bin") / STEPS).alias(name))
+    """(of, brief, name): the least rounded log perplexity that QUANTILE of the documents of a language and length class do not exceed."""
+    bins = rows.where("log_perplexity IS NOT NULL").groupBy("lang", "short", F.ceil(F.col("log_perplexity") * STEPS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("lang", "short").orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy("lang", "short")))
+    return upto.where(F.col("upto") >= F.col("all") * QUANTILE).groupBy(F.col("lang").alias("of"), F.col("short").alias("brief")).agg((F.min("bin") / STEPS).alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, perplexity, threshold, kept)."""
-    found = common.written(perplexity(docs, labels), "perplexities")
+    found = common.written(perplexity(docs, labels), "perplexities").withColumn("short", F.col("n_words") < SHORT)
     held = found.join(common.sized(trusted_ids(labels).where("held")), F.col("doc_id") == F.col("trusted"), "left_semi")
     own, every = _quantile(held, "own"), _quantile(found, "every")
-    limits = every.join(own, every["of"].eqNullSafe(own["of"]), "left").select(every["of"], (F.exp(F.coalesce("own", "every")) * SLACK).alias("threshold"))
-    out = found.join(common.sized(common.durable(limits)), F.col("lang").eqNullSafe(F.col("of")), "left").withColumn("perplexity", F.exp("log_perplexity"))
-    return out.select("doc_id", "perplexity", "threshold", (F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) | (F.col("n_words") < LEAST_WORDS)).alias("kept"))
+    same = every["of"].eqNullSafe(own["of"]) & (every["brief"] == own["brief"])
+    limits = every.join(own, same, "left").select(every["of"], every["brief"], F.exp(F.coalesce("own", "every")).alias("threshold"))
+    mine = F.col("lang").eqNullSafe(F.col("of")) & (F.col("short") == F.col("brief"))
+    out = found.join(common.sized(common.durable(limits)), mine, "left").withColumn("perplexity", F.exp("log_perplexity"))
+    return out.select("doc_id", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))

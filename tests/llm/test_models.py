@@ -160,3 +160,19 @@ def test_kneser_ney_keeps_clean_texts_and_counts_all_trusted_ones(spark):
     assert sum(good) >= 0.97 * len(good) and sum(good) / len(good) > sum(bad) / len(bad)
     ids = kneser_ney.trusted_ids(labels).groupBy("held").count().collect()
     assert sum(r["count"] for r in ids) == len({i for i, q in quality.items() if q == 1})
+
+
+def test_kneser_ney_judges_by_the_plain_quantile_of_language_and_length(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = {r.doc_id: r for r in kneser_ney.classify(docs, labels).collect()}
+    held = {r.trusted for r in kneser_ney.trusted_ids(labels).where("held").collect()}
+    classes = {}
+    for r in docs.collect():
+        classes.setdefault((r.lang, len(r.text.split()) < 20), []).append(r.doc_id)
+    assert {short for _, short in classes} == {False, True}
+    for ids in classes.values():
+        known = sorted(got[i].perplexity for i in held.intersection(ids) or ids)
+        limit = known[math.ceil(len(known) * 0.99) - 1]
+        assert all(limit <= got[i].threshold <= limit * 1.0002 for i in ids)
+        assert all(got[i].kept == (got[i].perplexity <= got[i].threshold) for i in ids)
