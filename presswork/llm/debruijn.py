@@ -1,16 +1,16 @@
-"""Repeated passages by compacted De Bruijn paths over word k-mers.
+"""Repeated passages by minimizer buckets of 13-word windows.
 
-A window of 13 words is an edge between two nodes of 12 words. Edges are never
-shipped one by one: consecutive windows of a document that share a minimizer
-(the least hash of their 5-word grams) form one unbranched path and travel as one
+A window of 13 words would be an edge between two nodes of 12 words; no graph, degree
+or branch is computed. Windows are never shipped one by one: consecutive windows of a document that share a minimizer
+(the least hash of their 5-word grams) form one path and travel as one
 record with its source coordinate (document, first window) and the 48-bit
 fingerprints of its windows. Equal windows have equal minimizers, so they meet in
 one bucket; there paths whose minimizer occurs in one document only are dropped,
 the others are opened, and each window gets the least document that has it, with
 its source coordinate. Neighbouring windows whose sources lie on one diagonal
 (same source document, same distance) compact into spans again, first inside a
-path, then along the document after a Spark join brings its paths together; the
-diagonal verifies that a long span is one passage of its source. Windows of one
+path, then along the document after a Spark join brings its paths together; that
+only merges, no span is verified or rejected by it. Windows of one
 bucket are compared by a 64-bit mix of minimizer and 48-bit fingerprint, not by
 their words, so two different ones could meet by chance (one in 2^64 a pair).
 
