@@ -20,7 +20,8 @@ Spark joins over those edges.
 
 Edge cases: null text counts as empty; texts without words have fingerprint
 zero and link like any other; null ids keep their fingerprint, link nothing and
-have a null component; repeated rows share a fingerprint and component; an
+have a null component; repeated rows share a fingerprint and component; rows of
+one id with unlike texts are in components of their own; an
 empty table gives an empty table; only the id and text columns are read.
 """
 
@@ -125,14 +126,17 @@ def fingerprints(raw: list[bytes], size: int = 3) -> np.ndarray:
     return out
 
 
-def fingerprint_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+def fingerprint_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, fp, mark0, mark1, ...): fp holds the 64 bits as a signed long; marks are long columns that travel along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, limit=SLICE):
-            yield common.record(doc_id=part.column(0), fp=fingerprints(common.texts(part.column(1))).view(np.int64))
+            more = {f"mark{k}": part.column(2 + k) for k in range(part.num_columns - 2)}
+            yield common.record(doc_id=part.column(0), fp=fingerprints(common.texts(part.column(1))).view(np.int64), **more)
 
-    return common.map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, "doc_id long, fp long")
+    names = [f"mark{k}" for k in range(len(marks))]
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *[m.alias(n) for m, n in zip(marks, names)])
+    return common.map_arrow(rows, run, ", ".join(["doc_id long, fp long", *[f"{n} long" for n in names]]))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -289,13 +293,15 @@ def linked(codes: DataFrame, bits: int = BITS, hot: int = HOT_BUCKET) -> DataFra
     return common.map_arrow(dealt, run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs."""
-    rows = common.durable(fingerprint_column(docs, id_col, text_col))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    roots = component_roots(linked(classes.where("node IS NOT NULL"), bits))
-    found = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(found, "fp").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, marks: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, fp, marks, component_id) for every row of docs; the nodes of the graph are fingerprints, never ids."""
+    rows = common.durable(fingerprint_column(docs, id_col, text_col, marks))
+    classes = rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = component_roots(linked(classes.select(F.col("fp").alias("node"), "fp"), bits))
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = rooted.join(named, "root").select("fp", "component_id")
+    return rows.join(found, "fp", "left").select("doc_id", "fp", *[c for c in rows.columns if c.startswith("mark")], F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -304,12 +310,21 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the least of its component, each id once; rows with a null id stay."""
-    found = common.durable(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"))
-    mark = common.fresh(docs, "kept_id")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
-    out = docs.join(kept, docs[id_col].cast("long") == F.col(mark), "left_semi")
-    n = found.agg(F.count("doc_id"), F.count_distinct("doc_id"), F.count(F.lit(1))).first()
-    if n[0] != n[1]:
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(docs[id_col].isNull())) if n[2] != n[0] else out
+    """One row of docs for each component; rows with a null id stay.
+
+    It is the row with the least id; of rows that share that id the one with the
+    least fingerprint, then the least hash of the text, then of the other columns.
+    Rows of one id whose texts lie in different components are kept one by one, so
+    no text goes without a near copy that stays. Of wholly equal rows one stays.
+    """
+    taken = [common.fresh(docs, f"kept_{c}") for c in ("id", "text", "rest")]
+    rest = [docs[c] for c in docs.columns if c not in (id_col, text_col)]
+    keys = (docs[id_col].cast("long"), F.xxhash64(docs[text_col]), F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long"))
+    found = common.durable(near_duplicates(docs, id_col, text_col, marks=keys[1:]).where("doc_id IS NOT NULL"))
+    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fp", "mark0", "mark1")).alias("b"))
+    best = best.select(*[F.col(f"b.{c}").alias(t) for c, t in zip(("doc_id", "mark0", "mark1"), taken)])
+    out = docs.join(best, reduce(lambda a, b: a & b, [k == F.col(t) for k, t in zip(keys, taken)]), "left_semi")
+    same = found.join(best, reduce(lambda a, b: a & b, [F.col(c) == F.col(t) for c, t in zip(("doc_id", "mark0", "mark1"), taken)]), "left_semi").count()
+    if same != found.select("component_id").distinct().count():
+        out = out.withColumns(dict(zip(taken, keys))).dropDuplicates(taken).drop(*taken)
+    return out.unionByName(docs.where(docs[id_col].isNull()))

@@ -71,6 +71,11 @@ def test_documents_with_nulls_repeats_and_other_columns(spark):
         rows.append((10 + i, " ".join(t), "z", i))
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in m.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
     slow = slow_components([(r[0], slow_fingerprint(r[1])) for r in rows if r[0] is not None])
+    # Two texts of one id that do not link are apart.
+    rows.append((10, " ".join(f"z{i}" for i in range(40)), "z", 0))
+    more = {(r.doc_id, r.fingerprint, r.component_id) for r in m.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert more == got | {(10, f"{slow_fingerprint(rows[-1][1]):016x}", 10)}
+    del rows[-1]
     assert got == {(r[0], f"{slow_fingerprint(r[1]):016x}", slow.get(r[0])) for r in rows}
     assert m.digest(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -90,3 +95,31 @@ def test_one_document_of_each_group_stays(spark):
     rows = [(5, "a b c d e", "l", 1), (3, "a b c d e", "l", 2), (3, "a b c d e", "l", 2), (9, "q r s t u v", "l", 3), (None, "a b c d e", "l", 4)]
     got = sorted((r.doc_id or -1) for r in m.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [-1, 3, 9]
+
+
+def test_no_text_goes_with_a_row_that_shares_its_id(spark):
+    rnd = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    base = [rnd.choices(vocab, k=150) for _ in range(5)]
+    rows = []
+    for i in range(60):
+        t = list(rnd.choice(base))
+        t[rnd.randrange(150)] = rnd.choice(vocab)
+        rows.append((i // 3, " ".join(t), "l", i % 2))
+    rows += [(5, "beta beta beta x", "l", 1), (5, "alpha one two three", "l", 1), (3, "beta beta beta x", "l", 1), (5, "alpha one two three", "l", 1), (6, None, "l", None), (6, "", None, 1)]
+    codes = sorted({slow_fingerprint(t) for _, t, _, _ in rows})
+    least = slow_components(list(enumerate(codes)))
+    groups = {}
+    for i, t, _, _ in rows:
+        c = slow_fingerprint(t)
+        groups.setdefault(least[codes.index(c)], []).append((i, c - (1 << 64) if c >> 63 else c, t))
+    for order in (rows, rows[::-1]):
+        got = m.keep_one(spark.createDataFrame(order, SCHEMA).repartition(2)).collect()
+        assert sorted(r.doc_id for r in got) == sorted(min(x[:2] for x in g)[0] for g in groups.values())
+        for r in got:
+            c = slow_fingerprint(r.text)
+            own = groups[least[codes.index(c)]]
+            best = min(x[:2] for x in own)
+            assert (r.doc_id, c - (1 << 64) if c >> 63 else c) == best
+    texts = {(r.doc_id, r.text) for r in got}
+    assert (3, "beta beta beta x") in texts and (5, "alpha one two three") in texts and (5, "beta beta beta x") not in texts
