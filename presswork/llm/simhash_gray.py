@@ -294,14 +294,17 @@ def linked(codes: DataFrame, bits: int = BITS, hot: int = HOT_BUCKET) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, marks: tuple[Column, ...] = ()) -> DataFrame:
-    """(doc_id, fp, marks, component_id) for every row of docs; the nodes of the graph are fingerprints, never ids."""
+    """(doc_id, fp, marks, root, component_id) for every row of docs; the nodes of the graph are fingerprints, never ids.
+
+    root names the component by a fingerprint: unlike components can share their least id.
+    """
     rows = common.durable(fingerprint_column(docs, id_col, text_col, marks))
     classes = rows.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = component_roots(linked(classes.select(F.col("fp").alias("node"), "fp"), bits))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(found, "fp", "left").select("doc_id", "fp", *[c for c in rows.columns if c.startswith("mark")], F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    found = rooted.join(named, "root").select("fp", "root", "component_id")
+    return rows.join(found, "fp", "left").select("doc_id", "fp", *[c for c in rows.columns if c.startswith("mark")], "root", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -321,10 +324,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rest = [docs[c] for c in docs.columns if c not in (id_col, text_col)]
     keys = (docs[id_col].cast("long"), F.xxhash64(docs[text_col]), F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long"))
     found = common.durable(near_duplicates(docs, id_col, text_col, marks=keys[1:]).where("doc_id IS NOT NULL"))
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fp", "mark0", "mark1")).alias("b"))
+    best = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "mark0", "mark1")).alias("b"))
     best = best.select(*[F.col(f"b.{c}").alias(t) for c, t in zip(("doc_id", "mark0", "mark1"), taken)])
     out = docs.join(best, reduce(lambda a, b: a & b, [k == F.col(t) for k, t in zip(keys, taken)]), "left_semi")
     same = found.join(best, reduce(lambda a, b: a & b, [F.col(c) == F.col(t) for c, t in zip(("doc_id", "mark0", "mark1"), taken)]), "left_semi").count()
-    if same != found.select("component_id").distinct().count():
+    if same != found.select("root").distinct().count():
         out = out.withColumns(dict(zip(taken, keys))).dropDuplicates(taken).drop(*taken)
     return out.unionByName(docs.where(docs[id_col].isNull()))
