@@ -128,6 +128,13 @@ def library_cache(path: str, kind: str) -> PieceCache:
     return _LOADED[path, kind]
 
 
+def largest_id(path: str) -> int:
+    """The largest id that a tokenizer file can give."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
 def _model(tok) -> Callable[[list[str]], list[list[int]]]:
     """The library's BPE model on pre-tokens in the byte alphabet, without its per-text bookkeeping."""
     letters = str.maketrans(dict(enumerate(byte_letters())))

@@ -3,7 +3,8 @@
 Layout of one folder: ``ids-NNNNN.bin`` holds the ids of a range of documents in
 ascending id order, little-endian and flat; ``ids-NNNNN.idx`` holds a header, the
 local end offset of each document (int64), its id (int64) and a null mark
-(uint8). The width is two bytes where the vocabulary allows it, else four.
+(uint8). The width is two bytes where the largest id of the vocabulary and the end
+id allow it, else four; an id that does not fit is an error, never cut.
 Documents are range-partitioned by id (ties by a hash of the text, so that one
 id cannot fill a task), each task encodes and writes its range under a name of
 its own and renames it, so repeated attempts leave one whole file. Each file's
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .pretoken import library_cache
+from .pretoken import largest_id, library_cache
 
 MAGIC = b"PWTOKEN1"
 END = 1
@@ -52,6 +53,8 @@ class Writer:
         self.ends, self.docs, self.null, self.at = [], [], [], 0
 
     def add(self, ids: np.ndarray, sizes: np.ndarray, docs: np.ndarray, null: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> (8 * self.width):
+            raise ValueError(f"id {int(ids.max())} does not fit in {self.width} bytes")
         self.out.write(ids.astype("<u2" if self.width == 2 else "<u4").tobytes())
         self.ends.append(self.at + np.cumsum(sizes))
         self.docs.append(docs)
@@ -89,9 +92,18 @@ class Reader:
         return self.ids[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])]
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word", width: int = 2, end: int = END) -> DataFrame:
-    """Writes the files; (name, first_doc, start, n_docs, n_tokens) per file, in order. The table has one row a file."""
+def width_of(largest: int) -> int:
+    """Bytes an id, by the largest one."""
+    return 2 if largest < 1 << 16 else 4
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word", width: int | None = None, end: int = END) -> DataFrame:
+    """Writes the files; (name, first_doc, start, n_docs, n_tokens) per file, in order. The table has one row a file.
+
+    width: bytes an id; by default as the vocabulary needs.
+    """
     spark = docs.sparkSession
+    width = width or width_of(max(end, largest_id(tokenizer)))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.col("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     ranged = rows.repartitionByRange(common.parts(spark), *order).sortWithinPartitions(*order)
@@ -102,7 +114,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word", widt
         encode, out, number = library_cache(tokenizer, kind), None, TaskContext.get().partitionId()
         for part in common.slices(batches, limit=SLICE):
             out = out or Writer(folder, number, width)
-            ids, n = encode([x.decode() for x in common.texts(part.column(1))])
+            ids, n = encode([x.decode() for x in common.texts(part.column(1))])  # uint32
             null = part.column(0).is_null().to_numpy(zero_copy_only=False)
             whole = np.insert(ids, np.cumsum(n), end)
             out.add(whole, n + 1, part.column(0).fill_null(0).to_numpy(), null)

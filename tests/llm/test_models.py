@@ -79,6 +79,31 @@ def test_toxicity_is_learnt_without_held_out_rows(spark):
     assert len(toxicity.digest(odd, labels).collect()) == 3 and toxicity.digest(odd.limit(0), labels.limit(0)).count() == 0
 
 
+def test_unseen_misspellings_are_toxic_and_clean_words_are_not():
+    rnd = np.random.default_rng(3)
+    vocab = ["the", "report", "of", "meeting", "was", "sent", "to", "all", "members", "group", "in", "and", "state", "idea", "close", "path", "study"]
+    bad = ["idiot", "stupid", "moron", "pathetic", "loser"]
+    texts = [list(rnd.choice(vocab, rnd.integers(5, 60))) for _ in range(400)]
+    for k, t in enumerate(texts[:120]):
+        t.insert(rnd.integers(0, len(t)), bad[k % len(bad)])
+    model = toxicity.train([" ".join(t).encode() for t in texts], np.arange(400) < 120)
+    clean = "the report of the meeting was sent to all members of the group"
+    odd = [f"{clean} {w} {clean}".encode() for w in ("idiots", "stupidd", "mooron", "patheticc", "stuppid", "loserr", "IDIOT!")]
+    fine = [clean.encode(), b"of the and in to", b"", b"the idea of the state was to close the path"]
+    assert (toxicity.margins(odd, *model) > 0).all() and (toxicity.margins(fine, *model) < 0).all()
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    assert toxicity._within([5, 9, 3, 2, 1], 10) == [True, False, True, True, False]
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * 10 + "x" * (10**6 if i == 1 else 0)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 5000)
+    monkeypatch.setattr(toxicity, "train", lambda raw, toxic: seen.append((sum(map(len, raw)), len(raw))))
+    toxicity.fit(docs, labels)
+    assert seen[0][0] <= 10000 and seen[0][1] == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60) if i != 1)
+
+
 def test_word_sums_equal_a_plain_sum():
     value = np.random.default_rng(2).normal(size=toxicity.BUCKETS).astype(np.float32)
     raw = [b"Ab", b"", " \n idiot é x".encode(), b"a bb ccc dddd eeeee ffffff ggggggg"]

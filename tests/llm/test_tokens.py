@@ -81,6 +81,18 @@ def test_token_files(spark, sf_dir):
     assert token_files.digest(df.limit(0), WORD).count() == 0
 
 
+def test_widths_follow_the_vocabulary(tmp_path):
+    assert [token_files.width_of(x) for x in (0, 65535, 65536)] == [2, 2, 4]
+    one = np.array([1], np.int64)
+    for width, top in ((2, 65535), (4, 1 << 31)):
+        w = token_files.Writer(str(tmp_path / str(width)), 0, width)
+        w.add(np.array([top, 1], np.uint32), one * 2, one, one * 0)
+        w.close()
+        assert token_files.Reader(str(tmp_path / str(width) / "ids-00000")).document(0).tolist() == [top, 1]
+    with pytest.raises(ValueError, match="does not fit"):
+        token_files.Writer(str(tmp_path / "small"), 0, 2).add(np.array([65536], np.uint32), one, one, one * 0)
+
+
 def test_packing_query(spark, sf_dir):
     df = docs(spark, sf_dir)
     encode, _ = library(BYTE)
