@@ -1,17 +1,18 @@
 """Secret scans: base patterns, and a linear-chain conditional random field.
 
 Texts are cut into tokens (runs of letters, digits and ``_-./+``, or one other
-symbol). The field tags each token begin, inside or outside from its shape, its
-word, its neighbours' words and shapes, and features of the whole file. It is
-trained here by maximum likelihood on generated lines (secrets in many formats
-among ordinary words, numbers, addresses and junk), so the model is the same for
-every input. Scores come from table lookups over all tokens of a slice at once.
+symbol). The field tags each token begin, inside or outside from its shape (length,
+digits, case, changes of character class, first three characters), its word, its
+neighbours' words and shapes, and features of the whole file. It is trained here by
+maximum likelihood on generated lines (secrets in many formats and settings among
+ordinary words, identifiers, numbers, addresses, placeholders and junk), so the
+model is the same for every input. Scores come from table lookups over all tokens of a slice at once.
 A token whose outside score leads by more than any pair of transitions can win
 back is outside in the best path whatever surrounds it; Viterbi runs on the
 stretches between such tokens, which gives the exact best path.
 
-Base spans are reported as they are; spans of the field that touch one are left
-out. Spans are code points, end exclusive.
+Base spans are reported as they are; of a span of the field the parts that no base
+span covers are added. Spans are code points, end exclusive.
 
 Edge cases: null text counts as empty; texts of any length are scanned whole; a
 null id passes through; repeated rows get equal results; an empty table gives an
@@ -24,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,14 +46,16 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(rb"[0-9a-f]{24,}")
 
 SLICE = 1 << 20
-#: Hash buckets of words; shapes; file features.
-WORDS, SHAPES, FILES = 1 << 14, 10 * 5 * 4 * 2 * 2, 12
+#: Hash buckets of words and of first three bytes; shapes; file features.
+WORDS, HEADS, SHAPES, FILES = 1 << 16, 1 << 16, 10 * 5 * 4 * 2 * 2 * 4, 12
+#: Words and heads seen less often in training share one weight, so that random values are not learnt by heart.
+LEAST_SEEN = 8
 OUT, BEGIN, INSIDE = 0, 1, 2
 #: Places of the neighbours whose words and shapes count.
 NEAR_WORDS, NEAR_SHAPES = (0, -1, -2, -3, 1), (0, -1, 1)
-SEED, LINES, ROUNDS = 11, 2400, 70
-#: Shorter spans of the field are not reported.
-LEAST_BYTES = 12
+SEED, LINES, ROUNDS = 11, 6000, 70
+#: Shorter spans of the field, and shorter parts beside base spans, are not reported.
+LEAST_BYTES, LEAST_PART = 6, 4
 
 
 def _classes() -> tuple[np.ndarray, ...]:
@@ -66,6 +70,7 @@ def _classes() -> tuple[np.ndarray, ...]:
 _KIND, _DIGIT, _UPPER, _LOWER, _HEXES, _HIGH = _classes()
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_CLASS = (_DIGIT + 2 * _UPPER + 3 * _LOWER).astype(np.uint8)
 _VALUE = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _MUL = np.uint64(0xA24BAED4963EE407)
 
@@ -94,6 +99,7 @@ class Tokens:
         size = np.diff(np.append(at, len(buf)))
         real = kind[at] != 0
         sums = np.stack([np.add.reduceat(t[buf].view(np.uint8), at, dtype=np.int32)[real] for t in (_DIGIT, _UPPER, _HEXES, _HIGH)])
+        turns = np.add.reduceat(np.append(False, _CLASS[buf[1:]] != _CLASS[buf[:-1]]).view(np.uint8), at, dtype=np.int32)[real]
         place = np.arange(len(buf)) - np.repeat(at, size)
         power = np.full(int(size.max()), _MUL)
         power[0] = 1
@@ -108,7 +114,10 @@ class Tokens:
         length = np.searchsorted([2, 4, 8, 12, 16, 20, 24, 32, 40], n, "right")
         share = np.where(digit == 0, 0, np.where(digit == n, 4, 1 + np.minimum(2, 4 * digit // np.maximum(n, 1))))
         case = np.where(upper == 0, 0, np.where(upper == n, 3, np.where((upper == 1) & _UPPER[buf[self.start]], 1, 2)))
-        self.shape = ((((length * 5 + share) * 4 + case) * 2 + (hexes == n)) * 2 + (high > 0)).astype(np.int32)
+        turn = np.searchsorted([2, 4, 8], turns, "right")  # the change before the token counts as well
+        self.shape = (((((length * 5 + share) * 4 + case) * 2 + (hexes == n)) * 2 + (high > 0)) * 4 + turn).astype(np.int32)
+        h = sum(_VALUE[np.where(n > k, buf[np.minimum(self.start + k, len(buf) - 1)], 0)] * _MUL ** np.uint64(k) for k in range(3))
+        self.head = (common.mix(h) & np.uint64(HEADS - 1)).astype(np.int32)
         self.first = np.searchsorted(self.start, np.append(self.doc_start, len(buf)))
         self.doc = np.repeat(np.arange(len(raw)), np.diff(self.first))
         per = np.diff(self.first)
@@ -129,18 +138,29 @@ class Tokens:
 class Crf:
     """Weights by feature and tag; ``pair[a, b]`` for tag b after a."""
 
-    def __init__(self) -> None:
-        self.word = np.zeros((len(NEAR_WORDS), WORDS + 1, 3), np.float32)
+    def __init__(self, words: np.ndarray, heads: np.ndarray) -> None:
+        """words, heads: the buckets with weights of their own."""
+        self.word_at, self.head_at = np.zeros(WORDS, np.int32), np.zeros(HEADS, np.int32)
+        self.word_at[words] = np.arange(1, len(words) + 1)
+        self.head_at[heads] = np.arange(1, len(heads) + 1)
+        self.none = len(words) + 1  # beyond the text
+        self.word = np.zeros((len(NEAR_WORDS), len(words) + 2, 3), np.float32)
         self.shape = np.zeros((len(NEAR_SHAPES), SHAPES + 1, 3), np.float32)
+        self.head = np.zeros((len(heads) + 1, 3), np.float32)
         self.file = np.zeros((FILES, 3), np.float32)
         self.pair = np.zeros((3, 3), np.float32)
 
+    def features(self, t: Tokens) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(weights, the row of each token) for every feature."""
+        word = self.word_at[t.word]
+        out = [(self.word[k], t.near(word, o, self.none) if o else word) for k, o in enumerate(NEAR_WORDS)]
+        out += [(self.shape[k], t.near(t.shape, o, SHAPES) if o else t.shape) for k, o in enumerate(NEAR_SHAPES)]
+        return [*out, (self.head, self.head_at[t.head])]
+
     def scores(self, t: Tokens) -> np.ndarray:
         out = self.file[t.file].sum(0)[t.doc]
-        for k, o in enumerate(NEAR_WORDS):
-            out += self.word[k][t.near(t.word, o, WORDS) if o else t.word]
-        for k, o in enumerate(NEAR_SHAPES):
-            out += self.shape[k][t.near(t.shape, o, SHAPES) if o else t.shape]
+        for w, row in self.features(t):
+            out += w[row]
         return out
 
     def tags(self, t: Tokens) -> np.ndarray:
@@ -176,15 +196,14 @@ class Crf:
                 tag[:m] = back[k, np.arange(m), tag[:m]]
         return out
 
-    def fit(self, t: Tokens, gold: np.ndarray, rounds: int = ROUNDS, rate: float = 0.3, decay: float = 1e-4) -> None:
+    def fit(self, t: Tokens, gold: np.ndarray, rounds: int = ROUNDS, rate: float = 0.4, decay: float = 2e-5) -> None:
         """Maximum likelihood by full-batch AdaGrad; forward and backward sums for all texts at once."""
         n = np.diff(t.first)
         order = np.argsort(-n, kind="stable")
         order = order[n[order] > 0]
         n, first = n[order], t.first[:-1][order]
-        feats = [(self.word[k], t.near(t.word, o, WORDS)) for k, o in enumerate(NEAR_WORDS)] + [(self.shape[k], t.near(t.shape, o, SHAPES)) for k, o in enumerate(NEAR_SHAPES)]
-        feats += [(self.file, f[t.doc]) for f in t.file]
-        power = {id(w): np.full(w.shape, 1e-3, np.float32) for w in [self.pair, self.file, *(w for w, _ in feats[: len(NEAR_WORDS) + len(NEAR_SHAPES)])]}
+        feats = [*self.features(t), *((self.file, f[t.doc]) for f in t.file)]
+        power = {id(w): np.full(w.shape, 1e-3, np.float32) for w in [self.pair, *(w for w, _ in feats)]}
         one = np.eye(3, dtype=np.float32)[gold]
         same = np.flatnonzero(t.doc[1:] == t.doc[:-1])
         seen = np.zeros((3, 3), np.float32)
@@ -214,44 +233,105 @@ class Crf:
                 w += rate * g / np.sqrt(power[id(w)])
 
 
+# Fixed values of the generator: names that announce a secret, prefixes of issued keys, and names that do not.
+_NAMES = (
+    "password", "passwd", "pwd", "pass", "passphrase", "secret", "token", "api_key", "apikey", "api-key", "auth", "auth_token", "access_key", "access_token", "secret_key", "client_secret", "private_key", "signing_key",
+    "encryption_key", "account_key", "credentials", "bearer", "master_key", "refresh_token", "session_key", "webhook_secret", "kennwort", "passwort", "mot_de_passe", "contraseña", "clave", "pin_code",
+)
+_ISSUERS = ("db", "aws", "stripe", "azure", "github", "mail", "smtp", "redis", "admin", "root", "my", "app", "service", "jenkins", "slack", "prod", "test", "gcp", "user", "mysql")
+_PREFIXES = ("ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "sk_test_", "rk_live_", "pk_live_", "xoxb-", "xoxp-", "glpat-", "AIza", "npm_", "hf_", "dop_v1_", "pypi-", "shpat_", "key-", "ya29.", "SG.")
+_PROSE = (
+    "{n} is", "my {n} is", "the {n} was", "{n} is now", "new {n} :", "your {n}:", "login with {n}", "use this {n}:", "das {n} ist", "{n} lautet", "le {n} est", "la {n} es", "{n} =>", "--{n}", "--{n}=", "-{n}", "set {n}", "export {n}=", "ENV {n}", "{n}:", "{n} -",
+)
+_PLAIN = ("color", "id", "version", "size", "name", "title", "user", "page", "lang", "source", "date", "type", "file", "path", "host", "port", "status", "request", "order", "ref", "commit", "branch", "build", "code", "class", "key")
+_COMMON = tuple("this that is was use used with set new your now login my the das dies ist war le la est el es esta export lautet of for and key on in at to a as it mail from write see id user name not are has been".split())
+_EMPTY = ("********", "<password>", "required", "None", "null", "true", "hidden", "reset", "expired", "must have 8 characters", "os.environ", "${SECRET}", "your_password_here", "xxxxxxxx", "[redacted]", "of the user", "field", "manager", "policy", "ring", "garden", "service", "is not shown", "was changed")
+
+
 def _lines(rnd: random.Random) -> list[list[tuple[str, bool]]]:
     """Generated texts as pieces (string, is it a secret)."""
-    alnum, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    lower, upper, digits, hexes = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    alnum = lower + upper + digits
     some = lambda letters, a, b: "".join(rnd.choices(letters, k=rnd.randint(a, b)))
-    parts = ["the", "er", "in", "tion", "re", "and", "ou", "en", "st", "é", "eau", "ß", "ung", "sch", "ñ", "ción", "la", "qu", "mo", "ti"]
+    parts = ["the", "er", "in", "tion", "re", "and", "ou", "en", "st", "é", "eau", "ß", "ung", "sch", "ñ", "ción", "la", "qu", "mo", "ti", "ing", "be", "ver", "al", "um", "to", "ar"]
+    pick = rnd.choice
 
     def word() -> str:
-        w = "".join(rnd.choices(parts, k=rnd.randint(1, 5)))
-        return rnd.choice([w, w, w, w, w.capitalize(), w + ",", w + ".", w.upper(), w + rnd.choice(["###", "&&&", "***", "%%%", "$$$", "!!"])])
+        w = pick(_COMMON) if rnd.random() < 0.3 else "".join(rnd.choices(parts, k=rnd.randint(1, 5)))
+        return pick([w, w, w, w, w.capitalize(), w + ",", w + ".", w.upper(), w + pick(["###", "&&&", "***", "%%%", "$$$", "!!"])])
+
+    def plain() -> str:
+        return "".join(x for x in word() if x.isalpha()) or "x"
+
+    def uuid() -> str:
+        return "-".join(some(hexes, k, k) for k in (8, 4, 4, 4, 12))
 
     def harmless() -> str:
-        return rnd.choice([
-            str(rnd.randrange(10**6)), f"{rnd.randrange(2100)}-{rnd.randrange(13):02}-{rnd.randrange(32):02}", f"{rnd.randrange(30)}.{rnd.randrange(99)}.{rnd.randrange(9)}",
-            f"{word().strip('.,')}@example.com", f"https://www.example.com/{some('abcdefghij', 3, 12)}/{some('abcde-', 4, 20)}?page={rnd.randrange(99)}", f"+{some('0123456789', 9, 12)}", f"({some('0123456789', 3, 3)}) {some('0123456789', 3, 3)}-{some('0123456789', 4, 4)}",
-            f"10.{rnd.randrange(255)}.{rnd.randrange(255)}.1", f"src/{some('abcdefgh', 3, 9)}/{some('abcdefgh_', 3, 14)}.py", some("0123456789", 12, 18), f"{word()} = {rnd.randrange(99)}", f"key: {word()}", f"name={word()}", "token", "secret", "password", "|", "-", "x" * rnd.randint(5, 40),
-            some("abcdefghijklmnopqrstuvwxyz", 14, 34), f"{rnd.choice(['color', 'id', 'version', 'size'])}=\"{some('abcdef', 3, 8)}\"", "Licensed under the Apache License, Version 2.0.", some(hexes, 4, 10), f"{rnd.choice(['Get', 'Set', 'Make'])}{word().capitalize()}Value",
-        ])
+        return pick([
+            lambda: str(rnd.randrange(10**6)), lambda: f"{rnd.randrange(2100)}-{rnd.randrange(13):02}-{rnd.randrange(32):02}", lambda: f"{rnd.randrange(30)}.{rnd.randrange(99)}.{rnd.randrange(9)}",
+            lambda: f"{plain()}.{rnd.randrange(99)}@{plain()}{rnd.randrange(9)}.{pick(['com', 'example.com', 'org'])}", lambda: f"{pick(_NAMES)} {pick(['is', 'was', 'ist', 'est', 'es', 'of', 'for', 'in'])} {plain()} {plain()}", lambda: f"{plain()} {pick(['is', 'was', 'ist', 'est', 'es', 'on', 'now', 'with', 'use', 'set', 'the key', 'my'])} {plain()}{pick(['', '', '.', ':'])} {plain()}",
+            lambda: f"{plain()}.{rnd.randrange(100):02}@{pick(['mail', plain(), 'post'])}{rnd.randrange(10)}.{pick(['example.com', 'com', 'example'])}", lambda: f"{pick(['write to', 'from', ':', 'mail'])} {plain()}{pick(['.', '_', ''])}{plain()}{rnd.randrange(99)}@{plain()}.{plain()}.org",
+            lambda: f"{pick(['le', 'la', 'das', 'el', 'the', 'my', 'der', 'your', 'new'])} {pick([plain(), '', pick(_NAMES)])} {pick(['est', 'ist', 'es', 'is', 'was'])} {plain()}{pick(['', ',', '.'])} {plain()}".replace("  ", " "),
+            lambda: f"{plain()}.{plain()}@{plain()}.com", lambda: f"{plain()}{rnd.randrange(99)}@example.com", lambda: f"https://www.{plain()}.com/{some('abcdefghij', 3, 12)}/{some('abcde-', 4, 20)}?page={rnd.randrange(99)}",
+            lambda: f"http://{plain()}:{rnd.randrange(80, 9999)}/{plain()}", lambda: f"see https://{plain()}.org/{plain()}/{plain()}.html", lambda: f"+{some(digits, 9, 12)}", lambda: f"({some(digits, 3, 3)}) {some(digits, 3, 3)}-{some(digits, 4, 4)}",
+            lambda: f"10.{rnd.randrange(255)}.{rnd.randrange(255)}.1", lambda: f"src/{some('abcdefgh', 3, 9)}/{some('abcdefgh_', 3, 14)}.py", lambda: some(digits, 8, 18), lambda: f"{word()} = {rnd.randrange(99)}",
+            lambda: f"{pick(_PLAIN)}{pick([': ', '=', ' = '])}{pick([plain(), plain() + str(rnd.randrange(99)), uuid(), str(rnd.randrange(10**6)), some(hexes, 4, 12), plain() + '-' + plain(), plain().capitalize() + plain().capitalize()])}",
+            lambda: pick(_NAMES) + " " + plain(), lambda: "the " + pick(_NAMES) + " " + pick(_EMPTY), lambda: pick(_NAMES) + pick([": ", " = ", "=", " "]) + pick(_EMPTY), lambda: f"{plain()} {pick(_NAMES)}.", lambda: f"a {pick(_NAMES)} for the {plain()}",
+            lambda: "|", lambda: "-", lambda: "x" * rnd.randint(5, 40), lambda: pick(lower) * rnd.randint(5, 30), lambda: some(lower, 14, 34), lambda: f"{pick(_PLAIN)}=\"{some('abcdef', 3, 8)}\"", lambda: "Licensed under the Apache License, Version 2.0.", lambda: some(hexes, 4, 10), uuid,
+            lambda: f"{pick(['Get', 'Set', 'Make'])}{plain().capitalize()}{pick(['Value', plain().capitalize()])}", lambda: f"{plain()}_{plain()}_{rnd.randrange(99)}", lambda: f"{plain()}{plain().capitalize()}{rnd.randrange(9)}", lambda: f"{some(upper, 2, 3)}-{some(digits, 3, 6)}-{some(upper, 1, 3)}",
+            lambda: f"{some(upper, 2, 2)}{some(digits, 16, 22)}", lambda: " ".join(some(digits, 4, 4) for _ in range(4)), lambda: f"#{some(hexes, 6, 6)}", lambda: f"<{plain()}>{word()}</{plain()}>", lambda: f"{plain()}@{plain()}:~/{plain()}", lambda: f"{rnd.randrange(24):02}:{rnd.randrange(60):02}:{rnd.randrange(60):02}",
+            lambda: f"{plain()}/{plain()}-{plain()}", lambda: f"ISBN 978-{rnd.randrange(10)}-{some(digits, 4, 4)}-{some(digits, 4, 4)}-{rnd.randrange(10)}", lambda: f"{plain().upper()}_{plain().upper()}", lambda: f"{plain()}.{plain()}.{plain()}()", lambda: "".join(rnd.choices(parts[:20], k=rnd.randint(6, 10))),
+        ])()
+
+    def human() -> str:
+        w = list(some(lower, 5, 9))
+        for _ in range(rnd.randint(1, 4)):
+            w[rnd.randrange(len(w))] = pick(digits)
+        w[0] = pick([w[0], w[0].upper()])
+        return "".join(w) + pick(["", "", some(digits, 1, 4), pick(upper), "!", "!" + some(digits, 1, 3), "_" + some(alnum, 2, 4), "#" + some(digits, 1, 2), "$" + some(lower, 1, 3)])
+
+    def issued() -> str:
+        prefix = pick(_PREFIXES)
+        if prefix.startswith("xox"):
+            return f"{prefix}{some(digits, 10, 12)}-{some(digits, 10, 13)}-{some(alnum, 16, 32)}"
+        if prefix == "SG.":
+            return f"SG.{some(alnum + '_-', 18, 24)}.{some(alnum + '_-', 32, 44)}"
+        return prefix + some(alnum + pick(["", "_", "-"]), 20, 44)
+
+    def jwt() -> str:
+        url = alnum + "_-"
+        return f"eyJ{some(url, 14, 36)}.eyJ{some(url, 18, 80)}.{some(url, 20, 43)}"
+
+    def opaque() -> str:
+        return pick([lambda: some(hexes, 16, 64), lambda: some(alnum, 16, 44), lambda: some(alnum + "+/", 24, 88) + pick(["", "=", "=="]), lambda: some(alnum + "_-", 18, 44), lambda: some(upper + digits, 16, 32), lambda: some(lower + digits, 16, 40)])()
 
     def secret() -> list[tuple[str, bool]]:
-        value = rnd.choice([lambda: some(hexes, 16, 48), lambda: some(alnum, 18, 44), lambda: some(alnum + "+/", 24, 60) + rnd.choice(["", "=", "=="]), lambda: some(alnum + "_-", 20, 40)])()
-        name = rnd.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "auth", "pwd", "access_key", "client_secret", "private_key", "credentials", "Authorization", "bearer"])
-        name = rnd.choice([name, name.upper(), name.capitalize()])
-        quote = rnd.choice(["", '"', "'"])
-        form = rnd.randrange(6)
-        if form < 3:
-            return [(f"{name}{rnd.choice(['=', ' = ', ': ', ':', ' => '])}{quote}", False), (value, True), (f"{quote} ", False)]
-        if form == 3:
-            return [("AKIA" + some(alnum[:26] + "0123456789", 16, 16), True), (" ", False)]
-        if form == 4:
-            return [(rnd.choice(["ghp_", "sk-", "xoxb-", "glpat-", "AIza", "eyJ"]) + some(alnum, 24, 40), True), (" ", False)]
-        return [(some(hexes, 32, 64), True), (" ", False)]
+        value = pick([opaque, opaque, human, human, issued, jwt, uuid])()
+        name = pick([pick(_NAMES), pick(_NAMES), f"{pick(_ISSUERS)}{pick(['_', '-', ''])}{pick(_NAMES)}", f"{pick(_ISSUERS)}_key", f"{pick(_ISSUERS)}{pick(_NAMES).capitalize()}"])
+        name = pick([name, name, name.upper(), name.capitalize()])
+        quote = pick(["", "", '"', "'", "`"])
+        form = rnd.randrange(11)
+        if form < 4:
+            return [(f"{pick(['', '', quote])}{name}{pick(['=', ' = ', ': ', ':', ' => ', ' := ', '\": '])}{quote}", False), (value, True), (f"{quote}{pick(['', ',', ';', '.'])} ", False)]
+        if form < 6:
+            return [(pick(_PROSE).format(n=name) + " " + quote, False), (value, True), (quote + pick([" ", ". ", ", ", "\n"]), False)]
+        if form == 6:
+            end = pick([f"@{plain()}.{plain()}:{rnd.randrange(999, 9999)}/{plain()} ", f"@{plain()}/{plain()} ", f"@10.0.{rnd.randrange(255)}.1:{rnd.randrange(999, 9999)} "])
+            return [(f"{pick(['postgres', 'mysql', 'mongodb', 'redis', 'amqp', 'https', 'ftp', 'postgresql', 'jdbc'])}://{plain()}:", False), (pick([human, human, opaque, lambda: some(alnum, 8, 16)])(), True), (end, False)]
+        if form == 7:
+            return [(pick(["Authorization: Bearer ", "Authorization: Basic ", "X-Api-Key: ", "-H 'Authorization: token ", "Bearer ", "AccountKey=", "SharedAccessKey="]), False), (pick([opaque, issued, jwt])(), True), (" ", False)]
+        if form == 8:
+            return [(f"<{name}>", False), (value, True), (f"</{name}> ", False)] if rnd.random() < 0.4 else [("AKIA" + some(upper + digits, 16, 16), True), (" ", False)]
+        if form == 9:
+            return [(pick([issued, jwt])(), True), (pick([" ", ". ", "\n"]), False)]
+        return [(pick([lambda: some(hexes, 32, 64), lambda: some(alnum, 28, 44), lambda: some(alnum + "+/", 36, 60) + "="])(), True), (" ", False)]
 
     out = []
     for _ in range(LINES):
         line: list[tuple[str, bool]] = []
         for _ in range(rnd.randint(1, 3)):
             line.append((" ".join(word() for _ in range(rnd.randint(1, 9))) + " ", False))
-            line += secret() if rnd.random() < 0.3 else [(harmless() + " ", False)]
+            line += secret() if rnd.random() < 0.3 else [(harmless() + " ", False), (harmless() + " ", False)]
         line.append((" ".join(word() for _ in range(rnd.randint(0, 6))), False))
         out.append(line)
     return out
@@ -267,11 +347,38 @@ def trained() -> Crf:
     t = Tokens(raw)
     inside = np.frombuffer(b"\0".join(marks) + b"\0", np.uint8)[t.start] == 1
     before = np.append(False, inside[:-1] & (t.doc[1:] == t.doc[:-1]))
-    crf = Crf()
+    often = lambda x, n: np.flatnonzero(np.bincount(x, minlength=n) >= LEAST_SEEN)
+    crf = Crf(often(t.word, WORDS), often(t.head, HEADS))
     crf.fit(t, np.where(inside, np.where(before, INSIDE, BEGIN), OUT))
     return crf
 
 
+def _merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that the spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def _uncovered(s: int, e: int, covered: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """s to e where nothing of it is covered, else the parts of LEAST_PART bytes that are not."""
+    starts, ends = covered
+    out, at, k = [], s, bisect_right(ends, s)
+    if k == len(ends) or starts[k] >= e:
+        return [(s, e)]
+    while k < len(ends) and starts[k] < e:
+        out.append((at, starts[k]))
+        at = ends[k]
+        k += 1
+    return [(x, y) for x, y in [*out, (at, e)] if y - x >= LEAST_PART]
+
+
 def scan(raw: list[bytes], crf: Crf) -> list[list[tuple[int, int, int]]]:
     """For each text its spans (start, kind number, end) in code points, in order."""
     t = Tokens(raw)
@@ -282,10 +389,10 @@ def scan(raw: list[bytes], crf: Crf) -> list[list[tuple[int, int, int]]]:
         new = np.append(True, (np.diff(hit) != 1) | (tag[hit[1:]] == BEGIN) | (t.doc[hit[1:]] != t.doc[hit[:-1]]))
         a = np.flatnonzero(new)
         b = np.append(a[1:], len(hit)) - 1
-        base = [list(x) for x in own]
+        base = [_merged(x) for x in own]
         for d, s, e in zip(t.doc[hit[a]].tolist(), (t.start[hit[a]] - t.doc_start[t.doc[hit[a]]]).tolist(), (t.end[hit[b]] - t.doc_start[t.doc[hit[b]]]).tolist()):
-            if e - s >= LEAST_BYTES and all(e <= x or y <= s for _, x, y in base[d]):
-                own[d].append(("crf", s, e))
+            if e - s >= LEAST_BYTES:
+                own[d] += [("crf", x, y) for x, y in _uncovered(s, e, base[d])]
     out = []
     for x, spans in zip(raw, own):
         points = (lambda k: k) if x.isascii() else (lambda k, x=x: len(x[:k].decode()))
