@@ -19,6 +19,7 @@ SENTENCES = (
 )
 NO_DOCUMENTS, TOO_LARGE = "no documents supplied", "%d characters exceeds the %d limit"
 TAXONOMY_VERSIONS = ("v1",)
+STYLES = ("neutral",)
 
 
 def too_large(n: Column) -> Column:
@@ -78,8 +79,14 @@ def taxonomy_supported(value: Column) -> Column:
 
 
 def public_id(value: Column) -> Column:
-    """A well-formed handle in lower case, else NULL: a malformed one reads as missing."""
-    return F.when(value.rlike("^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"), F.lower(value))
+    """A handle in its usual form, else NULL: a malformed one reads as missing.
+
+    Hyphens may stand anywhere, and braces or the prefixes ``urn:`` and ``uuid:`` around 32 hexadecimal digits are fine.
+    """
+    bare = F.replace(F.replace(value, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
+    bare = F.lower(F.replace(F.btrim(bare, F.lit("{}")), F.lit("-"), F.lit("")))
+    parts = [F.substring(bare, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.when(bare.rlike(r"\A[0-9a-f]{32}\z"), F.concat_ws("-", *parts))
 
 
 def bearer_token(header: Column) -> Column:
@@ -91,3 +98,38 @@ def batch_fault(ids: Column, limit: int | None = None) -> Column:
     """Why a batch of item ids is refused, or NULL: empty, too many, or an id twice."""
     over = F.size(ids) > limit if limit else F.lit(False)
     return F.when(F.coalesce(F.size(ids), F.lit(0)) < 1, "empty").when(over, "too_many").when(F.size(F.array_distinct(ids)) != F.size(ids), "duplicate_id")
+
+
+def is_async(items: Column) -> Column:
+    """Whether a summarise batch is over the ceiling of inline answers."""
+    return F.size(items) > SUMMARIZE_SYNC_BATCH
+
+
+def summarize_fault(request: Column) -> Column:
+    """The dotted path of the first fault of a summarise request, or NULL.
+
+    Items and each item's documents may not be empty, item ids differ, max_sentences is positive and the style known, when given.
+    """
+    items = request["items"]
+    bare = F.array_position(F.transform(items, lambda x: F.coalesce(F.size(x["documents"]), F.lit(0)) < 1), True)
+    path = F.concat(F.lit("items."), (bare - 1).cast("string"), F.lit(".documents"))
+    ids = F.transform(items, lambda x: x["id"])
+    return (
+        F.when(request.isNull() | items.isNull() | (F.size(items) < 1), "items").when(bare > 0, path).when(F.size(F.array_distinct(ids)) != F.size(items), "items")
+        .when(request["max_sentences"] <= 0, "max_sentences").when(~request["style"].isin(*STYLES), "style")
+    )
+
+
+def error_code(status: Column) -> Column:
+    """The code of an error answer by its HTTP status."""
+    return F.when(status == 404, "not_found").when(status >= 500, "internal").otherwise("invalid_request")
+
+
+def same_secret(given: Column, wanted: Column) -> Column:
+    """Whether two secrets are equal; digests are compared, so time does not tell where they differ. NULL is never equal."""
+    return F.coalesce(F.sha2(given.cast("binary"), 256) == F.sha2(wanted.cast("binary"), 256), F.lit(False))
+
+
+def safe_identifier(name: Column) -> Column:
+    """Whether a name may stand in a statement as it is."""
+    return F.coalesce(name.rlike(r"\A[A-Za-z_][A-Za-z0-9_]*\z"), F.lit(False))

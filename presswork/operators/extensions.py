@@ -27,6 +27,21 @@ def distinct_sources(members: DataFrame, records: DataFrame, copies: DataFrame)
     return members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("article_count")).join(n, "cluster_id")
 
 
+def cluster_span(articles: DataFrame) -> DataFrame:
+    """(cluster_id, article_count, earliest_at, latest_at) of (article_id, cluster_id, published_at)."""
+    return articles.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("article_count"), F.min("published_at").alias("earliest_at"), F.max("published_at").alias("latest_at"))
+
+
+def browse_tree(classified: DataFrame, members: DataFrame) -> DataFrame:
+    """(topic, clusters): for each topic its clusters in order, each with its article ids in order.
+
+    A nested row holds ids only; where one topic has more than a row should hold, read ``browse`` by topic instead.
+    """
+    own = members.groupBy("cluster_id").agg(F.array_sort(F.collect_list("article_id")).alias("articles"))
+    nested = F.array_sort(F.collect_list(F.struct("cluster_id", "articles")))
+    return own.join(classified, "cluster_id").groupBy(F.col("representative_topic").alias("topic")).agg(nested.alias("clusters"))
+
+
 def topic_vote(members: DataFrame, classification: DataFrame) -> DataFrame:
     """(cluster_id, representative_topic, topic_margin): the topic with the most confidence, ties by name, and its lead."""
     votes = members.join(classification, "article_id").groupBy("cluster_id", "topic").agg(F.sum("confidence").alias("votes"))

@@ -98,6 +98,22 @@ def enqueue(jobs: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     return keyed.select("request_id", "consumer", "idempotency_key", F.when(again, "replayed").otherwise("created").alias("verdict"), "job_id", F.when(F.col("job_id").isNull(), F.coalesce("first_id", "request_id")).alias("created_by"))
 
 
+def enqueue_state(jobs: DataFrame, items: DataFrame, requests: DataFrame, now: Column, hours: int = RETENTION_HOURS) -> tuple[DataFrame, DataFrame]:
+    """(jobs, items) after requests (request_id, consumer, idempotency_key, max_sentences; request_id is the id of a new job).
+
+    Expired holders of a key that a request names are deleted first, with their items. Requests that replay a live job add nothing.
+    """
+    verdicts = enqueue(jobs, requests, now)
+    keys = requests.where("idempotency_key IS NOT NULL").select("consumer", "idempotency_key").distinct()
+    gone = expired(jobs, now).join(keys, ["consumer", "idempotency_key"], "left_semi").select("id")
+    left = jobs.join(gone, "id", "left_anti")
+    made = requests.join(verdicts.where("verdict = 'created'").select("request_id"), "request_id", "left_semi")
+    new = {"id": F.col("request_id"), "status": F.lit("queued"), "attempts": F.lit(0), "next_attempt_at": now, "created_at": now, "updated_at": now, "expires_at": expiry(now, hours)}
+    cols = [new[f.name] if f.name in new else F.col(f.name) if f.name in made.columns else F.lit(None) for f in jobs.schema]
+    left = left.unionByName(made.select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(cols, jobs.schema)]))
+    return left, items.join(gone.withColumnRenamed("id", "job_id"), "job_id", "left_anti")
+
+
 def discard_inputs(jobs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items with the documents of terminal jobs dropped, the items this changes)."""
     done = jobs.where(F.col("status").isin(*TERMINAL_STATUSES)).select(F.col("id").alias("job_id"))

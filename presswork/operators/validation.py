@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -29,8 +29,9 @@ def unique_violations(table: str, df: DataFrame) -> DataFrame:
     out = []
     for name, key, where in schemas.UNIQUE[table]:
         rows = (df.where(where) if where else df).dropna(subset=list(key))
-        n = rows.groupBy(F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-        out.append(n.where("n > 1").select(F.lit(name).alias("rule"), "key", "n"))
+        # Grouped by the columns: a joined text would merge keys that hold the separator.
+        n = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        out.append(n.select(F.lit(name).alias("rule"), F.concat_ws("|", *[F.col(c).cast("string") for c in key]).alias("key"), "n"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -74,3 +75,15 @@ def with_defaults(table: str, df: DataFrame) -> DataFrame:
     for column, sql in schemas.DEFAULTS.get(table, {}).items():
         df = df.withColumn(column, F.coalesce(F.col(column), F.expr(sql)) if column in df.columns else F.expr(sql))
     return df
+
+
+def drift_table(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, drift) for each difference of a frame from its declared schema."""
+    rows = [(name, x) for name, df in sorted(frames.items()) for x in schema_drift(name, df)]
+    return spark.createDataFrame(rows, "tbl string, drift string")
+
+
+def vocabularies(spark: SparkSession) -> DataFrame:
+    """(tbl, column, value) of every closed vocabulary."""
+    rows = [(t, c, v) for t, columns in schemas.DOMAINS.items() for c, values in columns.items() for v in values]
+    return spark.createDataFrame(rows, "tbl string, column string, value string")

@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bits, inference, stages
-from ..operators import extensions, jobs, limits, queue, registry, rights, validation
+from .. import settings
+from ..functions import articles, bits, inference, markup, stages
+from ..operators import clusters, extensions, jobs, limits, queue, registry, rights, validation
 from ..sources import readers
 from .fixtures import JOBS_NOW, LEASE, NOW, duck, ts, view
 
@@ -91,12 +92,6 @@ def registry_cas_state(s, d):
     return registry.compare_and_set(sources, writes, "enabled", ts(NOW))[0].select("source_id", "enabled", "updated_at")
 
 
-@query("seed_insert_only", "SELECT position, name, home_url, NOT EXISTS (SELECT 1 FROM source s WHERE s.home_url = e.home_url) AND row_number() OVER (PARTITION BY home_url ORDER BY position) = 1 AS inserted FROM (SELECT doc_id AS position, 'n' || CAST(doc_id AS VARCHAR) AS name, 'https://src' || CAST(doc_id % 41 AS VARCHAR) || '.example.org' AS home_url FROM documents WHERE doc_id < 100) e", "source")
-def seed_insert_only(s, d):
-    entries = readers.table(s, d, "documents").where("doc_id < 100").selectExpr("doc_id AS position", "concat('n', doc_id) AS name", "concat('https://src', doc_id % 41, '.example.org') AS home_url")
-    return registry.seed_verdicts(view(s, d, "source"), entries)
-
-
 @query("seed_insert_only_all", "SELECT position, name, home_url, NOT EXISTS (SELECT 1 FROM source s WHERE s.home_url = e.home_url) AND row_number() OVER (PARTITION BY home_url ORDER BY position) = 1 AS inserted FROM (SELECT doc_id AS position, 'n' || CAST(doc_id AS VARCHAR) AS name, 'https://src' || CAST(doc_id // 3 AS VARCHAR) || '.example.org' AS home_url FROM documents) e", "source")
 def seed_insert_only_all(s, d):
     entries = readers.table(s, d, "documents").selectExpr("doc_id AS position", "concat('n', doc_id) AS name", "concat('https://src', doc_id DIV 3, '.example.org') AS home_url")
@@ -177,13 +172,6 @@ def classify_items(s, d):
     return readers.table(s, d, "documents").select("doc_id", inference.classify_text(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
-@query("classify_batch_errors", "SELECT batch, CASE WHEN n > 64 THEN 'too_many' WHEN m < n THEN 'duplicate_id' END AS fault FROM (SELECT doc_id % 20 AS batch, count(*) AS n, count(DISTINCT doc_id % 700) AS m FROM documents WHERE doc_id < 1500 AND (doc_id % 20 < 10 OR doc_id % 40 < 20) GROUP BY doc_id % 20) t")
-def classify_batch_errors(s, d):
-    docs = readers.table(s, d, "documents").where("doc_id < 1500 AND (doc_id % 20 < 10 OR doc_id % 40 < 20)")
-    ids = docs.groupBy((F.col("doc_id") % 20).alias("batch")).agg(F.collect_list(F.col("doc_id") % 700).alias("ids"))
-    return ids.select("batch", inference.batch_fault(F.col("ids"), inference.CLASSIFY_BATCH).alias("fault"))
-
-
 # Of each 192 documents 80 are one batch, 56 one with repeated ids and 56 one without.
 _BATCH = "CASE WHEN doc_id % 192 < 80 THEN 0 WHEN doc_id % 192 < 136 THEN 1 ELSE 2 END"
 _BATCH_ID = f"CASE WHEN ({_BATCH}) = 1 THEN doc_id % 50 ELSE doc_id END"
@@ -230,14 +218,6 @@ def job_claim_next(s, d):
     return jobs.claim_next(view(s, d, "summarize_job"), "w", ts(JOBS_NOW)).select("id", "status", "attempts")
 
 
-@query("job_run", "SELECT id, CASE WHEN bad = 0 THEN 'succeeded' WHEN bad = n THEN 'failed' ELSE 'partial' END AS status, {jobs_now} + {min:1440} AS expires_at FROM (SELECT j.id, count(i.doc_id) AS n, count(CASE WHEN length(i.text) > 20000 OR i.doc_id % 50 = 7 THEN 1 END) AS bad FROM summarize_job j LEFT JOIN documents i ON i.doc_id % 300 = j.id WHERE j.id < 300 GROUP BY j.id) t", "summarize_job")
-def job_run(s, d):
-    docs = readers.table(s, d, "documents")
-    doc = F.array(F.struct(F.col("source"), F.lit("").alias("title"), F.col("text"), F.lit(None).cast("string").alias("url")))
-    items = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 300).alias("job_id"), F.concat(F.lit("i"), "doc_id").alias("item_id"), F.when(F.col("doc_id") % 50 != 7, doc).alias("documents"))
-    return jobs.run(view(s, d, "summarize_job").where("id < 300"), items, ts(JOBS_NOW))[0].select("id", "status", "expires_at")
-
-
 # Five documents a job, but one in 100 alone in a job of its own that fails; the jobs after the last document have no items.
 _JOB = "2 * (doc_id {div} 5) + CASE WHEN doc_id % 100 = 7 THEN 1 ELSE 0 END"
 
@@ -395,11 +375,6 @@ def dedup_exact(s, d):
     return extensions.collapse_exact(view(s, d, "canonical_record"))
 
 
-@query("dedup_near", "SELECT a.code AS a, b.code AS b, CAST(bit_count(xor(a.code, b.code)) AS INT) AS distance FROM (SELECT DISTINCT simhash AS code FROM canonical_record WHERE article_id < 400) a JOIN (SELECT DISTINCT simhash AS code FROM canonical_record WHERE article_id < 400) b ON a.code < b.code WHERE bit_count(xor(a.code, b.code)) <= 3", "canonical_record")
-def dedup_near(s, d):
-    return extensions.near_pairs(view(s, d, "canonical_record").where("article_id < 400")).withColumn("distance", F.col("distance").cast("int"))
-
-
 @query("dedup_near_all", "SELECT a.code AS a, b.code AS b, CAST(bit_count(xor(a.code, b.code)) AS INT) AS distance FROM (SELECT DISTINCT simhash AS code FROM canonical_record) a JOIN (SELECT DISTINCT simhash AS code FROM canonical_record) b ON a.code < b.code WHERE bit_count(xor(a.code, b.code)) <= 3", "canonical_record")
 def dedup_near_all(s, d):
     return extensions.near_pairs(view(s, d, "canonical_record"))
@@ -490,13 +465,258 @@ def wire_job_bodies(s, d):
     return readers.job_json(packed.where("items IS NOT NULL"))
 
 
-@query("public_ids", "SELECT v, CASE WHEN regexp_full_match(v, '[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}') THEN lower(v) END AS public_id FROM (VALUES ('0A0a0a0a-0000-4000-8000-00000000000b'), ('nonsense'), (''), ('0a0a0a0a-0000-4000-8000-00000000000g')) t(v)")
+_HANDLES = ("0A0a0a0a-0000-4000-8000-00000000000b", "nonsense", "", "0a0a0a0a-0000-4000-8000-00000000000g", "{0a0a0a0a-0000-4000-8000-00000000000b}", "urn:uuid:0a0a0a0a-0000-4000-8000-00000000000b", "0a0a0a0a00004000800000000000000B", "0a0a0a0a-0000-4000-8000-0000000000")
+
+
+@query("public_ids", f"SELECT v, CASE WHEN regexp_full_match(h, '[0-9a-f]{{32}}') THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) END AS public_id FROM (SELECT v, replace(lower(trim(replace(replace(v, 'urn:', ''), 'uuid:', ''), '{{}}')), '-', '') AS h FROM (VALUES {', '.join(f"('{x}')" for x in _HANDLES)}) t(v)) u")
 def public_ids(s, d):
-    df = s.createDataFrame([("0A0a0a0a-0000-4000-8000-00000000000b",), ("nonsense",), ("",), ("0a0a0a0a-0000-4000-8000-00000000000g",)], "v string")
-    return df.select("v", inference.public_id(F.col("v")).alias("public_id"))
+    return s.createDataFrame([(x,) for x in _HANDLES], "v string").select("v", inference.public_id(F.col("v")).alias("public_id"))
 
 
 @query("bearer_tokens", "SELECT * FROM (VALUES (1, 'abc'), (2, NULL), (3, NULL), (4, 'x y')) t(id, token)")
 def bearer_tokens(s, d):
     df = s.createDataFrame([(1, "Bearer  abc "), (2, "Bearer   "), (3, "Basic abc"), (4, "bearer x y")], "id int, header string")
     return df.select("id", inference.bearer_token(F.col("header")).alias("token"))
+
+
+_ROSTER_SQL = "SELECT doc_id, position, CASE WHEN kind IN (1, 2) THEN NULL ELSE 'n' || CAST(doc_id AS VARCHAR) END AS name, rate, enabled, fault FROM (SELECT doc_id, doc_id % 9 AS kind, CASE WHEN doc_id % 9 = 1 THEN NULL ELSE 0 END AS position, CASE doc_id % 9 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 7 WHEN 4 THEN NULL WHEN 6 THEN 3 WHEN 8 THEN NULL ELSE 5 END AS rate, CASE doc_id % 9 WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 5 THEN false ELSE true END AS enabled, CASE doc_id % 9 WHEN 1 THEN 'not an array of objects' WHEN 2 THEN 'not an object' WHEN 4 THEN 'rate_limit_per_min is missing' WHEN 7 THEN 'rights_level is unknown' WHEN 8 THEN 'rate_limit_per_min is no number' END AS fault FROM documents WHERE doc_id % 9 <> 0) t"
+
+
+# Of nine documents one has an empty roster, one an object, and seven an array of one entry, sound or faulty.
+@query("roster_entries", _ROSTER_SQL)
+def roster_entries(s, d):
+    kind = F.col("doc_id") % 9
+    rate = F.when(kind == 3, '"7"').when(kind == 6, "3.9").when(kind == 8, '"3.9"').otherwise("5")
+    entry = F.concat(
+        F.lit('{"name": "n'), F.col("doc_id"), F.lit('", "home_url": "https://x.example", "discovery_method": "rss", "acquisition_tier": "1_full_feed", "rights_level": "'), F.when(kind == 7, "all").otherwise("body_text"),
+        F.lit('", "jurisdiction": "GB"'), F.when(kind == 4, "").otherwise(F.concat(F.lit(', "rate_limit_per_min": '), rate)), F.when(kind == 5, ', "enabled": 0').otherwise(""), F.lit("}"),
+    )
+    body = F.when(kind == 0, " []").when(kind == 1, entry).when(kind == 2, "[3]").otherwise(F.concat(F.lit("\n["), entry, F.lit("]")))
+    rows = readers.parse_roster(readers.table(s, d, "documents").select("doc_id", body.alias("value")), keys=("doc_id",))
+    return rows.select("doc_id", "position", "name", F.col("rate_limit_per_min").alias("rate"), "enabled", "fault")
+
+
+@query("wire_summarize_requests", "SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'items' WHEN 1 THEN 'items.1.documents' WHEN 2 THEN 'items' WHEN 3 THEN 'max_sentences' WHEN 4 THEN 'style' WHEN 7 THEN 'items' END AS fault, CASE doc_id % 8 WHEN 0 THEN false WHEN 5 THEN true WHEN 7 THEN NULL ELSE false END AS is_async, CASE WHEN doc_id % 8 BETWEEN 1 AND 6 THEN length(text) END AS n_chars FROM documents")
+def wire_summarize_requests(s, d):
+    kind = F.col("doc_id") % 8
+    doc = F.struct("source", F.lit("").alias("title"), "text", F.lit("").alias("url"))
+    item = lambda name, docs: F.struct(F.lit(name).alias("id"), docs.alias("documents"))
+    items = F.when(kind == 0, F.array().cast("array<struct<id:string,documents:array<struct<source:string,title:string,text:string,url:string>>>>")).when(kind == 1, F.array(item("a", F.array(doc)), item("b", F.slice(F.array(doc), 1, 0)))).when(kind == 2, F.array(item("a", F.array(doc)), item("a", F.array(doc))))
+    items = items.when(kind == 5, F.array(item("a", F.array(doc)), item("b", F.array(doc)), item("c", F.array(doc)))).otherwise(F.array(item("a", F.array(doc))))
+    body = F.to_json(F.struct(items.alias("items"), F.when(kind == 3, 0).when(kind == 6, 2).alias("max_sentences"), F.when(kind == 4, "terse").when(kind == 6, "neutral").alias("style")))
+    parsed = readers.read_requests(readers.table(s, d, "documents").withColumn("body", F.when(kind == 7, "[]x").otherwise(body)), readers.SUMMARIZE_REQUEST)
+    chars = F.length(F.get(F.get(F.col("request.items"), 0)["documents"], 0)["text"]).cast("bigint")
+    return parsed.select("doc_id", inference.summarize_fault(F.col("request")).alias("fault"), inference.is_async(F.col("request.items")).alias("is_async"), chars.alias("n_chars"))
+
+
+@query("error_envelopes", "SELECT doc_id, CASE WHEN 400 + doc_id % 150 = 404 THEN 'not_found' WHEN 400 + doc_id % 150 >= 500 THEN 'internal' ELSE 'invalid_request' END AS code FROM documents")
+def error_envelopes(s, d):
+    return readers.table(s, d, "documents").select("doc_id", inference.error_code(400 + F.col("doc_id") % 150).alias("code"))
+
+
+@query("secret_matches", "SELECT c_custkey, coalesce(c_name = CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_name || ' ' END, false) AS same FROM customer")
+def secret_matches(s, d):
+    other = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).when(F.col("c_custkey") % 3 == 1, F.concat("c_name", F.lit(" ")))
+    return readers.table(s, d, "customer").select("c_custkey", inference.same_secret(F.col("c_name"), other).alias("same"))
+
+
+@query("safe_identifiers", "SELECT c_custkey, regexp_full_match(n, '[A-Za-z_][A-Za-z0-9_]*') AS safe FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN replace(c_name, '#', '_') WHEN 1 THEN c_name WHEN 2 THEN '1' || replace(c_name, '#', '') ELSE replace(c_name, '#', '') || chr(10) END AS n FROM customer) t")
+def safe_identifiers(s, d):
+    k, bare = F.col("c_custkey") % 4, F.regexp_replace("c_name", "#", "")
+    name = F.when(k == 0, F.regexp_replace("c_name", "#", "_")).when(k == 1, F.col("c_name")).when(k == 2, F.concat(F.lit("1"), bare)).otherwise(F.concat(bare, F.lit("\n")))
+    return readers.table(s, d, "customer").select("c_custkey", inference.safe_identifier(name).alias("safe"))
+
+
+# --- settings, vocabularies and further integrity ----------------------------------------------
+
+_SETTING = "CASE c_custkey % 3 WHEN 0 THEN 'token' WHEN 1 THEN 'retention_hours' ELSE 'database_url' END"
+_SETTING_VALUE = "CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN CAST(c_custkey % 5 - 1 AS {str}) WHEN c_custkey % 2 = 0 THEN c_name || c_name ELSE c_name END"
+
+
+@query("setting_faults", f"SELECT c_custkey, CASE WHEN v IS NULL THEN 'missing' WHEN k = 'retention_hours' AND CAST(v AS INT) < 1 THEN 'not_positive' WHEN k = 'token' AND length(v) < 32 THEN 'too_short' END AS fault FROM (SELECT c_custkey, {_SETTING} AS k, {_SETTING_VALUE.replace('{str}', 'VARCHAR')} AS v FROM customer) t")
+def setting_faults(s, d):
+    rows = readers.table(s, d, "customer").selectExpr("c_custkey", f"{_SETTING} AS k", f"{_SETTING_VALUE.replace('{str}', 'STRING')} AS v")
+    return rows.select("c_custkey", settings.setting_fault(F.col("k"), F.col("v")).alias("fault"))
+
+
+@query("vocabularies", "SELECT tbl, \"column\", value FROM (VALUES " + ", ".join(f"('{t}', '{c}', '{v}')" for t, c, v in (
+    ("source", "discovery_method", "rss"), ("source", "discovery_method", "sitemap"), ("source", "discovery_method", "websub"), ("source", "discovery_method", "section_scrape"),
+    ("source", "acquisition_tier", "1_full_feed"), ("source", "acquisition_tier", "2_publisher_api"), ("source", "acquisition_tier", "3_extraction"), ("source", "rights_level", "body_text"), ("source", "rights_level", "headline_only"),
+    ("canonical_record", "body_provenance", "tier1_feed"), ("canonical_record", "body_provenance", "tier2_api"), ("canonical_record", "body_provenance", "tier3_extracted"),
+    ("canonical_record", "pipeline_state", "discovered"), ("canonical_record", "pipeline_state", "acquired"), ("canonical_record", "pipeline_state", "classified"), ("canonical_record", "pipeline_state", "clustered"),
+    ("canonical_record", "terminal_reason", "failed"), ("canonical_record", "terminal_reason", "dropped_language"), ("classification", "fallback_reason", "none"), ("classification", "fallback_reason", "low_confidence"), ("classification", "fallback_reason", "service_unavailable"),
+    ("cluster", "window_status", "open"), ("cluster", "window_status", "evicted"), ("summary", "withhold_reason", "none"), ("summary", "withhold_reason", "below_faithfulness_bar"), ("summary", "withhold_reason", "rights_excluded"), ("summary", "withhold_reason", "insufficient_sources"),
+    ("takedown", "scope", "representative"), ("takedown", "scope", "alternate_copy"), ("pipeline_work", "stage", "acquire"), ("pipeline_work", "stage", "classify"), ("pipeline_work", "stage", "cluster"), ("pipeline_work", "stage", "summarize"),
+    ("summarize_job", "status", "queued"), ("summarize_job", "status", "running"), ("summarize_job", "status", "succeeded"), ("summarize_job", "status", "partial"), ("summarize_job", "status", "failed"), ("summarize_job", "status", "expired"),
+)) + ") t(tbl, \"column\", value)")
+def vocabularies(s, d):
+    return validation.vocabularies(s)
+
+
+@query("violations_source_summary", "SELECT source_id AS row_key, 'rate_limit_positive' AS rule FROM source WHERE rate_limit_per_min - 9 <= 0 UNION ALL SELECT cluster_id, 'withheld_agrees' FROM summary WHERE NOT coalesce((withheld AND withhold_reason <> 'none' AND text IS NULL) OR (NOT withheld AND withhold_reason = 'none'), true) UNION ALL SELECT cluster_id, 'withhold_reason_domain' FROM summary WHERE withhold_reason = 'too_short'", "source", "summary")
+def violations_source_summary(s, d):
+    sources = view(s, d, "source").withColumn("rate_limit_per_min", F.col("rate_limit_per_min") - 9)
+    return validation.check_violations("source", sources, "source_id").unionByName(validation.check_violations("summary", view(s, d, "summary"), "cluster_id"))
+
+
+@query("violations_wire", "SELECT vec_id AS row_key, 'confidence_range' AS rule FROM embeddings WHERE vec_id % 130 > 110 OR vec_id % 130 < 10 UNION ALL SELECT vec_id, 'score_range' FROM embeddings WHERE vec_id % 90 > 80")
+def violations_wire(s, d):
+    rows = readers.table(s, d, "embeddings").selectExpr("vec_id", "CASE WHEN vec_id % 130 > 110 THEN 1.01 WHEN vec_id % 130 < 10 THEN -0.5 WHEN vec_id % 130 > 100 THEN NULL ELSE (vec_id % 101) / 100.0 END AS confidence", "CASE WHEN vec_id % 90 > 80 THEN 1.5 WHEN vec_id % 90 > 60 THEN NULL ELSE 1.0 END AS faithfulness_score")
+    return validation.check_violations("wire_result", rows, "vec_id")
+
+
+@query("violations_unique_jobs", "SELECT 'idempotency' AS rule, consumer || '|' || idempotency_key AS key, count(*) AS n FROM summarize_job WHERE idempotency_key IS NOT NULL GROUP BY consumer, idempotency_key HAVING count(*) > 1", "summarize_job")
+def violations_unique_jobs(s, d):
+    return validation.unique_violations("summarize_job", view(s, d, "summarize_job")).where("rule = 'idempotency'")
+
+
+@query("defaults_applied", "SELECT cluster_id, CAST(coalesce(CASE WHEN cluster_id % 2 = 0 THEN cluster_id END, 0) AS INT) AS article_count, 'open' AS window_status, 0 AS distinct_source_count FROM (SELECT doc_id AS cluster_id FROM documents) t")
+def defaults_applied(s, d):
+    rows = readers.table(s, d, "documents").selectExpr("doc_id AS cluster_id", "CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id END AS INT) AS article_count", "CAST(NULL AS STRING) AS window_status")
+    return validation.with_defaults("cluster", rows).select("cluster_id", "article_count", "window_status", "distinct_source_count")
+
+
+@query("schema_drift", "SELECT * FROM (VALUES ('alternate_copy', 'missing seen_at'), ('cluster_member', 'cluster_id is string, not bigint'), ('cluster_member', 'unknown note')) t(tbl, drift)")
+def schema_drift(s, d):
+    member = view(s, d, "member").withColumn("cluster_id", F.col("cluster_id").cast("string")).withColumn("note", F.lit(1))
+    return validation.drift_table(s, {"alternate_copy": view(s, d, "alternate_copy"), "cluster_member": member})
+
+
+@query("catalog_lookups", "SELECT * FROM (VALUES ('database', 'default', true), ('database', 'nowhere_at_all', false), ('table', 'nowhere_at_all', false)) t(kind, name, present)")
+def catalog_lookups(s, d):
+    return readers.present(s, [("database", "default"), ("database", "nowhere_at_all"), ("table", "nowhere_at_all")])
+
+
+# --- registry and jobs as new states -----------------------------------------------------------
+
+
+@query("registry_create", "SELECT source_id, name, enabled, created_at, updated_at FROM source UNION ALL SELECT source_id + 1000, 'new ' || name, CASE WHEN source_id % 2 = 0 THEN false ELSE true END, {now}, {now} FROM source", "source")
+def registry_create(s, d):
+    sources = view(s, d, "source")
+    new = sources.withColumns({"source_id": F.col("source_id") + 1000, "name": F.concat(F.lit("new "), "name"), "enabled": F.when(F.col("source_id") % 2 == 0, False)})
+    return registry.create(sources, new, ts(NOW)).select("source_id", "name", "enabled", "created_at", "updated_at")
+
+
+@query("registry_last_patch", "SELECT source_id, 'patch 2 of ' || name AS name, {now} AS updated_at FROM source", "source")
+def registry_last_patch(s, d):
+    sources = view(s, d, "source")
+    patches = sources.select("source_id", "name", F.explode(F.array(F.lit(1), F.lit(2))).alias("position")).withColumn("name", F.concat(F.lit("patch "), "position", F.lit(" of "), "name"))
+    return registry.describe(sources, patches, ts(NOW)).select("source_id", "name", "updated_at")
+
+
+@query("seed_lists", "SELECT string_agg(CASE WHEN NOT known THEN name END, ',' ORDER BY source_id) AS inserted, string_agg(CASE WHEN known THEN name END, ',' ORDER BY source_id) AS skipped FROM (SELECT source_id, name, source_id % 3 = 0 AS known FROM source) t", "source")
+def seed_lists(s, d):
+    sources = view(s, d, "source")
+    url = F.when(F.col("source_id") % 3 == 0, F.col("home_url")).otherwise(F.concat("home_url", F.lit("/new")))
+    found = registry.seed_lists(sources, sources.select(F.col("source_id").alias("position"), "name", url.alias("home_url")))
+    return found.select(F.array_join("inserted", ",").alias("inserted"), F.array_join("skipped", ",").alias("skipped"))
+
+
+_LIVE = "SELECT DISTINCT consumer, idempotency_key FROM summarize_job WHERE expires_at > {jobs_now} AND idempotency_key IS NOT NULL"
+_MADE = f"SELECT r.consumer, 'queued' AS status FROM (SELECT *, row_number() OVER (PARTITION BY consumer, idempotency_key ORDER BY request_id) AS k FROM request) r LEFT JOIN ({_LIVE}) l ON l.consumer = r.consumer AND l.idempotency_key = r.idempotency_key WHERE l.consumer IS NULL AND (r.idempotency_key IS NULL OR r.k = 1)"
+_LEFT = "SELECT id, consumer, status FROM summarize_job j WHERE NOT (expires_at <= {jobs_now} AND idempotency_key IS NOT NULL AND EXISTS (SELECT 1 FROM request r WHERE r.consumer = j.consumer AND r.idempotency_key = j.idempotency_key))"
+
+
+@query("enqueue_state", f"SELECT consumer, status, count(*) AS n FROM (SELECT consumer, status FROM ({_LEFT}) a UNION ALL SELECT consumer, status FROM ({_MADE}) b) t GROUP BY consumer, status", "summarize_job", "request")
+def enqueue_state(s, d):
+    requests = view(s, d, "request").withColumn("request_id", F.col("request_id") + 10**9)
+    after = jobs.enqueue_state(view(s, d, "summarize_job"), view(s, d, "summarize_job_item"), requests, ts(JOBS_NOW))[0]
+    return after.groupBy("consumer", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("enqueue_items_left", f"SELECT item_id, count(*) AS n FROM summarize_job_item WHERE job_id IN (SELECT id FROM ({_LEFT}) a) GROUP BY item_id", "summarize_job", "summarize_job_item", "request")
+def enqueue_items_left(s, d):
+    left = jobs.enqueue_state(view(s, d, "summarize_job"), view(s, d, "summarize_job_item"), view(s, d, "request"), ts(JOBS_NOW))[1]
+    return left.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- articles, pages and clusters --------------------------------------------------------------
+
+
+@query("cluster_span", "SELECT cluster_id, count(*) AS article_count, min(published_at) AS earliest_at, max(published_at) AS latest_at FROM published GROUP BY cluster_id", "published")
+def cluster_span(s, d):
+    return extensions.cluster_span(view(s, d, "published"))
+
+
+@query("browse_tree", "SELECT topic, string_agg(CAST(cluster_id AS VARCHAR) || ':' || articles, ';' ORDER BY cluster_id) AS tree FROM (SELECT cluster_id, 'topic' || CAST(cluster_id % 6 AS VARCHAR) AS topic, string_agg(CAST(article_id AS VARCHAR), ',' ORDER BY article_id) AS articles FROM member GROUP BY cluster_id) t GROUP BY topic", "member")
+def browse_tree(s, d):
+    members = view(s, d, "member")
+    topics = members.select("cluster_id", F.concat(F.lit("topic"), F.col("cluster_id") % 6).alias("representative_topic")).distinct()
+    cluster = lambda c: F.concat(c["cluster_id"].cast("string"), F.lit(":"), F.array_join(F.transform(c["articles"], lambda a: a.cast("string")), ","))
+    return extensions.browse_tree(topics, members).select("topic", F.array_join(F.transform("clusters", cluster), ";").alias("tree"))
+
+
+@query("page_texts", "SELECT page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[ \\t\\r\\n]+', ' ', 'g'))) AS text_sha256 FROM pages")
+def page_texts(s, d):
+    return readers.table(s, d, "pages").select("page_id", F.sha2(readers.page_text(F.col("html")), 256).alias("text_sha256"))
+
+
+_TRACKED = "'([?&])(?:utm_[a-z]+|fbclid|gclid|ref)=[^&]*(?:&|$)', '\\1', 'g'"
+_CLEAN = "regexp_replace(trim(u), '#.*$', '')"
+for _ in range(4):
+    _CLEAN = f"regexp_replace({_CLEAN}, {_TRACKED})"
+_HOST = "regexp_extract(v, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*')"
+
+
+@query("canonical_urls", f"SELECT page_id, rtrim(lower({_HOST}) || substr(v, length({_HOST}) + 1), '/') AS url FROM (SELECT page_id, regexp_replace({_CLEAN}, '[?&]+$', '') AS v FROM (SELECT page_id, ' HTTPS://WWW.' || substr(url, 9) || CASE WHEN page_id % 2 = 0 THEN '?utm_source=x&fbclid=1#top' ELSE '' END AS u FROM pages) p) t")
+def canonical_urls(s, d):
+    dirty = F.concat(F.lit(" HTTPS://WWW."), F.substr("url", F.lit(9)), F.when(F.col("page_id") % 2 == 0, "?utm_source=x&fbclid=1#top").otherwise(""))
+    return readers.table(s, d, "pages").select("page_id", articles.canonical_url(dirty).alias("url"))
+
+
+@query("ledes", "SELECT doc_id, left(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))[1], 200) AS lede FROM documents")
+def ledes(s, d):
+    return readers.table(s, d, "documents").select("doc_id", articles.lede(F.col("text")).alias("lede"))
+
+
+@query("languages_detected", None)
+def languages_detected(s, d):
+    return readers.table(s, d, "documents").select("doc_id", "lang", articles.language(F.col("text")).alias("detected"))
+
+
+@query("scaled_confidence", "SELECT vec_id, round(CASE WHEN c <= 0 OR c >= 1 THEN c ELSE 1 / (1 + exp(-ln(c / (1 - c)) / 1.5)) END, 9) AS confidence FROM (SELECT vec_id, CAST(vec_id % 101 AS DOUBLE) / 100 AS c FROM embeddings) t")
+def scaled_confidence(s, d):
+    rows = readers.table(s, d, "embeddings").select("vec_id", (F.col("vec_id") % 101 / 100).alias("c"))
+    return rows.select("vec_id", F.round(articles.scaled(F.col("c"), 1.5), 9).alias("confidence"))
+
+
+@query("faithfulness_scores", "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN NULL ELSE round((vec_id % 4) / 4.0, 6) END AS score FROM embeddings")
+def faithfulness_scores(s, d):
+    words = [F.lit("alpha"), F.lit("beta"), F.lit("gamma")]
+    k = F.col("vec_id") % 4
+    sources = F.when(k == 1, words[0]).when(k == 2, F.lit("Beta, alpha.")).otherwise(F.lit("gamma beta ALPHA"))
+    return readers.table(s, d, "embeddings").select("vec_id", F.round(articles.faithfulness(F.when(k == 0, "").otherwise("Alpha beta gamma delta"), sources), 6).cast("double").alias("score"))
+
+
+@query("nearest_leaders", "SELECT article_id, leader_id FROM (SELECT a.vec_id AS article_id, l.vec_id AS leader_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(l.embedding AS DOUBLE[])), 9) DESC, l.vec_id) AS r FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)) l) t WHERE r = 1")
+def nearest_leaders(s, d):
+    rows = readers.table(s, d, "embeddings").withColumnsRenamed({"vec_id": "article_id", "embedding": "vector"})
+    first = rows.groupBy("label").agg(F.min_by(F.struct(F.col("article_id").alias("leader_id"), "vector"), "article_id").alias("l")).select("l.*")
+    return clusters.nearest_leader(rows, first).select("article_id", "leader_id")
+
+
+@query("leader_follower", None)
+def leader_follower(s, d):
+    rows = readers.table(s, d, "embeddings").select(F.col("label").alias("block"), F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
+    return clusters.reconcile(clusters.follow(rows), rows)
+
+
+# --- authored pages ----------------------------------------------------------------------------
+
+_DAY = "(doc_id % 28 + 1)"
+
+
+@query("inline_marks", f"SELECT doc_id, 'code:c' || CAST(doc_id AS VARCHAR) || ':|link:label:https://x.example/' || CAST(doc_id AS VARCHAR) || '|status:done:green|date:2024-02-' || lpad(CAST({_DAY} AS VARCHAR), 2, '0') || ':' || CAST(epoch_ms(CAST('2024-02-' || lpad(CAST({_DAY} AS VARCHAR), 2, '0') AS TIMESTAMP)) AS VARCHAR) || '|strong:bold:|em:soft:' AS marks FROM documents")
+def inline_marks(s, d):
+    day = F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")
+    text = F.concat(F.lit("see `c"), "doc_id", F.lit("` and [label](https://x.example/"), "doc_id", F.lit(") {status:green|done} on @2024-02-"), day, F.lit(" **bold** and *soft* 2 * 3"))
+    shown = F.transform(markup.marks(text), lambda m: F.concat_ws(":", m["kind"], m["label"], F.coalesce(m["value"], F.lit(""))))
+    return readers.table(s, d, "documents").select("doc_id", F.array_join(shown, "|").alias("marks"))
+
+
+@query("frontmatter", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'url=https://x.example/' || CAST(doc_id AS VARCHAR) || '|title=a: b' END AS meta, CASE WHEN doc_id % 3 = 0 THEN '--- no head' ELSE 'body ' || CAST(doc_id AS VARCHAR) END AS body FROM documents")
+def frontmatter(s, d):
+    head = F.concat(F.lit("---\ntitle: old\n\n url : https://x.example/"), "doc_id", F.lit("\ntitle: 'a: b'\n---\nbody "), "doc_id")
+    page = F.when(F.col("doc_id") % 3 == 0, "--- no head").otherwise(head)
+    meta = F.array_join(F.transform(markup.frontmatter(page), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return readers.table(s, d, "documents").select("doc_id", meta.alias("meta"), markup.body(page).alias("body"))

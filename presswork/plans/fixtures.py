@@ -58,8 +58,13 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]], str | None]] = {
     ], None),
     "alternate_copy": ("documents", [("alternate_copy_id", "doc_id"), ("article_id", "doc_id - doc_id % 5"), ("source_id", _N), ("url", "'https://copy.example.org/' || CAST(doc_id % 900 AS {str})"), ("guid", "CASE WHEN doc_id % 3 > 0 THEN 'g' || CAST(doc_id % 800 AS {str}) END")], "doc_id % 5 > 2"),
     "takedown": ("documents", [("takedown_id", "doc_id"), ("source_id", _N), ("guid", "CASE WHEN doc_id % 2 = 0 THEN 'g' || CAST(doc_id AS {str}) END"), ("url_canonical", "'https://example.org/' || CAST(doc_id + 7 AS {str})"), ("content_hash", "CASE WHEN doc_id % 3 = 0 THEN {sha:text} END")], "doc_id % 25 = 3"),
-    "member": ("documents", [("article_id", "doc_id"), ("cluster_id", "doc_id % 60")], "doc_id % 5 = 0"),
-    "request": ("orders", [("request_id", "o_orderkey"), ("consumer", "'c' || CAST(o_custkey % 7 AS {str})"), ("idempotency_key", "CASE WHEN o_orderkey % 4 > 0 THEN 'k' || CAST(o_custkey % 500 AS {str}) END")], "o_orderkey % 6 = 1"),
+    "member": ("documents", [("article_id", "doc_id"), ("cluster_id", "doc_id % 60")], None),
+    "summary": ("documents", [
+        ("cluster_id", "doc_id"), ("text", "CASE WHEN doc_id % 4 > 0 THEN 'summary ' || CAST(doc_id AS {str}) END"), ("withheld", "doc_id % 4 = 0 OR doc_id % 11 = 3"),
+        ("withhold_reason", "CASE WHEN doc_id % 4 = 0 THEN 'rights_excluded' WHEN doc_id % 13 = 5 THEN 'too_short' ELSE 'none' END"),
+    ], None),
+    "published": ("documents", [("article_id", "doc_id"), ("cluster_id", "doc_id % 60"), ("published_at", "{now} - {min:doc_id * 17 % 50000}")], None),
+    "request": ("orders", [("request_id", "o_orderkey"), ("consumer", "'c' || CAST(o_custkey % 7 AS {str})"), ("idempotency_key", "CASE WHEN o_orderkey % 4 > 0 THEN 'k' || CAST(o_custkey % 500 AS {str}) END")], None),
 }
 
 

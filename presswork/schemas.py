@@ -47,6 +47,7 @@ CHECKS: dict[str, dict[str, str]] = {
         "wire_withhold_reason": "withhold_reason IS NULL OR withhold_reason = 'below_faithfulness_bar'",
         "score_range": "faithfulness_score IS NULL OR faithfulness_score BETWEEN 0 AND 1",
     },
+    "wire_result": {"confidence_range": "confidence BETWEEN 0 AND 1", "score_range": "faithfulness_score BETWEEN 0 AND 1"},
 }
 
 #: table -> (name, key columns, predicate or None). Rows with a NULL in the key never collide.

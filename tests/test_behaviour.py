@@ -101,13 +101,75 @@ def test_roster(spark, tmp_path):
     path = tmp_path / "r.json"
     path.write_text("[" + good % "" + "," + good % ',"enabled":false' + "]")
     assert [r.enabled for r in readers.read_roster(spark, str(path)).orderBy("position").collect()] == [True, False]
-    for bad, what in ((good.replace('"rss"', '"fax"') % "", "discovery_method"), ('{"name":"n"}', "missing"), ("3", "")):
+    for bad, what in ((good.replace('"rss"', '"fax"') % "", "entry 1: discovery_method is unknown"), ('{"name":"n"}', "entry 1: home_url is missing"), ("3", "entry 1: not an object"), (good.replace(":5", ':"x"') % "", "entry 1: rate_limit_per_min is no number")):
         path.write_text("[" + good % "" + "," + bad + "]")
         with pytest.raises(readers.RosterError, match=what):
             readers.read_roster(spark, str(path))
-    path.write_text("{}x")
-    with pytest.raises(readers.RosterError):
-        readers.read_roster(spark, str(path))
+    for whole in ("{}x", good % "", "", "3"):
+        path.write_text(whole)
+        with pytest.raises(readers.RosterError, match="a roster is an array"):
+            readers.read_roster(spark, str(path))
+    path.write_text(" [ ]")
+    assert readers.read_roster(spark, str(path)).count() == 0
+    path.write_text("[" + good.replace(":5", ':" 7 "') % ',"enabled":"no"' + "," + good.replace(":5", ":3.9") % ',"enabled":null' + "]")
+    assert [(r.rate_limit_per_min, r.enabled) for r in readers.read_roster(spark, str(path)).orderBy("position").collect()] == [(7, True), (3, False)]
+
+
+def test_keys_with_the_separator_do_not_collide(spark):
+    from presswork.operators import validation
+
+    rows = spark.createDataFrame([(1, 1, "a|b", "c"), (2, 2, "a", "b|c"), (3, 3, "a", "b|c"), (4, 4, None, "c"), (5, 5, None, "c")], "id long, public_id long, consumer string, idempotency_key string")
+    assert [(r.key, r.n) for r in validation.unique_violations("summarize_job", rows).collect()] == [("a|b|c", 2)]
+
+
+def test_the_last_write_of_an_id_counts(spark):
+    from presswork.operators import registry
+
+    sources = spark.createDataFrame([(1, "a", True, NOW), (2, "b", True, NOW)], "source_id long, name string, enabled boolean, updated_at timestamp_ntz")
+    patches = spark.createDataFrame([(1, "x", 2), (1, "y", 1), (9, "z", 1)], "source_id long, name string, position int")
+    assert sorted(r.name for r in registry.describe(sources, patches, now()).collect()) == ["b", "x"]
+    writes = spark.createDataFrame([(1, NOW, False, 1), (1, NOW, True, 2), (2, NOW, False, 1)], "source_id long, token timestamp_ntz, value boolean, position int")
+    after, verdicts = registry.compare_and_set(sources, writes, "enabled", now())
+    assert sorted((r.source_id, r.enabled) for r in after.collect()) == [(1, True), (2, False)]
+    assert sorted((r.source_id, r.verdict) for r in verdicts.collect()) == [(1, "set"), (2, "set")]
+
+
+def test_settings():
+    from presswork import settings
+
+    app = settings.load(settings.AppSettings, "APP_", {"app_database_url": "postgresql://x", "APP_OTHER": "1"})
+    assert app == settings.AppSettings("postgresql://x", 300)
+    with pytest.raises(AttributeError):
+        app.work_lease_seconds = 1
+    assert settings.load(settings.PlatformSettings, "P_", {"P_DATABASE_URL": "x", "P_RETENTION_HOURS": "2"}).retention_hours == 2
+    for given, what in (({}, "database_url is missing"), ({"P_DATABASE_URL": "x", "P_RETENTION_HOURS": "0"}, "positive"), ({"P_DATABASE_URL": "x", "P_POLL_RATE_LIMIT_PER_MINUTE": "many"}, "positive")):
+        with pytest.raises(settings.SettingsError, match=what):
+            settings.load(settings.PlatformSettings, "P_", given)
+    with pytest.raises(settings.SettingsError, match="32"):
+        settings.load(settings.AdminSettings, "A_", {"A_TOKEN": "short"})
+    assert "t" * 32 not in repr(settings.load(settings.AdminSettings, "A_", {"A_TOKEN": "t" * 32}))
+
+
+def test_marks_inside_marks_and_heads(spark):
+    from presswork.functions import markup
+
+    one = lambda text: [tuple(m) for m in spark.createDataFrame([(text,)], "t string").select(markup.marks(F.col("t")).alias("m")).first().m]
+    assert one("**a `c` b** and *x*") == [("strong", "a `c` b", None), ("em", "x", None)] and one("a `c` b") == [("code", "c", None)]
+    assert one("2 * 3 * 4 @2024-13-01") == [("em", " 3 ", None), ("date", "2024-13-01", None)] and one("plain") == []
+    head = lambda text: spark.createDataFrame([(text,)], "t string").select(markup.frontmatter(F.col("t")).alias("m"), markup.body(F.col("t")).alias("b")).first()
+    got = head("---\na: 1\nb : \"q: r\"\na: '2\n---\nrest\n---\nmore")
+    assert [tuple(m) for m in got.m] == [("b", "q: r"), ("a", "'2")] and got.b == "rest\n---\nmore"
+    assert head("---\n---\nx").b == "x" and list(head("no head").m) == []
+
+
+def test_enqueue_state_replaces_expired_holders(spark):
+    df = job(spark, {"idempotency_key": "k", "expires_at": NOW - MIN}, {"idempotency_key": "live", "expires_at": NOW + MIN}, {"idempotency_key": None, "expires_at": NOW - MIN})
+    its = items(spark, [(1, 0, "a", None), (2, 1, "b", None)])
+    consumer = df.first().consumer
+    asked = spark.createDataFrame([(100, consumer, "k"), (101, consumer, "live"), (102, consumer, None), (103, consumer, "k"), (104, "someone else", "live")], "request_id long, consumer string, idempotency_key string")
+    after, left = jobs.enqueue_state(df, its, asked, now())
+    assert sorted(r.id for r in after.collect()) == [1, 2, 100, 102, 104]
+    assert {r.status for r in after.where("id >= 100").collect()} == {"queued"} and [r.job_id for r in left.collect()] == [1]
 
 
 def test_mixed_batch_and_anchored_expiry(spark):

@@ -27,7 +27,7 @@ def plain(v):
     return f"{float(v):.9g}" if isinstance(v, Decimal) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query(spark, duck, name):
     con, sf = duck
     df = catalog.QUERIES[name](spark, sf)
