@@ -12,7 +12,7 @@ No document is scored by trusted counts that hold it: ids are dealt to ``FOLDS``
 folds by their hash, and a fold is scored by the trusted texts of the others. So
 the scores of trusted rows are like those of unseen ones, and the threshold of a
 language comes from them: the median less ``WIDE`` times its distance to the
-``LOW`` quantile. Quantiles are exact over scores rounded down to 1/``STEPS``.
+``LOW`` quantile. Quantiles are exact (interpolated) over scores rounded down to 1/``STEPS``.
 Languages with fewer than ``LEAST_TRUSTED`` trusted rows share the threshold of
 all trusted rows.
 
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -115,12 +115,11 @@ def _lang(docs: DataFrame) -> Column:
     return docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
 
-def _thresholds(bins: DataFrame, key: list[str]) -> DataFrame:
+def _thresholds(bins: DataFrame, *key: str) -> DataFrame:
     """(key, n, threshold) from counts (key, bin, n)."""
-    own = Window.partitionBy(*key)
-    at = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
-    found = at.groupBy(*key).agg(F.first("all").alias("n"), *[F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))).alias(c) for q, c in ((0.5, "mid"), (LOW, "low"))])
-    return found.select(*key, "n", ((F.col("mid") - WIDE * F.greatest(F.col("mid") - F.col("low"), F.lit(1))) / STEPS).alias("threshold"))
+    mid, low = (F.percentile("bin", F.lit(q), F.col("n")) for q in (0.5, LOW))
+    found = bins.groupBy(*key).agg(F.sum("n").alias("rows"), mid.alias("mid"), low.alias("low"))
+    return found.select(*key, "rows", ((F.col("mid") - WIDE * F.greatest(F.col("mid") - F.col("low"), F.lit(1.0))) / STEPS).alias("threshold"))
 
 
 def limits(docs: DataFrame, labels: DataFrame, model: list[float]) -> tuple[DataFrame, float | None]:
@@ -129,8 +128,8 @@ def limits(docs: DataFrame, labels: DataFrame, model: list[float]) -> tuple[Data
     rows = rows.select(_lang(docs).alias("of"), _fold(docs["doc_id"]).alias("fold"), words_of(common.text_or_empty()).alias("words")).where(F.size("words") >= MIN_WORDS)
     rows = rows.select("of", F.floor(ratio_of(F.col("words"), F.col("fold"), model) * STEPS).alias("bin"))
     bins = common.durable(rows.groupBy("of", "bin").agg(F.count(F.lit(1)).alias("n")))
-    every = _thresholds(bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("every", F.lit(1)), ["every"]).first()
-    return common.durable(_thresholds(bins, ["of"]).where(F.col("n") >= LEAST_TRUSTED).select("of", "threshold")), every.threshold if every else None
+    every = _thresholds(bins).first()
+    return common.durable(_thresholds(bins, "of").where(F.col("rows") >= LEAST_TRUSTED).select("of", "threshold")), every.threshold
 
 
 def features(docs: DataFrame, model: list[float]) -> DataFrame:

@@ -43,7 +43,12 @@ def fold(i):
 
 def limit(bins):
     bins = sorted(bins)
-    at = lambda q: bins[math.ceil(len(bins) * q) - 1]
+
+    def at(q):
+        x = (len(bins) - 1) * q
+        lo, hi = bins[math.floor(x)], bins[math.ceil(x)]
+        return lo + (hi - lo) * (x - math.floor(x))
+
     return (at(0.5) - m.WIDE * max(at(0.5) - at(m.LOW), 1)) / m.STEPS
 
 
