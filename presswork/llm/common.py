@@ -6,6 +6,7 @@ memory follows the slice (or the one longest document), never the partition.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -75,6 +76,12 @@ def sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -148,18 +155,23 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, by a polynomial over random byte values."""
+_BYTE_2 = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+_ODD_2 = np.uint64(0xA0761D6478BD642F)
+
+
+def word_hashes(w: Words, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, by a polynomial over random byte values; ``second`` is an independent one."""
+    byte, odd = (_BYTE_2, _ODD_2) if second else (_BYTE, _ODD)
     if not len(w.start):
         return np.zeros(0, np.uint64)
     longest = int((w.end - w.start).max())
     power = np.empty(longest + 1, np.uint64)
     power[0] = 1
-    power[1:] = np.multiply.accumulate(np.full(longest, _ODD))
+    power[1:] = np.multiply.accumulate(np.full(longest, odd))
     lens = w.end - w.start
     flat = np.repeat(w.start - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(int(lens.sum()))
     place = flat - np.repeat(w.start, lens)
-    out = np.add.reduceat(_BYTE[w.buf[flat]] * power[place], np.concatenate(([0], np.cumsum(lens)[:-1])))
+    out = np.add.reduceat(byte[w.buf[flat]] * power[place], np.concatenate(([0], np.cumsum(lens)[:-1])))
     return mix(out + lens.astype(np.uint64))
 
 

@@ -1,27 +1,31 @@
-"""Repeated passages by minimizer buckets of 13-word windows.
-
-A window of 13 words would be an edge between two nodes of 12 words; no graph, degree
-or branch is computed. Windows are never shipped one by one: consecutive windows of a document that share a minimizer
-(the least hash of their 5-word grams) form one path and travel as one
-record with its source coordinate (document, first window) and the 48-bit
-fingerprints of its windows. Equal windows have equal minimizers, so they meet in
-one bucket; there paths whose minimizer occurs in one document only are dropped,
-the others are opened, and each window gets the least document that has it, with
-its source coordinate. Neighbouring windows whose sources lie on one diagonal
-(same source document, same distance) compact into spans again, first inside a
-path, then along the document after a Spark join brings its paths together; that
-only merges, no span is verified or rejected by it. Windows of one
-bucket are compared by a 64-bit mix of minimizer and 48-bit fingerprint, not by
-their words, so two different ones could meet by chance (one in 2^64 a pair).
+"""Repeated passages by a compacted De Bruijn graph of 13-word windows.
+
+1. Which windows repeat. Consecutive windows of a document that share a minimizer (the
+   least hash of their 5-word grams) travel as one record with their coordinate and 48-bit
+   fingerprints. Equal windows have equal minimizers, so they meet in one bucket; paths
+   whose minimizer occurs in one document only are dropped there, and each other window
+   gets the least document that has it, as its source coordinate.
+2. The graph. Each distinct repeated window is an edge between the 12-word nodes at its
+   ends; the source's words are read again at its coordinate for the hashes of its nodes
+   and a second hash of its words. Spark counts every node's edges in and out.
+   Runs of edges in a source document without a branching node between are pieces; a join
+   of pieces by their end nodes links those that meet in an unbranched node (one edge in,
+   one out) across documents, and star contraction joins give each chain of pieces one
+   name: the compacted path.
+3. Verification. Every repeated window of a document is compared with its source by the
+   second hash of the words at both coordinates; a window whose words differ stays.
+   Verified windows in a row on one path are one span.
 
 Skew: a first pass counts paths per minimizer in ``COUNTERS`` counters. Where a
 counter stands out its windows are dealt by their own fingerprint instead of the
 minimizer's, and each slice sends only its least document of each such window
-(larger ones are settled on the spot), so a passage shared by a third of all
-documents costs one record a slice.
+(larger ones are settled on the spot and dealt by slice), so a passage shared by a
+third of all documents costs one record a slice. Source intervals with more than
+``HOT_ROWS`` copies are salted in the join that brings their hashes to the copies.
+The number of buckets follows the number of paths, so a bucket fits a task.
 
-Only documents with a repeated window send their text to a join; a Bloom filter
-of at most ``BLOOM_WORDS`` longs says which may (a false yes costs a little
+Only documents with a repeated window, and sources, send their text to a join; Bloom
+filters of at most ``BLOOM_WORDS`` longs say which may (a false yes costs a little
 shuffle, never a wrong row).
 
 Edge cases: null text has no words; a null id neither removes nor loses words;
@@ -39,10 +43,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .components import component_roots
 
 WINDOW = 13
 GRAM = 5
@@ -50,13 +56,15 @@ COUNTERS = 1 << 14
 #: A counter is hot beyond this many times the mean, and beyond HOT_LEAST paths.
 HOT_TIMES, HOT_LEAST = 8, 2000
 BLOOM_WORDS = 1 << 20
-BUCKETS_A_PARTITION = 4
+BUCKETS_A_PARTITION, PATHS_A_BUCKET = 4, 1 << 18
+#: Copies of a source interval beyond which they are salted.
+HOT_ROWS = 2000
 SLICE = 1 << 20
 #: Longest path in one record.
 PATH = 64
 
 _C = np.uint64(0x9E3779B97F4A7C15)
-SPAN = "doc_id long, mark long, start int, windows int, src_doc long, src_start int"
+SPAN = "doc_id long, mark long, start int, windows int, src_doc long, src_mark long, src_start int"
 
 
 def _poly(h: np.ndarray, size: int) -> np.ndarray:
@@ -114,8 +122,8 @@ def _usable(part: pa.RecordBatch) -> np.ndarray:
     return ~part.column(0).is_null().to_numpy(zero_copy_only=False)
 
 
-def hot_counters(docs: DataFrame) -> np.ndarray:
-    """Which counters stand out; at most COUNTERS numbers reach the driver."""
+def hot_counters(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """(which counters stand out, how many paths there are); at most COUNTERS numbers reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(COUNTERS, np.int64)
@@ -129,7 +137,7 @@ def hot_counters(docs: DataFrame) -> np.ndarray:
     n = np.zeros(COUNTERS, np.int64)
     for r in found:
         n[r.counter] = r.n
-    return n > max(HOT_LEAST, HOT_TIMES * n.mean())
+    return n > max(HOT_LEAST, HOT_TIMES * n.mean()), int(n.sum())
 
 
 def _blob(sel: np.ndarray, columns: list[np.ndarray]) -> list[bytes]:
@@ -140,7 +148,8 @@ def _deal(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """One row for each slice and bucket: the paths as flat little-endian arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches, limit=SLICE):
+        number = TaskContext.get().partitionId() * 7919
+        for k, part in enumerate(common.slices(batches, limit=SLICE)):
             raw = common.texts(part.column(1))
             p = Paths(raw, _usable(part))
             if not len(p.mv):
@@ -178,18 +187,21 @@ def _deal(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int32() if k == 0 else pa.binary()) for k, o in enumerate(out)), pa.nulls(len(cut), pa.binary())], [*names, "done"])
             if len(done[0]):
                 a, b = done
-                settled = np.stack([ids[p.doc[a]], marks[p.doc[a]].astype(np.int64), p.start[a], ids[p.doc[b]], p.start[b]])
-                yield pa.RecordBatch.from_arrays([pa.array([int(p.wh[a[0]] % np.uint64(buckets))], pa.int32()), *(pa.nulls(1, pa.binary()) for _ in range(6)), pa.array([settled.tobytes()], pa.binary())], [*names, "done"])
+                settled = np.stack([ids[p.doc[a]], marks[p.doc[a]].astype(np.int64), p.start[a], ids[p.doc[b]], marks[p.doc[b]].astype(np.int64), p.start[b]])
+                yield pa.RecordBatch.from_arrays([pa.array([(number + k) % buckets], pa.int32()), *(pa.nulls(1, pa.binary()) for _ in range(6)), pa.array([settled.tobytes()], pa.binary())], [*names, "done"])
 
     return common.map_arrow(_rows(docs), run, "bucket int, mv binary, doc binary, mark binary, start binary, size binary, wh binary, done binary")
 
 
-def _spans(doc, mark, start, src_doc, src_start) -> pa.RecordBatch:
+def _spans(doc, mark, start, src_doc, src_mark, src_start) -> pa.RecordBatch:
     """Spans from windows in document order: neighbours on one diagonal of one source become one."""
-    new = np.append(True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (start[1:] != start[:-1] + 1) | (src_doc[1:] != src_doc[:-1]) | (src_start[1:] != src_start[:-1] + 1))
-    f = np.flatnonzero(new)
+    same = (doc[1:] == doc[:-1]) & (mark[1:] == mark[:-1]) & (start[1:] == start[:-1] + 1) & (src_doc[1:] == src_doc[:-1]) & (src_mark[1:] == src_mark[:-1]) & (src_start[1:] == src_start[:-1] + 1)
+    f = np.flatnonzero(np.append(True, ~same))
     n = np.diff(np.append(f, len(doc)))
-    return common.record(doc_id=pa.array(doc[f], pa.int64()), mark=pa.array(mark[f], pa.int64()), start=pa.array(start[f], pa.int32()), windows=pa.array(n, pa.int32()), src_doc=pa.array(src_doc[f], pa.int64()), src_start=pa.array(src_start[f], pa.int32()))
+    return common.record(
+        doc_id=pa.array(doc[f], pa.int64()), mark=pa.array(mark[f], pa.int64()), start=pa.array(start[f], pa.int32()), windows=pa.array(n, pa.int32()),
+        src_doc=pa.array(src_doc[f], pa.int64()), src_mark=pa.array(src_mark[f], pa.int64()), src_start=pa.array(src_start[f], pa.int32()),
+    )
 
 
 def _settle(rows: list[list[bytes]]) -> pa.RecordBatch | None:
@@ -212,21 +224,22 @@ def _settle(rows: list[list[bytes]]) -> pa.RecordBatch | None:
     wide = np.zeros((len(six), 8), np.uint8)
     wide[:, :6] = six
     key = common.mix(mv[path].copy()) ^ (wide.view("<u8")[:, 0] << np.uint64(16))
-    d, s = doc[path], start[path] + step
-    order = np.lexsort((s, d, key))
+    d, s, m = doc[path], start[path] + step, mark[path].astype(np.int64)
+    order = np.lexsort((m, s, d, key))
     head = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
     least = np.empty(len(order), np.int64)
     least[order] = np.repeat(order[head], np.diff(np.append(head, len(order))))
     dup = np.flatnonzero(d > d[least])
     if not len(dup):
         return None
-    return _spans(d[dup], mark[path][dup].astype(np.int64), s[dup].astype(np.int64), d[least[dup]], s[least[dup]].astype(np.int64))
+    return _spans(d[dup], m[dup], s[dup].astype(np.int64), d[least[dup]], m[least[dup]], s[least[dup]].astype(np.int64))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Spans of windows that begin in a document with a smaller id too, with the source's coordinate."""
     parts = common.parts(docs.sparkSession)
-    buckets = parts * BUCKETS_A_PARTITION
+    hot, paths = hot_counters(docs)
+    buckets = max(parts * BUCKETS_A_PARTITION, -(-paths // PATHS_A_BUCKET))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now = [], None
@@ -240,31 +253,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 if row[7] is None:
                     held.append(row[1:7])
                 else:
-                    x = np.frombuffer(row[7], np.int64).reshape(5, -1)
-                    x = x[:, np.lexsort((x[2], x[1], x[0]))]
-                    yield _spans(x[0], x[1], x[2], x[3], x[4])
+                    x = np.frombuffer(row[7], np.int64).reshape(6, -1)
+                    yield _spans(*x[:, np.lexsort((x[2], x[1], x[0]))])
         if held and (out := _settle(held)) is not None:
             yield out
 
-    dealt = _deal(docs, hot_counters(docs), buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = _deal(docs, hot, buckets).repartition(parts, "bucket").sortWithinPartitions("bucket")
     return common.map_arrow(dealt, run, SPAN)
 
 
-def compact(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Joins (start, windows, src_doc, src_start) of one document along diagonals; starts then ascend."""
-    out: list[tuple[int, int, int, int]] = []
-    open_at: dict[tuple[int, int], int] = {}
-    for start, n, src, at in sorted(spans):
-        k = open_at.get((src, at - start))
-        if k is not None and out[k][0] + out[k][1] >= start:
-            s, m, _, a = out[k]
-            out[k] = (s, max(m, start + n - s), src, a)
-        else:
-            open_at[src, at - start] = len(out)
-            out.append((start, n, src, at))
-    return out
-
-
 def _bloom_places(ids: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     h = common.mix(ids.astype(np.uint64) + _C)
     both = np.stack([h, common.mix(h + _C)])
@@ -290,23 +287,169 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _node_hashes(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(the hash of the 12-word node at each word, the second hash of the window at each word); those that leave a text mean nothing."""
+    def padded(h: np.ndarray, size: int) -> np.ndarray:
+        return common.mix(_poly(np.append(h, np.zeros(size, np.uint64)), size))
+
+    return padded(common.word_hashes(words), WINDOW - 1), padded(common.word_hashes(words, second=True), WINDOW)
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, mark, raw): the texts of documents whose id may be among ids, each once."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches, limit=SLICE):
+            raw = common.texts(part.column(1))
+            word, bit = _bloom_places(part.column(0).fill_null(0).to_numpy(), len(shared.value))
+            some = np.flatnonzero(_usable(part) & ((shared.value[word.astype(np.int64)] & bit) == bit).all(0))
+            yield common.record(doc_id=part.column(0).take(pa.array(some)), mark=pa.array([zlib.crc32(raw[k]) for k in some], pa.int64()), raw=pa.array([raw[k] for k in some], pa.binary()))
+
+    return common.map_arrow(_rows(docs), look, "doc_id long, mark long, raw binary").groupBy("doc_id", "mark").agg(F.first("raw").alias("raw"))
+
+
+SOURCE = ["src_doc", "src_mark"]
+
+
+def source_edges(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(src_doc, src_mark, starts, froms, tos, checks): the distinct repeated windows of each source, read again from its text."""
+    wanted = spans.select(*SOURCE, "src_start", "windows").distinct().groupBy(*SOURCE).agg(F.collect_list(F.struct("src_start", "windows")).alias("own"))
+    texts = _texts(docs, spans.select(F.col("src_doc").alias("doc_id")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches, 2, SLICE):
+            words = common.Words(common.texts(part.column(2)))
+            node, check = _node_hashes(words)
+            starts, froms, tos, checks = [], [], [], []
+            for k, own in enumerate(part.column(3).to_pylist()):
+                at = np.unique(np.concatenate([np.arange(x["src_start"], x["src_start"] + x["windows"]) for x in own]))
+                place = at + words.first[k]
+                starts.append(at)
+                froms.append(node[place].view(np.int64))
+                tos.append(node[place + 1].view(np.int64))
+                checks.append(check[place].view(np.int64))
+            yield common.record(src_doc=part.column(0), src_mark=part.column(1), starts=pa.array(starts, pa.list_(pa.int32())), froms=pa.array(froms, pa.list_(pa.int64())), tos=pa.array(tos, pa.list_(pa.int64())), checks=pa.array(checks, pa.list_(pa.int64())))
+
+    rows = texts.join(wanted, (F.col("doc_id") == F.col("src_doc")) & (F.col("mark") == F.col("src_mark"))).select(*SOURCE, "raw", "own")
+    return common.map_arrow(rows, run, "src_doc long, src_mark long, starts array<int>, froms array<long>, tos array<long>, checks array<long>")
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """(src_doc, src_mark, first, n, path): runs of each source's edges and the unbranched path that each is part of.
+
+    A window that was settled in several slices has a source in each; the least coordinate owns the edge, the others take its path.
+    """
+    flat = edges.select(*SOURCE, F.explode(F.arrays_zip("starts", "froms", "tos")).alias("e"))
+    at = F.struct(*SOURCE, F.col("e.starts").alias("start"))
+    own = flat.groupBy(F.col("e.froms").alias("a"), F.col("e.tos").alias("b")).agg(F.collect_list(at).alias("at"))
+    own = common.durable(own.select("a", "b", F.array_min("at").alias("owner"), F.array_except("at", F.array(F.array_min("at"))).alias("others")))
+    ends = own.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("outs"), F.lit(0).alias("ins")), F.struct(F.col("b").alias("node"), F.lit(0).alias("outs"), F.lit(1).alias("ins")))).alias("x"))
+    degrees = ends.select("x.*").groupBy("node").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"))
+    branching = common.durable(degrees.where("outs <> 1 OR ins <> 1").select(F.col("node").alias("stop")))
+    marked = own.join(common.sized(branching), F.col("a") == F.col("stop"), "left")
+    edge = F.struct(F.col("owner.start").alias("start"), "a", "b", F.col("stop").isNotNull().alias("head"), "others")
+    rows = marked.groupBy(F.col("owner.src_doc").alias("src_doc"), F.col("owner.src_mark").alias("src_mark")).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    # A piece is a run of edges of one source without a branching node between them.
+    step = F.transform("edges", lambda x, k: (k == 0) | x["head"] | (x["start"] != F.get("edges", k - 1)["start"] + 1))
+    rows = rows.withColumn("firsts", F.filter(F.transform(step, lambda x, k: F.when(x, k)), lambda x: x.isNotNull()))
+    pieces = F.transform("firsts", lambda x, k: F.slice("edges", x + 1, F.coalesce(F.get("firsts", k + 1), F.size("edges")) - x))
+    pieces = rows.select(*SOURCE, F.explode(pieces).alias("p"))
+    first, last = F.col("p")[0], F.element_at("p", -1)
+    pieces = pieces.select(*SOURCE, first["start"].alias("first"), F.size("p").alias("n"), first["a"].alias("a"), last["b"].alias("b"), first["head"].alias("head"), F.flatten(F.transform("p", lambda x: x["others"])).alias("others"))
+    pieces = common.durable(pieces.withColumn("piece", F.xxhash64(*SOURCE, "first")))
+    # A piece without a branching node at its start goes on from the one piece that ends there.
+    ends_at = pieces.select(F.col("b").alias("at"), F.col("piece").alias("v"))
+    links = pieces.where("NOT head").select("a", F.col("piece").alias("u")).join(ends_at, F.col("a") == F.col("at")).select("u", "v")
+    named = pieces.join(component_roots(links), F.col("piece") == F.col("node"), "left").withColumn("path", F.coalesce("root", "piece"))
+    others = named.select(F.explode("others").alias("o"), "path").select("o.src_doc", "o.src_mark", F.col("o.start").alias("first"), F.lit(1).alias("n"), "path")
+    return named.select(*SOURCE, "first", "n", "path").unionByName(others)
+
+
+def verified_by(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, mark, spans): every document's spans with the second hashes of their sources' windows and their paths."""
+    edges = common.durable(source_edges(docs, spans))
+    pieces = compacted(edges).groupBy(*SOURCE).agg(F.array_sort(F.collect_list(F.struct("first", "n", "path"))).alias("pieces"))
+    of = spans.groupBy(*SOURCE, "src_start", "windows").agg(F.count(F.lit(1)).alias("copies"))
+    salts = F.ceil(F.col("copies") / HOT_ROWS).cast("int")
+    hot = common.durable(of.where(F.col("copies") > HOT_ROWS).select(*SOURCE, "src_start", "windows", salts.alias("salts")))
+    wanted = of.groupBy(*SOURCE).agg(F.collect_list(F.struct("src_start", "windows", salts.alias("salts"))).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, mark, starts, checks, pieces_, own in zip(*(c.to_pylist() for c in batch.columns)):
+                at, check = np.array(starts), np.array(checks, np.int64)
+                path = np.repeat([p["path"] for p in pieces_], [p["n"] for p in pieces_])
+                rows: list[list] = [[] for _ in range(5)]
+                for x in own:
+                    k = int(np.searchsorted(at, x["src_start"]))
+                    for salt in range(x["salts"]):
+                        for o, v in zip(rows, (x["src_start"], x["windows"], salt, check[k : k + x["windows"]], path[k : k + x["windows"]])):
+                            o.append(v)
+                    if len(rows[0]) >= 4096:
+                        yield _intervals(doc, mark, rows)
+                        rows = [[] for _ in range(5)]
+                if rows[0]:
+                    yield _intervals(doc, mark, rows)
+
+    joined = edges.select(*SOURCE, "starts", "checks").join(pieces, SOURCE).join(wanted, SOURCE).select(*SOURCE, "starts", "checks", "pieces", "own")
+    intervals = common.map_arrow(joined, run, "src_doc long, src_mark long, src_start int, windows int, salt int, checks array<long>, paths array<long>")
+    key = [*SOURCE, "src_start", "windows"]
+    salted = spans.join(common.sized(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    both = salted.join(intervals, [*key, "salt"])
+    return both.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "checks", "paths")).alias("spans"))
+
+
+def _intervals(doc: int, mark: int, rows: list[list]) -> pa.RecordBatch:
+    n = len(rows[0])
+    return common.record(
+        src_doc=pa.array([doc] * n, pa.int64()), src_mark=pa.array([mark] * n, pa.int64()), src_start=pa.array(rows[0], pa.int32()), windows=pa.array(rows[1], pa.int32()), salt=pa.array(rows[2], pa.int32()),
+        checks=pa.array(rows[3], pa.list_(pa.int64())), paths=pa.array(rows[4], pa.list_(pa.int64())),
+    )
+
+
+def _verified(raw: list[bytes], spans: list[list[dict] | None]) -> list[tuple[list[bytes], np.ndarray, int]]:
+    """For each text its words, which of them stay, and the number of spans."""
+    words = common.Words(raw)
+    _, check = _node_hashes(words)
+    out = []
+    for k, (x, own) in enumerate(zip(raw, spans)):
+        mine = x.split()
+        gone = np.zeros(len(mine) + 1, np.int32)
+        start = np.concatenate([np.zeros(0, np.int64), *(s["start"] + np.arange(len(s["checks"])) for s in own or [])])
+        want, path = (np.concatenate([np.zeros(0, np.int64), *(np.array(s[c], np.int64) for s in own or [])]) for c in ("checks", "paths"))
+        good = check[words.first[k] + start].view(np.int64) == want
+        start, path = start[good], path[good]
+        start, at = np.unique(start, return_index=True)
+        path = path[at]
+        new = np.flatnonzero(np.append(True, (start[1:] != start[:-1] + 1) | (path[1:] != path[:-1]))) if len(start) else start
+        np.add.at(gone, start, 1)
+        np.add.at(gone, start + WINDOW, -1)
+        out.append((mine, np.cumsum(gone[:-1]) == 0, len(new)))
+    return out
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, spans) of the documents that have repeated windows."""
+    spans = common.durable(repeated_spans(docs))
+    common.release(docs.sparkSession)
+    return common.durable(verified_by(docs, spans))
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, n_words, n_removed, kept_sha256, kept): kept holds the words that stay, null where all do.
+    """(doc_id, mark, n_words, n_removed, n_spans, kept_sha256, kept): kept holds the words that stay, null where all do.
 
     mark is the CRC-32 of the text.
     """
-    spark = docs.sparkSession
-    spans = repeated_spans(docs).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "windows", "src_doc", "src_start")).alias("spans"))
-    spans = common.durable(spans)
-    shared = spark.sparkContext.broadcast(_bloom(spans.select("doc_id")))
+    spans = repeats(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(spans.select("doc_id")))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = shared.value
         for part in common.slices(batches, limit=SLICE):
             raw = common.texts(part.column(1))
-            usable = _usable(part)
             word, bit = _bloom_places(part.column(0).fill_null(0).to_numpy(), len(bloom))
-            maybe = usable & ((bloom[word.astype(np.int64)] & bit) == bit).all(0)
+            maybe = _usable(part) & ((bloom[word.astype(np.int64)] & bit) == bit).all(0)
             sha, texts, n = [], [], []
             for x, m in zip(raw, maybe.tolist()):
                 words = x.split()
@@ -317,40 +460,52 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 4, SLICE):
-            doc, mark, n, sha, raw, spans = (c.to_pylist() for c in batch.columns)
-            removed, kept = [], []
-            for k, (x, own) in enumerate(zip(raw, spans)):
-                if x is None or not own:
-                    removed.append(0)
-                    kept.append(None)
-                    if x is not None:
-                        sha[k] = hashlib.sha256(b" ".join(x.split())).hexdigest()
-                    continue
-                words = x.split()
-                gone = np.zeros(len(words) + 1, np.int32)
-                for start, windows, _, _ in compact([(s["start"], s["windows"], s["src_doc"], s["src_start"]) for s in own]):
-                    gone[start] += 1
-                    gone[start + windows + WINDOW - 1] -= 1
-                stay = np.cumsum(gone[:-1]) == 0
+            sha, raw = batch.column(3).to_pylist(), common.texts(batch.column(4))
+            removed, n_spans, kept = [], [], []
+            for k, (words, stay, n) in enumerate(_verified(raw, batch.column(5).to_pylist())):
                 text = b" ".join([w for w, s in zip(words, stay.tolist()) if s])
                 removed.append(int(len(words) - stay.sum()))
-                kept.append(text)
-                sha[k] = hashlib.sha256(text).hexdigest()
-            yield common.record(doc_id=batch.column(0), mark=batch.column(1), n_words=batch.column(2), n_removed=removed, kept_sha256=sha, kept=pa.array([x.decode() if x is not None else None for x in kept], pa.string()))
+                n_spans.append(n)
+                kept.append(text.decode() if n else None)
+                sha[k] = sha[k] or hashlib.sha256(text).hexdigest()
+            yield common.record(doc_id=batch.column(0), mark=batch.column(1), n_words=batch.column(2), n_removed=removed, n_spans=n_spans, kept_sha256=sha, kept=pa.array(kept, pa.string()))
 
     looked = common.map_arrow(_rows(docs), look, "doc_id long, mark long, n_words long, sha string, raw binary")
-    joined = looked.join(spans, ["doc_id", "mark"], "left").select("doc_id", "mark", "n_words", "sha", "raw", "spans")
-    return common.map_arrow(joined, cut, "doc_id long, mark long, n_words long, n_removed long, kept_sha256 string, kept string")
+    # Most documents have no repeat: they need no join.
+    joined = looked.where("raw IS NOT NULL").join(spans, ["doc_id", "mark"], "left").select("doc_id", "mark", "n_words", "sha", "raw", "spans")
+    clean = looked.where("raw IS NULL").select("doc_id", "mark", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
+    return clean.unionByName(common.map_arrow(joined, cut, "doc_id long, mark long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the text of each row that loses words replaced by the words that stay, joined by one space."""
-    new, mark, key = (common.fresh(docs, c) for c in ("kept_text", "text_mark", "kept_key"))
-    changed = without_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("kept").alias(new)).dropDuplicates([key, mark])
-    same = (docs["doc_id"].cast("long") == F.col(key)) & (F.crc32(docs["text"].cast("binary")) == F.col(mark))
-    out = docs.join(changed, same, "left")
-    return out.select(*[F.coalesce(F.col(new), docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    """docs with the text of each row that loses words replaced by the words that stay, joined by one space.
+
+    Rows of documents without repeats pass as they are; the others travel as one struct to the join with their spans.
+    """
+    spans = repeats(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(spans.select("doc_id")))
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                word, bit = _bloom_places(batch.column(0).fill_null(0).to_numpy(), len(shared.value))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((~batch.column(0).is_null().to_numpy(zero_copy_only=False)) & ((shared.value[word.astype(np.int64)] & bit) == bit).all(0))], ["doc_id", "row", "maybe"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, 1, SLICE):
+            texts = batch.column(1)
+            new = [b" ".join([w for w, s in zip(words, stay.tolist()) if s]).decode() if n else None for words, stay, n in _verified(common.texts(texts), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([y if y is not None else x for x, y in zip(texts.to_pylist(), new)], pa.string())], ["row", "kept"])
+
+    schema = docs.select(whole).schema["row"].dataType.simpleString()
+    looked = common.map_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), whole), look, f"doc_id long, row {schema}, maybe boolean")
+    rows = looked.where("maybe").withColumn("mark", F.crc32(F.col("row.text").cast("binary")))
+    joined = rows.join(spans, ["doc_id", "mark"], "left").select("row", F.col("row.text").alias("text"), "spans")
+    changed = common.map_arrow(joined, cut, f"row {schema}, kept string")
+    out = changed.select(*[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return looked.where("NOT maybe").select("row.*").unionByName(out)

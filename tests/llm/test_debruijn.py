@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from presswork.llm import debruijn as m
@@ -11,17 +13,34 @@ SCHEMA = "doc_id long, text string, mark string, spans long"
 
 
 def slow(rows):
-    least, words = {}, [WORD.findall(t or "") for _, t in rows]
-    for (i, _), w in zip(rows, words):
-        for k in range(len(w) - 12):
-            if i is not None:
-                key = tuple(w[k : k + 13])
-                least[key] = min(i, least.get(key, i))
+    """(id, words, words removed, digest, spans): spans are runs of repeated windows on one unbranched path."""
+    least, edges, words = {}, set(), [WORD.findall(t or "") for _, t in rows]
+    windows = [[tuple(w[k : k + 13]) for k in range(len(w) - 12)] if i is not None else [] for (i, _), w in zip(rows, words)]
+    for (i, _), own in zip(rows, windows):
+        for key in own:
+            least[key] = min(i, least.get(key, i))
+    for (i, _), own in zip(rows, windows):
+        edges.update(key for key in own if least[key] < i)
+    ins, outs = Counter(e[1:] for e in edges), Counter(e[:-1] for e in edges)
+    into = {e[1:]: e for e in edges}
+    root = {e: e for e in edges}
+
+    def find(e):
+        while root[e] != e:
+            root[e] = root[root[e]]
+            e = root[e]
+        return e
+
+    for e in edges:
+        if ins[e[:-1]] == outs[e[:-1]] == 1:
+            root[find(e)] = find(into[e[:-1]])
     out = []
-    for (i, _), w in zip(rows, words):
-        gone = {k + j for k in range(len(w) - 12) if i is not None and least[tuple(w[k : k + 13])] < i for j in range(13)}
+    for (i, _), w, own in zip(rows, words, windows):
+        again = [k for k, key in enumerate(own) if least[key] < i]
+        spans = sum(not n or again[n - 1] != k - 1 or find(own[k - 1]) != find(own[k]) for n, k in enumerate(again))
+        gone = {k + j for k in again for j in range(13)}
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), spans))
     return sorted(out, key=str)
 
 
@@ -29,6 +48,7 @@ def slow(rows):
 def test_against_the_plain_definition(spark, monkeypatch, least):
     monkeypatch.setattr(m, "HOT_LEAST", least)
     monkeypatch.setattr(m, "HOT_TIMES", 0)
+    monkeypatch.setattr(m, "HOT_ROWS", least // 3)
     rnd = random.Random(8)
     vocab = ["the", "of", "é", "Ça", *[f"w{i}" for i in range(300)]]
     text = lambda n: rnd.choices(vocab, k=n)
@@ -53,5 +73,41 @@ def test_on_the_documents(spark, sf_dir):
     assert sorted((tuple(r) for r in m.digest(df).collect()), key=str) == want and any(r[2] for r in want)
 
 
-def test_spans_on_one_diagonal_compact():
-    assert m.compact([(5, 2, 1, 105), (0, 5, 1, 100), (7, 1, 2, 7), (9, 3, 1, 109)]) == [(0, 7, 1, 100), (7, 1, 2, 7), (9, 3, 1, 109)]
+def test_paths_end_at_branching_nodes(spark):
+    """Two passages that share a middle part: the node before and the node after it branch."""
+    word = lambda c, n: [f"{c}{k}" for k in range(n)]
+    mid = word("m", 30)
+    one, two = word("a", 20) + mid + word("b", 20), word("c", 20) + mid + word("d", 20)
+    rows = [(k, " ".join(x)) for k, x in enumerate((one, two, one, two, word("z", 5) + mid))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    edges = m.source_edges(docs, m.repeated_spans(docs))
+    names = m.compacted(edges).groupBy("path").count().count()
+    assert names == 5 and sorted((tuple(r) for r in m.digest(docs).collect()), key=str) == slow(rows)
+
+
+def test_windows_with_equal_fingerprints_but_other_words_stay(spark, monkeypatch):
+    """With a first hash that takes all words for one, only the second one can tell windows apart."""
+    real = m.common.word_hashes
+    monkeypatch.setattr(m.common, "word_hashes", lambda w, second=False: real(w, True) if second else np.ones(len(w.start), np.uint64))
+    p = m.Paths([b"a b c d e f g h i j k l m", b"n o p q r s t u v w x y z"], np.array([True, True]))
+    assert p.wh[0] == p.wh[1]
+    raw = b" ".join(b"w%d" % k for k in range(20))
+    check = m._node_hashes(m.common.Words([raw]))[1][:8].view(np.int64)
+    wrong = check.copy()
+    wrong[3] += 1
+    (_, stay, n), (_, every, one) = m._verified([raw, raw], [[{"start": 0, "checks": wrong, "paths": [7] * 8}], [{"start": 0, "checks": check, "paths": [7] * 8}]])
+    assert n == 2 and one == 1 and not every.any() and not stay.any()
+    (_, stay, n), = m._verified([raw], [[{"start": 3, "checks": wrong[3:4], "paths": [7]}]])
+    assert n == 0 and stay.all()
+
+
+def test_cut_repeats_keeps_columns_nulls_and_long_texts(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    long = " ".join(f"x{k % 5000}" for k in range(60_000))
+    rows = [(1, text, "a", 1, 2), (2, "head " + text, None, None, 3), (2, None, "b", 1, 2), (None, text, "c", 1, 2), (3, "", "d", 1, 2), (4, long, "e", 1, 2), (5, long + " tail", "f", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string, row long, spans long")
+    got = m.cut_repeats(docs)
+    assert got.columns == docs.columns
+    want = [(1, text, "a", 1, 2), (2, "head", None, None, 3), (2, None, "b", 1, 2), (None, text, "c", 1, 2), (3, "", "d", 1, 2), (4, long, "e", 1, 2), (5, "tail", "f", 1, 2)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert m.cut_repeats(docs.limit(0)).collect() == []
