@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component."""
+    """One document of each component: the row with the least id, ties by fingerprint, text and other columns."""
     return simhash_gray.keep_one(docs)
 
 
@@ -52,10 +52,13 @@ STAGES = [("quality_rules", quality), ("simhash_near_dedup", near_dedup), ("subs
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written to the shared folder and read again, the one before it goes."""
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = common.scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            common.remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
