@@ -37,3 +37,14 @@ def test_stages_against_plain_versions(spark, sf_dir):
     again = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     piece = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)
     assert sorted(map(piece, rows)) == sorted(map(piece, again))
+
+
+def test_empty_and_odd_tables_pass_all_stages(spark, tmp_path):
+    docs = [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "short text", "en", "s", 10), (2, " ".join(f"w{k}" for k in range(80)), "en", "s", 300)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("odd", docs), ("empty", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert [r.doc_id for r in got] == ([2] if rows else [])
