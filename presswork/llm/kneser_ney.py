@@ -2,31 +2,35 @@
 
 The model learns from all trusted texts (labelled quality 1), so what it counts
 grows with the input; only every ``FOLD``-th trusted document (by a hash of its
-id) is left out, to set the thresholds. Counts and lookups are sharded joins.
-Each slice of texts packs its trigrams into flat arrays, one row a shard:
-
-1. trigrams go to the shard of their middle word, where trigram counts, context
-   sums and, for each pair, the number of words before it are all local;
-2. pair counts give the number of words before each word, in shards by word;
-3. the shares of single words come back to the pairs (a join by word);
-4. the trigrams of every document meet the pair tables in the shard of the middle
-   word, where those of trusted documents give the trigram table too; those whose
-   pair was never seen go on to the shard of their last word; sums of log
-   probabilities come back to the document's slice.
-
-No table of the model is broadcast or collected: the driver sees ``COUNTERS``
-word counts, the counts of counts, and at most ``CODES`` frequent words. The
-latter get two-byte codes on the way; every other word travels as it is, so they
-change sizes only. The number of shards follows the number of words, so a
-shard's tables fit one task at any size. A middle word that fills more than a
-shard is split by the word before it; its pair table, one row a pair, is copied
-to each part. Words are known by 48 bits of their hash.
+id) is left out, to set the thresholds. Counts and lookups are sharded joins:
+
+1. pairs: each slice of texts sends its distinct word pairs, sorted, with the distinct
+   words that follow each; trusted occurrences carry counts and the distinct words before
+   each pair. A shard holds a range of pair hashes, so for its pairs all counts of
+   trigrams, context sums and numbers of words before are local. Its answers (small
+   integers, nearly all zero or one) go back a slice at a time.
+2. words: one slice owns each pair and adds the pair up for its two words; sharded by
+   word, the sums give the number of pairs that end in a word and that begin with it, and
+   go back to the slices that have the word.
+3. each slice puts the answers together to log probabilities and sums them by document.
+
+Texts are read again in every step instead of being carried along, and pairs are taken in
+``PASSES`` ranges one after the other, so at any time the exchange of one range is on
+disk. Answers lie in the shared folder, grouped by the partition that asked; a task reads
+those of its own slices. That needs rows that come in the same order whenever docs is
+read, as tables give them; a checksum of each slice guards it, and labels that are too
+many to broadcast are joined once into a written table first.
+
+No table of the model is broadcast or collected: the driver sees the counts of counts.
+Shards follow the bytes of text, so their tables fit one task at any size. Pairs are
+known by hashes of ``bits`` bits, which grow with the logarithm of the text, words that
+follow a pair by 32 bits of their hash, words by 48.
 
 A document is kept when its perplexity does not exceed the threshold of its
 language and length class (under ``SHORT`` words or not): the ``QUANTILE`` of the
 left-out trusted documents of that language and class. Where there are none, all
 documents of the language and class are used. Quantiles are exact over log
-perplexities rounded up to 1/``STEPS``, so they need a bounded number of counts.
+perplexities rounded up to 1/``STEPS``.
 
 Edge cases: null or empty text has no words, perplexity 1 and is kept; null ids
 are scored and never trusted; a null language is a language of its own; repeated rows score alike;
@@ -36,13 +40,16 @@ gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import chain, groupby
+import zlib
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,20 +59,18 @@ FOLD = 8
 QUANTILE, STEPS = 0.99, 10_000
 #: Documents under so many words have less steady perplexities and thresholds of their own.
 SHORT = 20
-SLICE = 1 << 20
-COUNTERS = 1 << 14
-WORDS_A_SHARD = 1 << 23
-#: Frequent words that travel as two bytes; a task counts at most four times as many.
-CODES = (1 << 16) - 1
+SLICE = 4 << 20
+#: Ranges of pairs that are exchanged one after the other, and bytes of text a shard of pairs or words.
+PASSES, BYTES_A_SHARD = 4, 16 << 20
+#: Folders of answers; a task reads one of them.
+GROUPS = 256
 
 _LOW = np.uint64((1 << 48) - 1)
 _EDGE = np.uint64(0x5EED5EED5EED)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-ROW = "shard int, kind int, slice long, n long, a binary, b binary, c binary, d binary, e binary"
-#: Kinds of rows, in the order in which a shard reads them: model tables, then questions.
-GRAM3, GRAM2, WORD, TRAIN, ASK, PART, BASE, STAT = range(8)
-Rows = Iterator[tuple]
+ASK = "shard int, slice long, n long, keys binary, values array<binary>"
+REPLY = "part int, slice long, shard int, check long, values array<binary>"
 
 
 def contexts(raw: list[bytes]) -> tuple[common.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,153 +82,47 @@ def contexts(raw: list[bytes]) -> tuple[common.Words, np.ndarray, np.ndarray, np
     return w, back(2), back(1), h
 
 
-def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return common.mix(a * _A + b)
-
-
-def triple_key(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return common.mix(pair_key(a, b) * _B + c)
-
-
-class Layout:
-    """How many shards there are, how many parts each middle word has, and the codes of frequent words."""
-
-    def __init__(self, counts: np.ndarray, least: int, frequent: np.ndarray):
-        self.frequent = frequent
-        self.sorted, self.code = _ordered(frequent, np.arange(len(frequent), dtype=np.uint16))
-        total = int(counts.sum())
-        self.shards = max(least, -(-total // WORDS_A_SHARD))
-        self.parts = np.clip(-(-counts * self.shards // max(total, 1)), 1, self.shards)
-
-    @staticmethod
-    def counter(v: np.ndarray) -> np.ndarray:
-        return (common.mix(v.copy()) & np.uint64(COUNTERS - 1)).astype(np.int64)
-
-    def by_word(self, w: np.ndarray, part: np.ndarray | int = 0) -> np.ndarray:
-        return (common.mix(w * _B + np.asarray(part, np.uint64)) % np.uint64(self.shards)).astype(np.int64)
-
-    def by_middle(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return self.by_word(v, common.mix(u.copy()) % self.parts[self.counter(v)].astype(np.uint64))
-
-    def copies(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in v, shard) for each shard that a part of the word goes to."""
-        n = self.parts[self.counter(v)]
-        at = np.repeat(np.arange(len(v)), n)
-        both = np.unique(at * self.shards + self.by_word(v[at], np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)))
-        return both // self.shards, both % self.shards
-
-    def pack_words(self, w: np.ndarray) -> bytes:
-        """Two-byte codes; behind them the six bytes of each word without one."""
-        code = np.full(len(w), CODES, "<u2")
-        if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, w), len(self.sorted) - 1)
-            code = np.where(self.sorted[at] == w, self.code[at], CODES).astype("<u2")
-        return _pack(_planes(code) + w[code == CODES].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
-
-    def words(self, rows: list[tuple], column: int) -> np.ndarray:
-        """The words of a column of one or more rows."""
-        out = [np.zeros(0, np.uint64)]
-        for row in rows:
-            raw, n = _unpack(row[column]), row[3]
-            code = _numbers(raw[: 2 * n], "<u2")
-            rest = np.zeros(((len(raw) - 2 * n) // 6, 8), np.uint8)
-            rest[:, :6] = np.frombuffer(raw, np.uint8, offset=2 * n).reshape(-1, 6)
-            own = np.empty(n, np.uint64)
-            known = code != CODES
-            own[known] = self.frequent[code[known]]
-            own[~known] = rest.view("<u8")[:, 0]
-            out.append(own)
-        return np.concatenate(out)
-
-    def deal(self, kind: int, shard: np.ndarray, slice_: int, columns: list[np.ndarray | None]) -> Rows:
-        """One row a shard; columns are words (uint64) or numbers of four bytes."""
-        order = np.argsort(shard, kind="stable")
-        shard = shard[order]
-        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
-        flat = [None if c is None else c[order] for c in [*columns, *[None] * (5 - len(columns))]]
-        for a, b in zip(cut, [*cut[1:], len(shard)]):
-            yield int(shard[a]), kind, slice_, int(b - a), *(None if c is None else self.pack_words(c[a:b]) if c.dtype == np.uint64 else _pack(_planes(c[a:b])) for c in flat)
-
-
-def _pack(raw: bytes) -> bytes:
-    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpack(raw: bytes) -> bytes:
-    return pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "zstd", asbytes=True)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """All first bytes, then all second bytes and so on, which compresses better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def _numbers(raw: bytes, kind: str) -> np.ndarray:
-    size = int(kind[2:])
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind)[:, 0]
-
-
-def _four(rows: list[tuple], column: int, kind: str = "<u4") -> np.ndarray:
-    """The numbers of a column of one or more rows."""
-    return np.concatenate([np.zeros(0, np.int64 if kind == "<u4" else np.float64), *(_numbers(_unpack(r[column]), kind) for r in rows)])
-
-
-def _batches(rows: Rows) -> Iterator[pa.RecordBatch]:
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-    names = [f.split()[0] for f in ROW.split(", ")]
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += 64 + sum(len(x) for x in row[4:] if x)
-        if size > 4 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
-
-
-def _each(batches: Iterator[pa.RecordBatch]) -> Rows:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            yield from zip(*(c.to_pylist() for c in batch.slice(at, 64).columns))
+def pair_key(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    return common.mix(a * _A + b) >> np.uint64(64 - bits)
 
 
-def _map(df: DataFrame, fn: Callable[[Rows], Rows]) -> DataFrame:
-    return common.map_arrow(df, lambda batches: _batches(fn(_each(batches))), ROW)
+def _short(w: np.ndarray) -> np.ndarray:
+    """32 bits of a word."""
+    return common.mix(w * _B) >> np.uint64(32)
 
 
-def _meet(df: DataFrame, layout: Layout, fn: Callable[[Rows], Rows]) -> DataFrame:
-    """fn over the rows of one shard after the other, models first."""
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, compressed."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
-    def run(rows: Rows) -> Rows:
-        for _, own in _runs(rows):
-            yield from fn(own)
 
-    return _map(df.repartition(layout.shards, "shard").sortWithinPartitions("shard", "kind", "slice"), run)
+def _numbers(raw: bytes, kind: str = "<u4") -> np.ndarray:
+    flat = pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), "zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(int(kind[2:]), -1).T).view(kind)[:, 0]
 
 
-def _runs(rows: Rows) -> Iterator[tuple[int, Rows]]:
-    """The rows of each shard in turn."""
-    return groupby(rows, key=lambda r: r[0])
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct key stands first, and its sum of n."""
-    order = np.argsort(key, kind="stable")
-    if not len(order):
-        return order, n
-    head = np.flatnonzero(np.append(True, key[order[1:]] != key[order[:-1]]))
-    return order[head], np.add.reduceat(n[order], head)
+def _keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(raw, "<u8"), dtype=np.uint64)
 
 
-def _stats(n: np.ndarray) -> Rows:
-    """Counts of counts 1 to 4, of 3 and more (5), all (6) and their sum (7)."""
-    for k, x in enumerate([*(n == c for c in (1, 2, 3, 4)), n >= 3, n > 0, n], 1):
-        yield 0, STAT, k, int(x.sum()), None, None, None, None, None
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each distinct value of sorted x begins, one past its end)."""
+    head = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return head, np.append(head[1:], len(x))
 
 
-def _found(rows: DataFrame) -> dict[int, int]:
-    return {r.slice: r.n for r in rows.where(F.col("kind") == STAT).groupBy("slice").agg(F.sum("n").alias("n")).collect()}
+def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where x stands in a sorted table of distinct values, whether it does)."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
 
 
 def discounts(found: dict[int, int]) -> tuple[float, float, float]:
@@ -239,273 +138,327 @@ def _cut(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(n, 3)]
 
 
-def _shares(context: np.ndarray, n: np.ndarray, d: tuple[float, float, float]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """(the discounted share of each n in its context, (contexts in order, the weight each leaves to the lower order))."""
-    order = np.argsort(context, kind="stable")
-    if not len(order):
-        return np.zeros(0), (np.zeros(0, np.uint64), np.zeros(0))
-    head = np.flatnonzero(np.append(True, context[order[1:]] != context[order[:-1]]))
-    total = np.add.reduceat(n[order], head)
-    share = np.empty(len(n))
-    share[order] = np.maximum(n - _cut(n, d), 0)[order] / np.repeat(total, np.diff(np.append(head, len(order))))
-    return share, (context[order][head], np.add.reduceat(_cut(n, d)[order], head) / total)
-
-
-def _look(table: tuple[np.ndarray, np.ndarray], key: np.ndarray, none: float) -> np.ndarray:
-    keys, values = table
-    if not len(keys):
-        return np.full(len(key), none)
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return np.where(keys[at] == key, values[at], none)
-
-
-def _ordered(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
-    return key[order], value[order]
-
-
 def trusted_ids(labels: DataFrame, fold: int = FOLD) -> DataFrame:
     """(trusted, held): the ids labelled quality 1, and which of them set thresholds."""
     ids = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("trusted")).distinct()
     return ids.withColumn("held", F.pmod(F.xxhash64("trusted"), F.lit(fold)) == 0 if fold else F.lit(False))
 
 
-def layout(docs: DataFrame) -> Layout:
-    """Counts words by COUNTERS counters and finds frequent ones, over all documents."""
+class Plan:
+    """How keys are dealt: ``shards`` equal ranges of ``bits``-bit keys, ``passes`` of them at a time."""
+
+    def __init__(self, size: int, least: int):
+        self.bits = min(max(size.bit_length() + 18, 40), 62)
+        self.words = max(least, -(-size // BYTES_A_SHARD))
+        self.pairs = PASSES * max(least, -(-size // BYTES_A_SHARD // PASSES))
+
+    def starts(self, shards: int, bits: int) -> np.ndarray:
+        """The least key of each shard, and one past the last."""
+        return np.array([(k << bits) // shards for k in range(shards + 1)], np.uint64)
+
+
+class Pairs:
+    """The pairs of a slice whose keys lie in a range, the words after them, and for trusted texts the words before.
+
+    pairs: distinct keys in order. tri: pair number and 32-bit word, distinct and in order; n: trusted occurrences.
+    back: pair number and 32-bit word before, distinct, of trusted texts. tri_of and own: for each word of the slice in
+    the range of its context (own: of itself) where it stands.
+    """
+
+    def __init__(self, ctx: np.ndarray, own: np.ndarray, u: np.ndarray, w: np.ndarray, learnt: np.ndarray, lo: int, hi: int):
+        inside = lambda x: np.flatnonzero((x >= np.uint64(lo)) & (x < np.uint64(hi)))
+        self.ctx_at, self.own_at = inside(ctx), inside(own)
+        both = np.sort(np.concatenate((ctx[self.ctx_at], own[self.own_at])))
+        self.pairs = both[_distinct(both)[0]]
+        self.ctx = np.searchsorted(self.pairs, ctx[self.ctx_at])
+        self.own = np.searchsorted(self.pairs, own[self.own_at])
+        tri = (self.ctx.astype(np.uint64) << np.uint64(32)) | _short(w[self.ctx_at])
+        both = np.sort((tri << np.uint64(1)) | learnt[self.ctx_at])
+        head, end = _distinct(both >> np.uint64(1))
+        trusted = np.append(0, np.cumsum(both & np.uint64(1)).astype(np.int64))
+        self.tri, self.n = both[head] >> np.uint64(1), trusted[end] - trusted[head]
+        self.tri_of = tri
+        some = learnt[self.own_at]
+        back = np.sort((self.own[some].astype(np.uint64) << np.uint64(32)) | _short(u[self.own_at][some]))
+        self.back = back[_distinct(back)[0]]
+
+    def rows(self, starts: np.ndarray, first: int, slice_: int) -> Iterator[tuple]:
+        """A row a shard: the keys, how many words follow each and are before each, those words, and the trusted counts."""
+        at = np.searchsorted(self.pairs, starts)
+        tri, back = ((x >> np.uint64(32)).astype(np.int64) for x in (self.tri, self.back))
+        n_tri, n_back = (np.bincount(x, minlength=len(self.pairs)).astype("<u4") for x in (tri, back))
+        t, b = np.searchsorted(tri, at), np.searchsorted(back, at)
+        for k in np.flatnonzero(np.diff(at)):
+            i, j = at[k], at[k + 1]
+            words = lambda x, e, k=k: _pack((x[e[k] : e[k + 1]] & np.uint64(0xFFFFFFFF)).astype("<u4"))
+            yield int(first + k), slice_, int(j - i), _pack_keys(self.pairs[i:j]), [_pack(n_tri[i:j]), words(self.tri, t), _pack(self.n[t[k] : t[k + 1]].astype("<u4")), _pack(n_back[i:j]), words(self.back, b)]
+
+
+def _batch(schema: str, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of a few MB."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    held, size = [], 0
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*held), fields)], [n for n, _ in fields])
+
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(x) for v in row for x in (v if isinstance(v, list) else [v] if isinstance(v, bytes) else []))
+        if size > 4 << 20:
+            yield done()
+            held, size = [], 0
+    if held:
+        yield done()
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 16):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, 16).columns))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes], int]]:
+    """(slice number, rows, texts, checksum) of a task's slices; numbers tell the partition."""
+    base = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> Iterator[pa.RecordBatch]:  # slices must not follow the sizes of Arrow batches
+        size = 0
+        for one in common.slices(batches, 2, SLICE):
+            n = one.column(2).nbytes
+            if held and size + n > SLICE:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held.clear()
+                size = 0
+            held.append(one)
+            size += n
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for k, part in enumerate(whole()):
+        raw = common.texts(part.column(2))
+        check = 0
+        for x in raw:
+            check = zlib.crc32(x, check)
+        yield base + k, part, raw, check
+
+
+def _write(replies: DataFrame, folder: str) -> None:
+    """Answers by group of partitions, so that a task finds its own in one folder."""
+    replies.withColumn("group", F.pmod("part", F.lit(GROUPS))).repartition("group").sortWithinPartitions("group", "part", "slice", "shard").write.mode("append").partitionBy("group").parquet(folder)
+
+
+def _answers(folder: str) -> dict[int, list[dict]]:
+    """The answers for this task's slices, by slice and in order of shards."""
+    own = TaskContext.get().partitionId()
+    path = f"{folder}/group={own % GROUPS}"
+    local = common.local_path(path)
+    system, path = (pyarrow.fs.LocalFileSystem(), local) if local else pyarrow.fs.FileSystem.from_uri(path)
+    if system.get_file_info(path).type != pyarrow.fs.FileType.Directory:
+        return {}
+    files = pyarrow.dataset.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False, ignore_prefixes=[".", "_"])
+    out: dict[int, list[dict]] = {}
+    for row in files.to_table(filter=pyarrow.dataset.field("part") == own).to_pylist():
+        out.setdefault(row["slice"], []).append(row)
+    return {k: sorted(v, key=lambda r: r["shard"]) for k, v in out.items()}
+
+
+def _of(answers: dict[int, list[dict]], number: int, check: int, kinds: int) -> list[np.ndarray]:
+    """The answers of a slice, each kind in one row of numbers."""
+    rows = answers.get(number, [])
+    if any(r["check"] != check for r in rows):
+        raise RuntimeError("the documents came in another order than when they were counted; write them to a table first")
+    return [np.concatenate([np.zeros(0, np.uint32), *(_numbers(r["values"][k]) for r in rows)]).astype(np.int64) for k in range(kinds)]
+
+
+def _stats(n: np.ndarray) -> np.ndarray:
+    """Counts of counts 1 to 4, of 3 and more, all, and their sum."""
+    return np.array([*((n == c).sum() for c in (1, 2, 3, 4)), (n >= 3).sum(), (n > 0).sum(), n.sum()], np.int64)
+
+
+def _meet_pairs(own: list[tuple]) -> Iterator[tuple]:
+    """The answers of one shard of pairs to each slice, and its counts of counts (part -1: of trigrams, -2: of pairs)."""
+    rows = []
+    for _, number, _, keys, (n_tri, tri, n, n_back, back) in own:
+        rows.append((number, _keys(keys), *(_numbers(x).astype(np.int64) for x in (n_tri, tri, n, n_back, back))))
+    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k[(np.add.reduceat(np.append(n, 0), np.append(0, np.cumsum(nt)[:-1])) > 0) | (nb > 0)] if len(k) else k for _, k, nt, _, n, nb, _ in rows)]))
+
+    def joined(keys: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, ok = _place(known, keys)
+        return (np.repeat(at, sizes).astype(np.uint64) << np.uint64(32)) | words.astype(np.uint64), np.repeat(ok, sizes)
+
+    three, count, before = [], [], []
+    for _, keys, n_tri, tri, n, n_back, back in rows:
+        x, _ = joined(keys, n_tri, tri)
+        three.append(x[n > 0])
+        count.append(n[n > 0])
+        before.append(joined(keys, n_back, back)[0])
+    three, count, before = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((three, np.uint64), (count, np.int64), (before, np.uint64)))
+    order = np.argsort(three)
+    three = three[order]
+    head, _ = _distinct(three)
+    n3 = np.add.reduceat(count[order], head) if len(head) else np.zeros(0, np.int64)
+    three = three[head]
+    of = (three >> np.uint64(32)).astype(np.int64)
+    size = len(known)
+    sums = [np.bincount(of, x, size).astype(np.int64) for x in (n3, n3 == 1, n3 == 2, n3 >= 3)]
+    ends = np.bincount((np.unique(before) >> np.uint64(32)).astype(np.int64), minlength=size)
+    yield -1, 0, 0, 0, [_pack(_stats(n3).astype("<i8"))]
+    yield -2, 0, 0, 0, [_pack(_stats(ends).astype("<i8"))]
+    free = np.ones(size, bool)
+    for number, keys, n_tri, tri, n, n_back, back in rows:
+        at, ok = _place(known, keys)
+        x, fits = joined(keys, n_tri, tri)
+        t, found = _place(three, x)
+        mine = np.zeros(len(keys), bool)
+        some = np.flatnonzero(n_back > 0)
+        mine[some] = free[at[some]]
+        free[at[some]] = False
+        look = lambda table, at=at, ok=ok: np.where(ok, table[at] if size else 0, 0)
+        values = [*(look(s) for s in sums), look(ends), mine, np.where(found & fits, n3[t] if len(n3) else 0, 0)]
+        yield number >> 32, number, own[0][0], 0, [_pack(v.astype("<u4")) for v in values]
+
+
+def _meet_words(own: list[tuple]) -> Iterator[tuple]:
+    """The sums of one shard of words for each slice that asks, and counts of counts (part -3: pairs that end in a word)."""
+    rows = [(r[1], _keys(r[3]), [_numbers(x).astype(np.int64) for x in r[4]]) for r in own]
+    known = np.unique(np.concatenate([k for _, k, _ in rows]))
+    sums = [np.zeros(len(known), np.int64) for _ in rows[0][2]]
+    for _, keys, values in rows:
+        at = np.searchsorted(known, keys)
+        for s, v in zip(sums, values):
+            s[at] += v
+    yield -3, 0, 0, 0, [_pack(_stats(sums[4]).astype("<i8"))]
+    for number, keys, _ in rows:
+        at = np.searchsorted(known, keys)
+        yield number >> 32, number, own[0][0], 0, [_pack(s[at].astype("<u4")) for s in sums]
+
+
+def _exchange(asked: DataFrame, shards: int, meet, folder: str) -> dict[int, np.ndarray]:
+    """Brings questions to their shards, writes the answers, and gives the counts of counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(COUNTERS, np.int64)
-        word, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for part in common.slices(batches, 0, SLICE):
-            w, _, _, h = contexts(common.texts(part.column(0)))
-            own, m = np.unique(h, return_counts=True)
-            n[Layout.counter(np.array([_EDGE]))] += np.count_nonzero(w.n)
-            n += np.bincount(Layout.counter(own), m, COUNTERS).astype(np.int64)
-            both, m = np.concatenate((word, own)), np.concatenate((count, m))
-            at, count = _summed(both, m)
-            word = both[at]
-            if len(word) > 4 * CODES:
-                top = np.argpartition(-count, 2 * CODES)[: 2 * CODES]
-                word, count = word[top], count[top]
-        some = np.flatnonzero(n)
-        yield common.record(counter=pa.array(some, pa.int64()), word=pa.nulls(len(some), pa.int64()), n=pa.array(n[some], pa.int64()))
-        top = np.lexsort((word, -count))[:CODES]
-        yield common.record(counter=pa.nulls(len(top), pa.int64()), word=pa.array(word[top].view(np.int64), pa.int64()), n=pa.array(count[top], pa.int64()))
-
-    found = common.written(common.map_arrow(docs.select("text"), run, "counter long, word long, n long").groupBy("counter", "word").agg(F.sum("n").alias("n")), "words")
-    n = np.zeros(COUNTERS, np.int64)
-    for r in found.where("counter IS NOT NULL").collect():
-        n[r.counter] = r.n
-    frequent = found.where("word IS NOT NULL AND n > 1").orderBy(F.desc("n"), "word").limit(CODES).toArrow()
-    return Layout(n, common.parts(docs.sparkSession), frequent.column("word").to_numpy().view(np.uint64))
-
-
-def fit(docs: DataFrame, labels: DataFrame, lay: Layout, fold: int = FOLD) -> dict | None:
-    """The sharded tables ``pairs`` (with the share of their last word) and ``words``, and the discounts."""
-    some = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.col("text"))
-    some = some.join(common.sized(trusted_ids(labels, fold).where("NOT held")), F.col("doc_id") == F.col("trusted"), "left_semi").select("text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Rows:
-            for part in common.slices(batches, 0, SLICE):
-                _, u, v, w = contexts(common.texts(part.column(0)))
-                at, n = _summed(triple_key(u, v, w), np.ones(len(w), np.int64))
-                at, n = (x[np.argsort(v[at], kind="stable")] for x in (at, n))
-                yield from lay.deal(GRAM3, lay.by_middle(u[at], v[at]), 0, [u[at], v[at], w[at], n.astype("<u4")])
-
-        return _batches(rows())
-
-    def threes(rows: Rows) -> Rows:
-        rows = list(rows)
-        u, v, w = (lay.words(rows, k) for k in (4, 5, 6))
-        at, n = _summed(triple_key(u, v, w), _four(rows, 7))
-        v, w = v[at], w[at]
-        yield from _stats(n)
-        at, n = _summed(pair_key(v, w), np.ones(len(n), np.int64))
-        yield from lay.deal(GRAM2, lay.by_word(v[at]), 0, [None, v[at], w[at], n.astype("<u4")])
-
-    def twos(rows: Rows) -> Rows:
-        rows = list(rows)
-        v, w = lay.words(rows, 5), lay.words(rows, 6)
-        at, n = _summed(pair_key(v, w), _four(rows, 7))
-        v, w = v[at], w[at]
-        yield from _stats(n)
-        yield from lay.deal(GRAM2, lay.by_word(w), 0, [None, v, w, n.astype("<u4")])
-        at, n = _summed(w, np.ones(len(n), np.int64))
-        yield from lay.deal(WORD, lay.by_word(w[at]), 0, [None, None, w[at], n.astype("<u4")])
-
-    def ones(rows: Rows) -> Rows:
-        rows = list(rows)
-        w = lay.words(rows, 6)
-        at, n = _summed(w, _four(rows, 7))
-        yield from _stats(n)
-        yield from lay.deal(WORD, np.full(len(n), rows[0][0]), 0, [None, None, w[at], n.astype("<u4")])
-
-    kind = lambda df, k: df.where(F.col("kind") == k)
-    three = common.written(_meet(common.map_arrow(some, count, ROW), lay, threes), "trigrams")
-    two = common.written(_meet(kind(three, GRAM2), lay, twos), "pairs")
-    one = common.written(_meet(kind(two, WORD), lay, ones), "words")
-    sums = _found(one)
-    if not sums.get(7):
-        return None
-    d = discounts(sums)
-    unseen = (d[0] * sums[1] + d[1] * sums[2] + d[2] * sums[5]) / sums[7] / (sums[6] + 1)
-    model = {"d3": discounts(_found(three)), "d2": discounts(_found(two)), "d1": d, "total": sums[7], "unseen": unseen, "words": kind(one, WORD)}
-
-    def with_words(rows: Rows) -> Rows:
-        held, table = [], None
-        for row in rows:
-            if row[1] == WORD:
-                held.append(row)
-                continue
-            table = table or word_shares(lay, held, model_numbers)
-            v, w = lay.words([row], 5), lay.words([row], 6)
-            at, shard = lay.copies(v)
-            yield from lay.deal(GRAM2, shard, 0, [None, v[at], w[at], _four([row], 7).astype("<u4")[at], _look(table, w, unseen).astype("<f4")[at]])
-
-    model_numbers = (d, sums[7], unseen)
-    # The pairs ask here, so they come after the words.
-    pairs = _meet(kind(two, GRAM2).withColumn("kind", F.lit(ASK)).unionByName(model["words"]), lay, with_words)
-    return model | {"pairs": pairs}
-
-
-def word_shares(lay: Layout, rows: list[tuple], numbers: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """(words in order, their shares) of one shard."""
-    d, total, unseen = numbers
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    w, n = lay.words(rows, 6), _four(rows, 7)
-    return _ordered(w, np.maximum(n - _cut(n, d), 0) / total + unseen)
-
-
-class Tables:
-    """The trigrams and pairs of one shard."""
-
-    def __init__(self, lay: Layout, rows: list[tuple], d3: tuple, d2: tuple):
-        three, two = [r for r in rows if r[1] == TRAIN], [r for r in rows if r[1] == GRAM2]
-        u, v, w = (lay.words(three, k) for k in (4, 5, 6))
-        at, n = _summed(triple_key(u, v, w), _four(three, 8))
-        u, v, w = u[at], v[at], w[at]
-        share, self.left3 = _shares(pair_key(u, v), n, d3)
-        self.three = _ordered(triple_key(u, v, w), share)
-        v, w = lay.words(two, 5), lay.words(two, 6)
-        share, self.left2 = _shares(v, _four(two, 7), d2)
-        self.two = _ordered(pair_key(v, w), share + _look(self.left2, v, 1.0) * _four(two, 8, "<f4"))
-
-    def logs(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability, or log weight of the single word where the pair is unseen; which are unseen)."""
-        lower = _look(self.two, pair_key(v, w), -1.0)
-        unseen = lower < 0
-        weight = _look(self.left3, pair_key(u, v), 1.0)
-        high = _look(self.three, triple_key(u, v, w), 0.0)
-        return np.log(np.where(unseen, weight * _look(self.left2, v, 1.0), high + weight * lower)), unseen
-
-
-def _partial(slice_: int, shards: int, doc: np.ndarray, value: np.ndarray) -> tuple:
-    sums = np.bincount(doc, value)
-    some = np.unique(doc)
-    return slice_ % shards, PART, slice_, len(some), _pack(_planes(some.astype("<u4"))), _pack(_planes(sums[some].astype("<f4"))), None, None, None
+        def rows() -> Iterator[tuple]:
+            for _, group in groupby(_each(batches), key=lambda r: r[0]):
+                own = list(group)
+                checks = {r[1]: int.from_bytes(r[4][-1], "little") for r in own}
+                for part, number, shard, _, values in meet([(*r[:4], r[4][:-1]) for r in own]):
+                    yield part, number, shard, checks.get(number, 0), values
+
+        return _batch(REPLY, rows())
+
+    out = common.scratch(asked.sparkSession, "answers")
+    met = common.map_arrow(asked.repartition(shards, "shard").sortWithinPartitions("shard", "slice"), run, REPLY)
+    met.write.parquet(out)
+    found = asked.sparkSession.read.schema(met.schema).parquet(out)
+    stats: dict[int, np.ndarray] = {}
+    for r in found.where("part < 0").select("part", F.col("values")[0].alias("v")).toLocalIterator():  # seven numbers a shard
+        stats[r.part] = stats.get(r.part, 0) + _numbers(bytes(r.v), "<i8")
+    _write(found.where("part >= 0"), folder)
+    common.remove(asked.sparkSession, out)
+    common.release(asked.sparkSession)
+    return stats
 
 
 def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD) -> DataFrame:
     """(doc_id, lang, n_words, log_perplexity) of every row."""
+    spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.col("text"))
-    lay = layout(docs)
-    model = fit(docs, labels, lay, fold)
-    schema = "doc_id long, lang string, n_words long, log_perplexity double"
-    if model is None:
-
-        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in common.slices(batches, 2, SLICE):
-                yield common.record(doc_id=part.column(0), lang=part.column(1), n_words=pa.array([len(x.split()) for x in common.texts(part.column(2))], pa.int64()), log_perplexity=pa.nulls(part.num_rows, pa.float64()))
-
-        return common.map_arrow(rows, plain, schema)
-    learnt = common.sized(trusted_ids(labels, fold).where("NOT held"))
-    rows = rows.join(learnt, F.col("doc_id") == F.col("trusted"), "left").select("doc_id", "lang", "text", F.col("trusted").isNotNull().alias("learnt"))
-    d3, d2, shards, numbers = model["d3"], model["d2"], lay.shards, (model["d1"], model["total"], model["unseen"])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Rows:
-            number = TaskContext.get().partitionId() << 32
-            for k, part in enumerate(common.slices(batches, 2, SLICE)):
-                w, u, v, h = contexts(common.texts(part.column(2)))
-                base = common.record(doc_id=part.column(0), lang=part.column(1), n_words=w.n.astype(np.int64))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, base.schema) as writer:
-                    writer.write_batch(base)
-                yield (number + k) % shards, BASE, number + k, part.num_rows, sink.getvalue().to_pybytes(), None, None, None, None
-                at, n = _summed(common.mix(triple_key(u, v, h) + w.doc.astype(np.uint64) * _A), np.ones(len(h), np.int64))
-                at, n = (x[np.argsort(v[at], kind="stable")] for x in (at, n))
-                learnt = part.column(3).to_numpy(zero_copy_only=False)[w.doc[at]]
-                for kind, some in ((TRAIN, learnt), (ASK, ~learnt)):
-                    i = at[some]
-                    yield from lay.deal(kind, lay.by_middle(u[i], v[i]), number + k, [u[i], v[i], h[i], w.doc[i].astype("<u4"), n[some].astype("<u4")])
-
-        return _batches(out())
-
-    def middle(rows: Rows) -> Rows:
-        held, tables = [], None
-
-        def answer(row: tuple) -> Rows:
-            w, doc, n = lay.words([row], 6), _four([row], 7), _four([row], 8)
-            logs, unseen = tables.logs(lay.words([row], 4), lay.words([row], 5), w)
-            yield _partial(row[2], shards, doc, n * logs)
-            yield from lay.deal(ASK, lay.by_word(w[unseen]), row[2], [None, None, w[unseen], doc[unseen].astype("<u4"), n[unseen].astype("<u4")])
-
-        for row in chain(rows, [None]):
-            if row is not None and row[1] in (GRAM2, TRAIN):
-                held.append(row)
-                continue
-            if tables is None:
-                tables = Tables(lay, held, d3, d2)
-                for own in held:
-                    if own[1] == TRAIN:
-                        yield from answer(own)
-                held = []
-            if row is not None:
-                if row[1] == ASK:
-                    yield from answer(row)
-                else:
-                    yield row
-
-    def last(rows: Rows) -> Rows:
-        held, table = [], None
-        for row in rows:
-            if row[1] == WORD:
-                held.append(row)
-            elif row[1] == ASK:
-                table = table or word_shares(lay, held, numbers)
-                yield _partial(row[2], shards, _four([row], 7), _four([row], 8) * np.log(_look(table, lay.words([row], 6), numbers[2])))
-            else:
-                yield row
-
-    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, value = [], []
-        for row in _each(batches):  # the parts of a slice come before its documents
-            if row[1] == PART:
-                doc.append(_four([row], 4))
-                value.append(_four([row], 5, "<f4"))
-                continue
-            base = pa.ipc.open_stream(row[4]).read_next_batch()
-            # Partial sums arrive in any order: sorted first, they always add up alike.
-            place, part = np.concatenate([np.zeros(0, np.int64), *doc]), np.concatenate([np.zeros(0), *value])
-            order = np.lexsort((part, place))
-            sums = np.bincount(place[order], part[order], base.num_rows)
-            n = base.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([*base.columns, pa.array(np.round(-sums / np.maximum(n, 1), 9) + 0.0)], [*base.schema.names, "log_perplexity"])
-            doc, value = [], []
-
-    asked = _meet(common.map_arrow(rows, ask, ROW).unionByName(model["pairs"]), lay, middle)
-    parts = _meet(asked.unionByName(model["words"]), lay, last).select("slice", "kind", "a", "b")
-    parts = parts.repartition(shards, "slice").sortWithinPartitions("slice", "kind")
-    return common.map_arrow(parts.selectExpr("0 AS shard", "kind", "slice", "0L AS n", "a", "b"), back, schema)
+    ids = trusted_ids(labels, fold).where("NOT held")
+    few = ids.count() <= common.BROADCAST_IDS
+    rows = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("trusted"), "left").select("doc_id", "lang", "text", F.col("trusted").isNotNull().alias("learnt"))
+    if not few:  # a shuffle would bring rows in another order each time
+        rows = common.written(rows, "documents")
+    plan = Plan(docs.select(F.sum(F.octet_length("text"))).first()[0] or 0, common.parts(spark))
+    bits, starts, w_starts = plan.bits, plan.starts(plan.pairs, plan.bits), plan.starts(plan.words, 48)
+    pair_folder, word_folder = common.scratch(spark, "pairs"), common.scratch(spark, "words")
+
+    def keyed(part: pa.RecordBatch, raw: list[bytes]) -> tuple:
+        w, u, v, h = contexts(raw)
+        return w, u, v, h, pair_key(u, v, bits), pair_key(v, h, bits), part.column(3).to_numpy(zero_copy_only=False)[w.doc]
+
+    def ask_pairs(first: int, last: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def out() -> Iterator[tuple]:
+                for number, part, raw, check in _slices(batches):
+                    _, u, _, h, ctx, own, learnt = keyed(part, raw)
+                    p = Pairs(ctx, own, u, h, learnt, int(starts[first]), int(starts[last]))
+                    for row in p.rows(starts[first : last + 1], first, number):
+                        yield *row[:4], [*row[4], check.to_bytes(8, "little")]
+
+            return _batch(ASK, out())
+
+        return common.map_arrow(rows, run, ASK)
+
+    stats: dict[int, np.ndarray] = {}
+    step = plan.pairs // PASSES
+    for k in range(PASSES):
+        for key, n in _exchange(ask_pairs(k * step, (k + 1) * step), step, _meet_pairs, pair_folder).items():
+            stats[key] = stats.get(key, 0) + n
+
+    def whole(part: pa.RecordBatch, raw: list[bytes], number: int, check: int, answers: dict) -> tuple:
+        w, u, v, h, ctx, own, learnt = keyed(part, raw)
+        return w, u, v, h, own, learnt, Pairs(ctx, own, u, h, learnt, 0, 1 << bits), _of(answers, number, check, 7)
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> Iterator[tuple]:
+            answers = _answers(pair_folder)
+            for number, part, raw, check in _slices(batches):
+                _, _, v, h, _, learnt, p, (_, _, _, _, ends, mine, _) = whole(part, raw, number, check, answers)
+                words = np.unique(np.append(h, _EDGE)) if len(h) else h
+                # One occurrence of each pair that this slice owns.
+                at = np.full(len(p.pairs), -1)
+                at[p.own] = np.arange(len(p.own))
+                some = at[mine.astype(bool)]
+                n = ends[mine.astype(bool)]
+                a, b = (np.searchsorted(words, x[p.own_at[some]]) for x in (v, h))
+                sums = [np.bincount(a, x, len(words)) for x in (n, n == 1, n == 2, n >= 3)] + [np.bincount(b, minlength=len(words))]
+                cut = np.searchsorted(words, w_starts)
+                for k in np.flatnonzero(np.diff(cut)):
+                    i, j = cut[k], cut[k + 1]
+                    yield int(k), number, int(j - i), _pack_keys(words[i:j]), [*(_pack(x[i:j].astype("<u4")) for x in sums), check.to_bytes(8, "little")]
+
+        return _batch(ASK, out())
+
+    stats |= _exchange(common.map_arrow(rows, ask_words, ASK), plan.words, _meet_words, word_folder)
+    one = dict(enumerate(stats.get(-3, np.zeros(7)).tolist(), 1))
+    d3, d2, d1 = (discounts(dict(enumerate(stats.get(k, np.zeros(7)).tolist(), 1))) for k in (-1, -2, -3))
+    total = one[7]
+    unseen = (d1[0] * one[1] + d1[1] * one[2] + d1[2] * one[5]) / total / (one[6] + 1) if total else 0
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, words_ = _answers(pair_folder), _answers(word_folder)
+        for number, part, raw, check in _slices(batches):
+            w, _, v, h, _, _, p, (c, c1, c2, c3, ends, _, n3) = whole(part, raw, number, check, pairs)
+            value = pa.nulls(len(raw), pa.float64())
+            if total:
+                s, s1, s2, s3, k = _of(words_, number, check, 5)
+                words = np.unique(np.append(h, _EDGE)) if len(h) else h
+                n = len(h)
+                own, ctx = np.empty(n, np.int64), np.empty(n, np.int64)
+                own[p.own_at], ctx[p.ctx_at] = p.own, p.ctx
+                tri = np.empty(n, np.int64)
+                tri[p.ctx_at] = np.searchsorted(p.tri, p.tri_of)
+                at_w, at_v = np.searchsorted(words, h), np.searchsorted(words, v)
+                low = np.maximum(k - _cut(k, d1), 0) / total + unseen
+                share = np.where(s > 0, s, 1)
+                left2 = np.where(s > 0, (d2[0] * s1 + d2[1] * s2 + d2[2] * s3) / share, 1.0)
+                p2 = np.maximum(ends - _cut(ends, d2), 0)[own] / share[at_v] + left2[at_v] * low[at_w]
+                left3 = np.where(c > 0, (d3[0] * c1 + d3[1] * c2 + d3[2] * c3) / np.where(c > 0, c, 1), 1.0)
+                p3 = np.maximum(n3 - _cut(n3, d3), 0)[tri] / np.where(c > 0, c, 1)[ctx] + left3[ctx] * p2
+                sums = np.bincount(w.doc, np.log(p3), len(raw))
+                value = pa.array(np.round(-sums / np.maximum(w.n, 1), 9) + 0.0)
+            yield common.record(doc_id=part.column(0), lang=part.column(1), n_words=pa.array(w.n, pa.int64()), log_perplexity=value)
+
+    return common.map_arrow(rows, finish, "doc_id long, lang string, n_words long, log_perplexity double")
 
 
 def _quantile(rows: DataFrame, name: str) -> DataFrame:
     """(of, brief, name): the least rounded log perplexity that QUANTILE of the documents of a language and length class do not exceed."""
-    bins = rows.where("log_perplexity IS NOT NULL").groupBy("lang", "short", F.ceil(F.col("log_perplexity") * STEPS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("lang", "short").orderBy("bin"))).withColumn("all", F.sum("n").over(Window.partitionBy("lang", "short")))
-    return upto.where(F.col("upto") >= F.col("all") * QUANTILE).groupBy(F.col("lang").alias("of"), F.col("short").alias("brief")).agg((F.min("bin") / STEPS).alias(name))
+    bins = rows.where("log_perplexity IS NOT NULL").select(F.col("lang").alias("of"), F.col("short").alias("brief"), F.ceil(F.col("log_perplexity") * STEPS).alias("bin"))
+    return bins.groupBy("of", "brief").agg((F.expr(f"percentile_disc({QUANTILE}) WITHIN GROUP (ORDER BY bin)") / STEPS).alias(name))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -123,9 +123,12 @@ def test_word_sums_equal_a_plain_sum():
         assert n == 0 and abs(plain - got) < 1e-4
 
 
-@pytest.mark.parametrize("words_a_shard", [kneser_ney.WORDS_A_SHARD, 7])
-def test_kneser_ney_against_the_plain_formulas(spark, monkeypatch, words_a_shard):
-    monkeypatch.setattr(kneser_ney, "WORDS_A_SHARD", words_a_shard)
+@pytest.mark.parametrize("small", [False, True])
+def test_kneser_ney_against_the_plain_formulas(spark, monkeypatch, small):
+    if small:  # many shards, passes and slices, and more trusted ids than may be broadcast
+        for name, value in (("BYTES_A_SHARD", 7), ("PASSES", 3), ("SLICE", 20)):
+            monkeypatch.setattr(kneser_ney, name, value)
+        monkeypatch.setattr(kneser_ney.common, "BROADCAST_IDS", 0)
     rows = [(i, t, "en") for i, t in enumerate(["a b c a b d", "a b c", "b c a b c a", "d d a b", "c a b e f"] * 3 + ["x y z", ""])] + [(None, "a b", None), (50, None, "fr")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(13)], "doc_id long, quality int, toxic int")
@@ -160,15 +163,13 @@ def test_kneser_ney_against_the_plain_formulas(spark, monkeypatch, words_a_shard
                 out = max(own.get(full, 0) - cut(d, own.get(full, 1)), 0) / t + sum(cut(d, n) for n in own.values()) / t * out
         return out
 
-    lay = kneser_ney.layout(docs)
-    assert words_a_shard != 7 or (lay.shards > 4 and lay.parts.max() > 2)  # frequent words are split
     got = {(r.doc_id, math.exp(r.log_perplexity)) for r in kneser_ney.perplexity(docs, labels, fold=0).collect()}
     for i, t, _ in rows:
         w = ["^", "^", *(t or "").split()]
         n = len(w) - 2
         want = math.exp(-sum(math.log(p(*x)) for x in zip(w, w[1:], w[2:])) / max(n, 1))
         assert any(j == i and abs(x / want - 1) < 1e-5 for j, x in got)
-    if words_a_shard == 7:
+    if small:
         return
     assert kneser_ney.classify(docs, labels).count() == len(rows)
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0
