@@ -7,14 +7,15 @@
    gets the least document that has it, as its source coordinate.
 2. The graph. Each distinct repeated window is an edge between the 12-word nodes at its
    ends; the source's words are read again at its coordinate for the hashes of its nodes
-   and a second hash of its words. Spark counts every node's edges in and out.
-   Runs of edges in a source document without a branching node between are pieces; a join
-   of pieces by their end nodes links those that meet in an unbranched node (one edge in,
-   one out) across documents, and star contraction joins give each chain of pieces one
-   name: the compacted path.
+   and a second hash of its words. Nodes meet in buckets, each with the words before and
+   after it, which count its distinct edges in and out: a node is unbranched with one of
+   each. A run of edges in a source without a branching node between is a piece, so most
+   nodes (met once, inside a run) send nothing on. Pieces that meet in an unbranched node
+   join by it, and star contraction joins give each chain of pieces one name: the
+   compacted path.
 3. Verification. Every repeated window of a document is compared with its source by the
    second hash of the words at both coordinates; a window whose words differ stays.
-   Verified windows in a row on one path are one span.
+   Verified windows in a row without a branching node between are one span.
 
 Skew: a first pass counts paths per minimizer in ``COUNTERS`` counters. Where a
 counter stands out its windows are dealt by their own fingerprint instead of the
@@ -39,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -310,10 +312,15 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 SOURCE = ["src_doc", "src_mark"]
+GRAPH = "kind int, src_doc long, src_mark long, bucket int, a binary, b binary, c binary, d binary, e binary, f binary"
+DOC, NODE = 0, 1
 
 
-def source_edges(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(src_doc, src_mark, starts, froms, tos, checks): the distinct repeated windows of each source, read again from its text."""
+def graph(docs: DataFrame, spans: DataFrame, buckets: int) -> DataFrame:
+    """Rows of two kinds, read from the sources' texts: the edges of a source (a starts, b second hashes), and nodes by bucket.
+
+    A node has its hash (a), its coordinate (b document, c mark, d place) and 32 bits of the words before and after it (e, f), zero at an end of its run.
+    """
     wanted = spans.select(*SOURCE, "src_start", "windows").distinct().groupBy(*SOURCE).agg(F.collect_list(F.struct("src_start", "windows")).alias("own"))
     texts = _texts(docs, spans.select(F.col("src_doc").alias("doc_id")).distinct())
 
@@ -321,55 +328,113 @@ def source_edges(docs: DataFrame, spans: DataFrame) -> DataFrame:
         for part in common.slices(batches, 2, SLICE):
             words = common.Words(common.texts(part.column(2)))
             node, check = _node_hashes(words)
-            starts, froms, tos, checks = [], [], [], []
+            word = (common.word_hashes(words) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            docs_, marks = part.column(0).to_numpy(), part.column(1).to_numpy()
+            rows: list[list] = [[] for _ in range(2)]
+            nodes: list[tuple] = []
             for k, own in enumerate(part.column(3).to_pylist()):
                 at = np.unique(np.concatenate([np.arange(x["src_start"], x["src_start"] + x["windows"]) for x in own]))
-                place = at + words.first[k]
-                starts.append(at)
-                froms.append(node[place].view(np.int64))
-                tos.append(node[place + 1].view(np.int64))
-                checks.append(check[place].view(np.int64))
-            yield common.record(src_doc=part.column(0), src_mark=part.column(1), starts=pa.array(starts, pa.list_(pa.int32())), froms=pa.array(froms, pa.list_(pa.int64())), tos=pa.array(tos, pa.list_(pa.int64())), checks=pa.array(checks, pa.list_(pa.int64())))
+                base = words.first[k]
+                rows[0].append(at.astype("<i4").tobytes())
+                rows[1].append(check[at + base].astype("<u8").tobytes())
+                new = np.append(True, at[1:] != at[:-1] + 1)
+                ends = at[np.append(new[1:], True)] + 1
+                place = np.concatenate((at, ends))
+                before = np.where(np.append(new, np.zeros(len(ends), bool)), 0, word[place + base - 1])
+                after = np.where(np.arange(len(place)) < len(at), word[np.minimum(place + base + WINDOW - 1, len(word) - 1)], 0)
+                nodes.append((node[place + base], np.full(len(place), docs_[k]), np.full(len(place), marks[k]), place, before, after))
+            none = pa.nulls(part.num_rows, pa.binary())
+            yield common.record(kind=pa.array([DOC] * part.num_rows, pa.int32()), src_doc=part.column(0), src_mark=part.column(1), bucket=pa.nulls(part.num_rows, pa.int32()), a=pa.array(rows[0], pa.binary()), b=pa.array(rows[1], pa.binary()), c=none, d=none, e=none, f=none)
+            cols = [np.concatenate(x).astype(t) for x, t in zip(zip(*nodes), ("<u8", "<i8", "<u4", "<i4", "<u4", "<u4"))]
+            spread = (common.mix(cols[0].copy()) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(spread, kind="stable")
+            spread, cols = spread[order], [c[order] for c in cols]
+            cut = np.flatnonzero(np.append(True, spread[1:] != spread[:-1]))
+            blobs = [[c[x:y].tobytes() for x, y in zip(cut, [*cut[1:], len(spread)])] for c in cols]
+            n = len(cut)
+            yield common.record(kind=pa.array([NODE] * n, pa.int32()), src_doc=pa.nulls(n, pa.int64()), src_mark=pa.nulls(n, pa.int64()), bucket=pa.array(spread[cut], pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in zip("abcdef", blobs)})
 
     rows = texts.join(wanted, (F.col("doc_id") == F.col("src_doc")) & (F.col("mark") == F.col("src_mark"))).select(*SOURCE, "raw", "own")
-    return common.map_arrow(rows, run, "src_doc long, src_mark long, starts array<int>, froms array<long>, tos array<long>, checks array<long>")
+    return common.map_arrow(rows, run, GRAPH)
+
+
+def _junctions(rows: list[list[bytes]]) -> pa.RecordBatch:
+    """What the nodes of one bucket tell their documents; a node that stands once tells nothing."""
+    node, doc, mark, place, before, after = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate(("<u8", "<i8", "<u4", "<i4", "<u4", "<u4")))
+    order = np.lexsort((place, mark, doc, node))
+    node, doc, mark, place, before, after = (x[order] for x in (node, doc, mark, place, before, after))
+    head = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    size = np.diff(np.append(head, len(node)))
+    group = np.repeat(np.arange(len(head)), size)
+
+    def kinds(x: np.ndarray) -> np.ndarray:
+        both = np.unique((group[x > 0].astype(np.uint64) << np.uint64(32)) | x[x > 0])
+        return np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(head))
+
+    branching = ((kinds(before) != 1) | (kinds(after) != 1))[group]
+    many = (size > 1)[group]
+    least = np.zeros(len(node), bool)
+    least[head] = True
+    heads = np.flatnonzero(branching & many & (after > 0))
+    ends = np.flatnonzero(~branching & many & (least | (before == 0) | (after == 0)))
+    some = np.concatenate((heads, ends))
+    edge = np.where(after[some] > 0, place[some], place[some] - 1)
+    return common.record(
+        src_doc=pa.array(doc[some], pa.int64()), src_mark=pa.array(mark[some], pa.int64()), place=pa.array(edge, pa.int32()),
+        node=pa.array(node[some].view(np.int64), pa.int64(), mask=np.arange(len(some)) < len(heads)),
+    )
 
 
-def compacted(edges: DataFrame) -> DataFrame:
-    """(src_doc, src_mark, first, n, path): runs of each source's edges and the unbranched path that each is part of.
+def compacted(rows: DataFrame) -> DataFrame:
+    """(src_doc, src_mark, pieces): the pieces (first, n, path, brk) of each source in order; brk tells that a branching node begins it."""
 
-    A window that was settled in several slices has a source in each; the least coordinate owns the edge, the others take its path.
-    """
-    flat = edges.select(*SOURCE, F.explode(F.arrays_zip("starts", "froms", "tos")).alias("e"))
-    at = F.struct(*SOURCE, F.col("e.starts").alias("start"))
-    own = flat.groupBy(F.col("e.froms").alias("a"), F.col("e.tos").alias("b")).agg(F.collect_list(at).alias("at"))
-    own = common.durable(own.select("a", "b", F.array_min("at").alias("owner"), F.array_except("at", F.array(F.array_min("at"))).alias("others")))
-    ends = own.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("outs"), F.lit(0).alias("ins")), F.struct(F.col("b").alias("node"), F.lit(0).alias("outs"), F.lit(1).alias("ins")))).alias("x"))
-    degrees = ends.select("x.*").groupBy("node").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins"))
-    branching = common.durable(degrees.where("outs <> 1 OR ins <> 1").select(F.col("node").alias("stop")))
-    marked = own.join(common.sized(branching), F.col("a") == F.col("stop"), "left")
-    edge = F.struct(F.col("owner.start").alias("start"), "a", "b", F.col("stop").isNotNull().alias("head"), "others")
-    rows = marked.groupBy(F.col("owner.src_doc").alias("src_doc"), F.col("owner.src_mark").alias("src_mark")).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    # A piece is a run of edges of one source without a branching node between them.
-    step = F.transform("edges", lambda x, k: (k == 0) | x["head"] | (x["start"] != F.get("edges", k - 1)["start"] + 1))
-    rows = rows.withColumn("firsts", F.filter(F.transform(step, lambda x, k: F.when(x, k)), lambda x: x.isNotNull()))
-    pieces = F.transform("firsts", lambda x, k: F.slice("edges", x + 1, F.coalesce(F.get("firsts", k + 1), F.size("edges")) - x))
-    pieces = rows.select(*SOURCE, F.explode(pieces).alias("p"))
-    first, last = F.col("p")[0], F.element_at("p", -1)
-    pieces = pieces.select(*SOURCE, first["start"].alias("first"), F.size("p").alias("n"), first["a"].alias("a"), last["b"].alias("b"), first["head"].alias("head"), F.flatten(F.transform("p", lambda x: x["others"])).alias("others"))
-    pieces = common.durable(pieces.withColumn("piece", F.xxhash64(*SOURCE, "first")))
-    # A piece without a branching node at its start goes on from the one piece that ends there.
-    ends_at = pieces.select(F.col("b").alias("at"), F.col("piece").alias("v"))
-    links = pieces.where("NOT head").select("a", F.col("piece").alias("u")).join(ends_at, F.col("a") == F.col("at")).select("u", "v")
-    named = pieces.join(component_roots(links), F.col("piece") == F.col("node"), "left").withColumn("path", F.coalesce("root", "piece"))
-    others = named.select(F.explode("others").alias("o"), "path").select("o.src_doc", "o.src_mark", F.col("o.start").alias("first"), F.lit(1).alias("n"), "path")
-    return named.select(*SOURCE, "first", "n", "path").unionByName(others)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:  # sorted by bucket
+            for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != now and held:
+                    yield _junctions(held)
+                    held = []
+                now = bucket
+                held.append(blobs)
+        if held:
+            yield _junctions(held)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, tags = [], []
+            for doc, mark, starts, told in zip(*(c.to_pylist() for c in batch.columns)):
+                at = np.frombuffer(starts, "<i4").astype(np.int64)
+                heads = np.isin(at, [x["place"] for x in told or [] if x["node"] is None])
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1] + 1) | heads)
+                names = common.mix(np.full(len(first), doc, np.int64).view(np.uint64) * _C + np.uint64(mark) + (at[first].astype(np.uint64) << np.uint64(32))).view(np.int64)
+                size = np.diff(np.append(first, len(at)))
+                out.append([{"first": int(a), "n": int(n), "piece": int(p), "brk": bool(b)} for a, n, p, b in zip(at[first], size, names, heads[first])])
+                ends = [x for x in told or [] if x["node"] is not None]
+                of = np.searchsorted(at[first], [x["place"] for x in ends], "right") - 1
+                tags.append([{"piece": int(names[k]), "node": x["node"]} for k, x in zip(of, ends)])
+            yield common.record(
+                src_doc=batch.column(0), src_mark=batch.column(1), pieces=pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("piece", pa.int64()), ("brk", pa.bool_())]))),
+                tags=pa.array(tags, pa.list_(pa.struct([("piece", pa.int64()), ("node", pa.int64())]))),
+            )
+
+    parts = common.parts(rows.sparkSession)
+    dealt = rows.where(F.col("kind") == NODE).select("bucket", *"abcdef").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    told = common.map_arrow(dealt, meet, "src_doc long, src_mark long, place int, node long").groupBy(*SOURCE).agg(F.collect_list(F.struct("place", "node")).alias("told"))
+    owned = rows.where(F.col("kind") == DOC).select(*SOURCE, F.col("a").alias("starts")).join(told, SOURCE, "left").select(*SOURCE, "starts", "told")
+    pieces = common.durable(common.map_arrow(owned, cut, "src_doc long, src_mark long, pieces array<struct<first:int,n:int,piece:long,brk:boolean>>, tags array<struct<piece:long,node:long>>"))
+    # Pieces that meet in an unbranched node are one path.
+    tags = pieces.select(F.explode("tags").alias("t")).select("t.*").distinct()
+    least = tags.groupBy("node").agg(F.min("piece").alias("v"))
+    roots = component_roots(tags.join(least, "node").select(F.col("piece").alias("u"), "v"))
+    flat = pieces.select(*SOURCE, F.explode("pieces").alias("p")).join(roots, F.col("p.piece") == F.col("node"), "left")
+    return flat.groupBy(*SOURCE).agg(F.array_sort(F.collect_list(F.struct("p.first", "p.n", F.coalesce("root", "p.piece").alias("path"), "p.brk"))).alias("pieces"))
 
 
 def verified_by(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, mark, spans): every document's spans with the second hashes of their sources' windows and their paths."""
-    edges = common.durable(source_edges(docs, spans))
-    pieces = compacted(edges).groupBy(*SOURCE).agg(F.array_sort(F.collect_list(F.struct("first", "n", "path"))).alias("pieces"))
+    """(doc_id, mark, spans): every document's spans with the second hashes of their sources' windows, and their paths."""
+    rows = common.durable(graph(docs, spans, common.parts(docs.sparkSession) * BUCKETS_A_PARTITION))
+    common.release(docs.sparkSession)
     of = spans.groupBy(*SOURCE, "src_start", "windows").agg(F.count(F.lit(1)).alias("copies"))
     salts = F.ceil(F.col("copies") / HOT_ROWS).cast("int")
     hot = common.durable(of.where(F.col("copies") > HOT_ROWS).select(*SOURCE, "src_start", "windows", salts.alias("salts")))
@@ -377,72 +442,84 @@ def verified_by(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, mark, starts, checks, pieces_, own in zip(*(c.to_pylist() for c in batch.columns)):
-                at, check = np.array(starts), np.array(checks, np.int64)
-                path = np.repeat([p["path"] for p in pieces_], [p["n"] for p in pieces_])
-                rows: list[list] = [[] for _ in range(5)]
+            for doc, mark, starts, checks, pieces, own in zip(*(c.to_pylist() for c in batch.columns)):
+                at, firsts = np.frombuffer(starts, "<i4"), [p["first"] for p in pieces]
+                out: list[list] = [[] for _ in range(5)]
                 for x in own:
-                    k = int(np.searchsorted(at, x["src_start"]))
+                    a, n = x["src_start"], x["windows"]
+                    k = int(np.searchsorted(at, a))
+                    cuts = []
+                    for p in pieces[bisect_right(firsts, a) - 1 : bisect_left(firsts, a + n)]:
+                        cuts.append({"at": max(p["first"] - a, 0), "path": p["path"], "brk": p["brk"] and p["first"] >= a})
                     for salt in range(x["salts"]):
-                        for o, v in zip(rows, (x["src_start"], x["windows"], salt, check[k : k + x["windows"]], path[k : k + x["windows"]])):
+                        for o, v in zip(out, (a, n, salt, checks[8 * k : 8 * (k + n)], cuts)):
                             o.append(v)
-                    if len(rows[0]) >= 4096:
-                        yield _intervals(doc, mark, rows)
-                        rows = [[] for _ in range(5)]
-                if rows[0]:
-                    yield _intervals(doc, mark, rows)
-
-    joined = edges.select(*SOURCE, "starts", "checks").join(pieces, SOURCE).join(wanted, SOURCE).select(*SOURCE, "starts", "checks", "pieces", "own")
-    intervals = common.map_arrow(joined, run, "src_doc long, src_mark long, src_start int, windows int, salt int, checks array<long>, paths array<long>")
+                    if len(out[0]) >= 4096:
+                        yield _intervals(doc, mark, out)
+                        out = [[] for _ in range(5)]
+                if out[0]:
+                    yield _intervals(doc, mark, out)
+
+    owned = rows.where(F.col("kind") == DOC).select(*SOURCE, F.col("a").alias("starts"), F.col("b").alias("checks"))
+    joined = owned.join(compacted(rows), SOURCE).join(wanted, SOURCE).select(*SOURCE, "starts", "checks", "pieces", "own")
+    intervals = common.map_arrow(joined, run, "src_doc long, src_mark long, src_start int, windows int, salt int, checks binary, cuts array<struct<at:int,path:long,brk:boolean>>")
     key = [*SOURCE, "src_start", "windows"]
     salted = spans.join(common.sized(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))).cast("int"))
     both = salted.join(intervals, [*key, "salt"])
-    return both.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "checks", "paths")).alias("spans"))
+    return both.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "checks", "cuts")).alias("spans"))
 
 
 def _intervals(doc: int, mark: int, rows: list[list]) -> pa.RecordBatch:
     n = len(rows[0])
     return common.record(
         src_doc=pa.array([doc] * n, pa.int64()), src_mark=pa.array([mark] * n, pa.int64()), src_start=pa.array(rows[0], pa.int32()), windows=pa.array(rows[1], pa.int32()), salt=pa.array(rows[2], pa.int32()),
-        checks=pa.array(rows[3], pa.list_(pa.int64())), paths=pa.array(rows[4], pa.list_(pa.int64())),
+        checks=pa.array(rows[3], pa.binary()), cuts=pa.array(rows[4], pa.list_(pa.struct([("at", pa.int32()), ("path", pa.int64()), ("brk", pa.bool_())]))),
     )
 
 
-def _verified(raw: list[bytes], spans: list[list[dict] | None]) -> list[tuple[list[bytes], np.ndarray, int]]:
-    """For each text its words, which of them stay, and the number of spans."""
+def _verified(raw: list[bytes], spans: list[list[dict] | None]) -> list[tuple[list[bytes], np.ndarray, int, int]]:
+    """For each text its words, which of them stay, and the numbers of spans and of paths."""
     words = common.Words(raw)
     _, check = _node_hashes(words)
     out = []
     for k, (x, own) in enumerate(zip(raw, spans)):
         mine = x.split()
+        if not own:
+            out.append((mine, np.ones(len(mine), bool), 0, 0))
+            continue
+        sizes = np.array([len(s["checks"]) // 8 for s in own])
+        base = np.cumsum(sizes) - sizes
+        start = np.repeat(np.array([s["start"] for s in own]) - base, sizes) + np.arange(int(sizes.sum()))
+        good = check[words.first[k] + start] == np.frombuffer(b"".join(s["checks"] for s in own), "<u8")
+        cuts = [(b + c["at"], c["path"], c["brk"]) for b, s in zip(base.tolist(), own) for c in s["cuts"]]
+        at = np.array([c[0] for c in cuts])
+        path = np.repeat(np.array([c[1] for c in cuts], np.int64), np.diff(np.append(at, len(start))))
+        brk = np.zeros(len(start), bool)
+        brk[at[[c[2] for c in cuts]]] = True
+        start, first = np.unique(start[good], return_index=True)
+        path, brk = path[good][first], brk[good][first]
+        new = np.append(True, (start[1:] != start[:-1] + 1) | brk[1:]) if len(start) else brk
         gone = np.zeros(len(mine) + 1, np.int32)
-        start = np.concatenate([np.zeros(0, np.int64), *(s["start"] + np.arange(len(s["checks"])) for s in own or [])])
-        want, path = (np.concatenate([np.zeros(0, np.int64), *(np.array(s[c], np.int64) for s in own or [])]) for c in ("checks", "paths"))
-        good = check[words.first[k] + start].view(np.int64) == want
-        start, path = start[good], path[good]
-        start, at = np.unique(start, return_index=True)
-        path = path[at]
-        new = np.flatnonzero(np.append(True, (start[1:] != start[:-1] + 1) | (path[1:] != path[:-1]))) if len(start) else start
         np.add.at(gone, start, 1)
         np.add.at(gone, start + WINDOW, -1)
-        out.append((mine, np.cumsum(gone[:-1]) == 0, len(new)))
+        out.append((mine, np.cumsum(gone[:-1]) == 0, int(new.sum()), len(np.unique(path))))
     return out
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, spans) of the documents that have repeated windows."""
+def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, mark, spans) of the documents that have repeated windows, their ids)."""
     spans = common.durable(repeated_spans(docs))
     common.release(docs.sparkSession)
-    return common.durable(verified_by(docs, spans))
+    return verified_by(docs, spans), spans.select("doc_id").distinct()
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, n_words, n_removed, n_spans, kept_sha256, kept): kept holds the words that stay, null where all do.
+    """(doc_id, mark, n_words, n_removed, n_spans, n_paths, kept_sha256, kept): kept holds the words that stay, null where all do.
 
     mark is the CRC-32 of the text.
     """
-    spans = repeats(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(spans.select("doc_id")))
+    spans, ids = repeats(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = shared.value
@@ -461,24 +538,25 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 4, SLICE):
             sha, raw = batch.column(3).to_pylist(), common.texts(batch.column(4))
-            removed, n_spans, kept = [], [], []
-            for k, (words, stay, n) in enumerate(_verified(raw, batch.column(5).to_pylist())):
+            removed, n_spans, n_paths, kept = [], [], [], []
+            for k, (words, stay, n, paths) in enumerate(_verified(raw, batch.column(5).to_pylist())):
                 text = b" ".join([w for w, s in zip(words, stay.tolist()) if s])
                 removed.append(int(len(words) - stay.sum()))
                 n_spans.append(n)
+                n_paths.append(paths)
                 kept.append(text.decode() if n else None)
                 sha[k] = sha[k] or hashlib.sha256(text).hexdigest()
-            yield common.record(doc_id=batch.column(0), mark=batch.column(1), n_words=batch.column(2), n_removed=removed, n_spans=n_spans, kept_sha256=sha, kept=pa.array(kept, pa.string()))
+            yield common.record(doc_id=batch.column(0), mark=batch.column(1), n_words=batch.column(2), n_removed=removed, n_spans=n_spans, n_paths=n_paths, kept_sha256=sha, kept=pa.array(kept, pa.string()))
 
     looked = common.map_arrow(_rows(docs), look, "doc_id long, mark long, n_words long, sha string, raw binary")
     # Most documents have no repeat: they need no join.
     joined = looked.where("raw IS NOT NULL").join(spans, ["doc_id", "mark"], "left").select("doc_id", "mark", "n_words", "sha", "raw", "spans")
-    clean = looked.where("raw IS NULL").select("doc_id", "mark", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-    return clean.unionByName(common.map_arrow(joined, cut, "doc_id long, mark long, n_words long, n_removed long, n_spans long, kept_sha256 string, kept string"))
+    clean = looked.where("raw IS NULL").select("doc_id", "mark", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(0).cast("long").alias("n_paths"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
+    return clean.unionByName(common.map_arrow(joined, cut, "doc_id long, mark long, n_words long, n_removed long, n_spans long, n_paths long, kept_sha256 string, kept string"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans")
+    return without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_spans", "n_paths")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -486,8 +564,8 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     Rows of documents without repeats pass as they are; the others travel as one struct to the join with their spans.
     """
-    spans = repeats(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(spans.select("doc_id")))
+    spans, ids = repeats(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
     whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,7 +577,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1, SLICE):
             texts = batch.column(1)
-            new = [b" ".join([w for w, s in zip(words, stay.tolist()) if s]).decode() if n else None for words, stay, n in _verified(common.texts(texts), batch.column(2).to_pylist())]
+            new = [b" ".join([w for w, s in zip(words, stay.tolist()) if s]).decode() if n else None for words, stay, n, _ in _verified(common.texts(texts), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([y if y is not None else x for x, y in zip(texts.to_pylist(), new)], pa.string())], ["row", "kept"])
 
     schema = docs.select(whole).schema["row"].dataType.simpleString()

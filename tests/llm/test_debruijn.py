@@ -13,7 +13,7 @@ SCHEMA = "doc_id long, text string, mark string, spans long"
 
 
 def slow(rows):
-    """(id, words, words removed, digest, spans): spans are runs of repeated windows on one unbranched path."""
+    """(id, words, words removed, digest, spans, paths): spans are runs of repeated windows without a branching node between them."""
     least, edges, words = {}, set(), [WORD.findall(t or "") for _, t in rows]
     windows = [[tuple(w[k : k + 13]) for k in range(len(w) - 12)] if i is not None else [] for (i, _), w in zip(rows, words)]
     for (i, _), own in zip(rows, windows):
@@ -37,10 +37,10 @@ def slow(rows):
     out = []
     for (i, _), w, own in zip(rows, words, windows):
         again = [k for k, key in enumerate(own) if least[key] < i]
-        spans = sum(not n or again[n - 1] != k - 1 or find(own[k - 1]) != find(own[k]) for n, k in enumerate(again))
+        spans = sum(not n or again[n - 1] != k - 1 or not ins[own[k][:-1]] == outs[own[k][:-1]] == 1 for n, k in enumerate(again))
         gone = {k + j for k in again for j in range(13)}
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
-        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), spans))
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), spans, len({find(own[k]) for k in again})))
     return sorted(out, key=str)
 
 
@@ -80,9 +80,8 @@ def test_paths_end_at_branching_nodes(spark):
     one, two = word("a", 20) + mid + word("b", 20), word("c", 20) + mid + word("d", 20)
     rows = [(k, " ".join(x)) for k, x in enumerate((one, two, one, two, word("z", 5) + mid))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    edges = m.source_edges(docs, m.repeated_spans(docs))
-    names = m.compacted(edges).groupBy("path").count().count()
-    assert names == 5 and sorted((tuple(r) for r in m.digest(docs).collect()), key=str) == slow(rows)
+    rows_ = m.compacted(m.graph(docs, m.repeated_spans(docs), 8)).collect()
+    assert len({p.path for r in rows_ for p in r.pieces}) == 5 and sorted((tuple(r) for r in m.digest(docs).collect()), key=str) == slow(rows)
 
 
 def test_windows_with_equal_fingerprints_but_other_words_stay(spark, monkeypatch):
@@ -92,12 +91,13 @@ def test_windows_with_equal_fingerprints_but_other_words_stay(spark, monkeypatch
     p = m.Paths([b"a b c d e f g h i j k l m", b"n o p q r s t u v w x y z"], np.array([True, True]))
     assert p.wh[0] == p.wh[1]
     raw = b" ".join(b"w%d" % k for k in range(20))
-    check = m._node_hashes(m.common.Words([raw]))[1][:8].view(np.int64)
+    check = m._node_hashes(m.common.Words([raw]))[1][:8]
     wrong = check.copy()
-    wrong[3] += 1
-    (_, stay, n), (_, every, one) = m._verified([raw, raw], [[{"start": 0, "checks": wrong, "paths": [7] * 8}], [{"start": 0, "checks": check, "paths": [7] * 8}]])
-    assert n == 2 and one == 1 and not every.any() and not stay.any()
-    (_, stay, n), = m._verified([raw], [[{"start": 3, "checks": wrong[3:4], "paths": [7]}]])
+    wrong[3] += np.uint64(1)
+    span = lambda start, x: [{"start": start, "checks": x.tobytes(), "cuts": [{"at": 0, "path": 7, "brk": False}]}]
+    (_, stay, n, _), (_, every, one, paths) = m._verified([raw, raw], [span(0, wrong), span(0, check)])
+    assert n == 2 and one == paths == 1 and not every.any() and not stay.any()
+    ((_, stay, n, _),) = m._verified([raw], [span(3, wrong[3:4])])
     assert n == 0 and stay.all()
 
 
