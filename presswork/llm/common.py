@@ -159,20 +159,37 @@ _BYTE_2 = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 _ODD_2 = np.uint64(0xA0761D6478BD642F)
 
 
+#: Longest buffer that is hashed by prefix sums; longer ones go word by word.
+PREFIX_BYTES = 1 << 23
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(odd: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64; kept for the next call."""
+    known = _POWERS.get(int(odd))
+    if known is None or len(known[0]) < n:
+        size = 1 << max(n - 1, 1).bit_length()
+        known = tuple(np.append(np.uint64(1), np.multiply.accumulate(np.full(size - 1, x, np.uint64))) for x in (odd, np.uint64(pow(int(odd), -1, 1 << 64))))
+        _POWERS[int(odd)] = known
+    return known
+
+
 def word_hashes(w: Words, second: bool = False) -> np.ndarray:
     """A 64-bit hash of each word's bytes, by a polynomial over random byte values; ``second`` is an independent one."""
     byte, odd = (_BYTE_2, _ODD_2) if second else (_BYTE, _ODD)
     if not len(w.start):
         return np.zeros(0, np.uint64)
-    longest = int((w.end - w.start).max())
-    power = np.empty(longest + 1, np.uint64)
-    power[0] = 1
-    power[1:] = np.multiply.accumulate(np.full(longest, odd))
     lens = w.end - w.start
-    flat = np.repeat(w.start - np.concatenate(([0], np.cumsum(lens)[:-1])), lens) + np.arange(int(lens.sum()))
+    n = len(w.buf)
+    if n <= PREFIX_BYTES:
+        power, back = _powers(odd, n)
+        upto = np.cumsum(byte[w.buf] * power[:n], dtype=np.uint64)
+        return mix((upto[w.end - 1] - np.where(w.start > 0, upto[w.start - 1], np.uint64(0))) * back[w.start] + lens.astype(np.uint64))
+    power, _ = _powers(odd, int(lens.max()))
+    first = np.cumsum(lens) - lens
+    flat = np.repeat(w.start - first, lens) + np.arange(int(lens.sum()))
     place = flat - np.repeat(w.start, lens)
-    out = np.add.reduceat(byte[w.buf[flat]] * power[place], np.concatenate(([0], np.cumsum(lens)[:-1])))
-    return mix(out + lens.astype(np.uint64))
+    return mix(np.add.reduceat(byte[w.buf[flat]] * power[place], first) + lens.astype(np.uint64))
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -59,7 +59,7 @@ FOLD = 8
 QUANTILE, STEPS = 0.99, 10_000
 #: Documents under so many words have less steady perplexities and thresholds of their own.
 SHORT = 20
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Ranges of pairs that are exchanged one after the other, and bytes of text a shard of pairs or words.
 PASSES, BYTES_A_SHARD = 4, 16 << 20
 #: Folders of answers; a task reads one of them.
@@ -157,29 +157,45 @@ class Plan:
         return np.array([(k << bits) // shards for k in range(shards + 1)], np.uint64)
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct values of x in order, the number of each x among them, an order of x, where each value begins in it)."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.append(True, ordered[1:] != ordered[:-1]) if len(x) else np.zeros(0, bool)
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    head = np.flatnonzero(new)
+    return ordered[head], number, order, head
+
+
 class Pairs:
     """The pairs of a slice whose keys lie in a range, the words after them, and for trusted texts the words before.
 
-    pairs: distinct keys in order. tri: pair number and 32-bit word, distinct and in order; n: trusted occurrences.
-    back: pair number and 32-bit word before, distinct, of trusted texts. tri_of and own: for each word of the slice in
-    the range of its context (own: of itself) where it stands.
+    own: the key of each word's pair (with the word before it). A word's context is the pair of the word before, or
+    the pair of two edges. pairs: distinct keys in order. tri: pair number and 32-bit word, distinct and in order; n:
+    trusted occurrences. back: pair number and 32-bit word before, distinct, of trusted texts.
+    own_at and ctx_at: which words have their pair and their context in the range; own, ctx and tri_of: their numbers.
     """
 
-    def __init__(self, ctx: np.ndarray, own: np.ndarray, u: np.ndarray, w: np.ndarray, learnt: np.ndarray, lo: int, hi: int):
-        inside = lambda x: np.flatnonzero((x >= np.uint64(lo)) & (x < np.uint64(hi)))
-        self.ctx_at, self.own_at = inside(ctx), inside(own)
-        both = np.sort(np.concatenate((ctx[self.ctx_at], own[self.own_at])))
-        self.pairs = both[_distinct(both)[0]]
-        self.ctx = np.searchsorted(self.pairs, ctx[self.ctx_at])
-        self.own = np.searchsorted(self.pairs, own[self.own_at])
-        tri = (self.ctx.astype(np.uint64) << np.uint64(32)) | _short(w[self.ctx_at])
-        both = np.sort((tri << np.uint64(1)) | learnt[self.ctx_at])
-        head, end = _distinct(both >> np.uint64(1))
-        trusted = np.append(0, np.cumsum(both & np.uint64(1)).astype(np.int64))
-        self.tri, self.n = both[head] >> np.uint64(1), trusted[end] - trusted[head]
-        self.tri_of = tri
-        some = learnt[self.own_at]
-        back = np.sort((self.own[some].astype(np.uint64) << np.uint64(32)) | _short(u[self.own_at][some]))
+    def __init__(self, own: np.ndarray, first: np.ndarray, edges: int, u: np.ndarray, w: np.ndarray, learnt: np.ndarray, lo: int, hi: int, words: bool = True):
+        """first: whether a word is the first of its text; words: whether the words around pairs are wanted."""
+        inside = (own >= np.uint64(lo)) & (own < np.uint64(hi))
+        at = np.flatnonzero(inside)
+        edge_in = bool(len(own)) and lo <= edges < hi
+        keys = np.append(own[at], np.uint64(edges)) if edge_in else own[at]
+        self.pairs, number, _, _ = _numbered(keys)
+        self.own_at, self.own = at, number[: len(at)]
+        if not words:
+            return
+        of = np.full(len(own) + 1, -1)
+        of[at + 1] = self.own
+        ctx = np.where(first, number[-1] if edge_in else -1, of[:-1])
+        self.ctx_at = np.flatnonzero(ctx >= 0)
+        self.ctx = ctx[self.ctx_at]
+        self.tri, self.tri_of, order, head = _numbered((self.ctx.astype(np.uint64) << np.uint64(32)) | _short(w[self.ctx_at]))
+        self.n = np.add.reduceat(learnt[self.ctx_at][order].astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
+        some = learnt[at]
+        back = np.sort((self.own[some].astype(np.uint64) << np.uint64(32)) | _short(u[at][some]))
         self.back = back[_distinct(back)[0]]
 
     def rows(self, starts: np.ndarray, first: int, slice_: int) -> Iterator[tuple]:
@@ -362,8 +378,8 @@ def _exchange(asked: DataFrame, shards: int, meet, folder: str) -> dict[int, np.
     return stats
 
 
-def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD) -> DataFrame:
-    """(doc_id, lang, n_words, log_perplexity) of every row."""
+def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD, used: list[str] | None = None) -> DataFrame:
+    """(doc_id, lang, n_words, log_perplexity) of every row; used gets the folders that the result reads."""
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), F.col("text"))
     ids = trusted_ids(labels, fold).where("NOT held")
@@ -374,17 +390,23 @@ def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD) -> DataFram
     plan = Plan(docs.select(F.sum(F.octet_length("text"))).first()[0] or 0, common.parts(spark))
     bits, starts, w_starts = plan.bits, plan.starts(plan.pairs, plan.bits), plan.starts(plan.words, 48)
     pair_folder, word_folder = common.scratch(spark, "pairs"), common.scratch(spark, "words")
+    if used is not None:
+        used += [pair_folder, word_folder]
+
+    edges = int(pair_key(np.array([_EDGE]), np.array([_EDGE]), bits)[0])
 
     def keyed(part: pa.RecordBatch, raw: list[bytes]) -> tuple:
         w, u, v, h = contexts(raw)
-        return w, u, v, h, pair_key(u, v, bits), pair_key(v, h, bits), part.column(3).to_numpy(zero_copy_only=False)[w.doc]
+        first = np.zeros(len(h), bool)
+        first[w.first[:-1][w.n > 0]] = True
+        return w, v, h, pair_key(v, h, bits), first, u, part.column(3).to_numpy(zero_copy_only=False)[w.doc]
 
     def ask_pairs(first: int, last: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out() -> Iterator[tuple]:
                 for number, part, raw, check in _slices(batches):
-                    _, u, _, h, ctx, own, learnt = keyed(part, raw)
-                    p = Pairs(ctx, own, u, h, learnt, int(starts[first]), int(starts[last]))
+                    _, _, h, own, begins, u, learnt = keyed(part, raw)
+                    p = Pairs(own, begins, edges, u, h, learnt, int(starts[first]), int(starts[last]))
                     for row in p.rows(starts[first : last + 1], first, number):
                         yield *row[:4], [*row[4], check.to_bytes(8, "little")]
 
@@ -398,22 +420,20 @@ def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD) -> DataFram
         for key, n in _exchange(ask_pairs(k * step, (k + 1) * step), step, _meet_pairs, pair_folder).items():
             stats[key] = stats.get(key, 0) + n
 
-    def whole(part: pa.RecordBatch, raw: list[bytes], number: int, check: int, answers: dict) -> tuple:
-        w, u, v, h, ctx, own, learnt = keyed(part, raw)
-        return w, u, v, h, own, learnt, Pairs(ctx, own, u, h, learnt, 0, 1 << bits), _of(answers, number, check, 7)
-
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             answers = _answers(pair_folder)
             for number, part, raw, check in _slices(batches):
-                _, _, v, h, _, learnt, p, (_, _, _, _, ends, mine, _) = whole(part, raw, number, check, answers)
+                _, v, h, own, begins, u, learnt = keyed(part, raw)
+                p = Pairs(own, begins, edges, u, h, learnt, 0, 1 << bits, words=False)
+                _, _, _, _, ends, mine, _ = _of(answers, number, check, 7)
                 words = np.unique(np.append(h, _EDGE)) if len(h) else h
                 # One occurrence of each pair that this slice owns.
-                at = np.full(len(p.pairs), -1)
-                at[p.own] = np.arange(len(p.own))
+                at = np.zeros(len(p.pairs), np.int64)
+                at[p.own] = p.own_at
                 some = at[mine.astype(bool)]
                 n = ends[mine.astype(bool)]
-                a, b = (np.searchsorted(words, x[p.own_at[some]]) for x in (v, h))
+                a, b = (np.searchsorted(words, x[some]) for x in (v, h))
                 sums = [np.bincount(a, x, len(words)) for x in (n, n == 1, n == 2, n >= 3)] + [np.bincount(b, minlength=len(words))]
                 cut = np.searchsorted(words, w_starts)
                 for k in np.flatnonzero(np.diff(cut)):
@@ -431,17 +451,17 @@ def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD) -> DataFram
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, words_ = _answers(pair_folder), _answers(word_folder)
         for number, part, raw, check in _slices(batches):
-            w, _, v, h, _, _, p, (c, c1, c2, c3, ends, _, n3) = whole(part, raw, number, check, pairs)
+            w, _, h, own, begins, u, learnt = keyed(part, raw)
+            p = Pairs(own, begins, edges, u, h, learnt, 0, 1 << bits)
+            c, c1, c2, c3, ends, _, n3 = _of(pairs, number, check, 7)
             value = pa.nulls(len(raw), pa.float64())
             if total:
                 s, s1, s2, s3, k = _of(words_, number, check, 5)
-                words = np.unique(np.append(h, _EDGE)) if len(h) else h
-                n = len(h)
-                own, ctx = np.empty(n, np.int64), np.empty(n, np.int64)
-                own[p.own_at], ctx[p.ctx_at] = p.own, p.ctx
-                tri = np.empty(n, np.int64)
-                tri[p.ctx_at] = np.searchsorted(p.tri, p.tri_of)
-                at_w, at_v = np.searchsorted(words, h), np.searchsorted(words, v)
+                # Every pair, context and word of the slice is in the range; the word before is the edge at a text's start.
+                _, of, _, _ = _numbered(np.append(h, _EDGE) if len(h) else h)
+                at_w = of[: len(h)]
+                at_v = np.where(begins, of[-1] if len(h) else 0, np.append(0, at_w[:-1]) if len(h) else at_w)
+                own, ctx, tri = p.own, p.ctx, p.tri_of
                 low = np.maximum(k - _cut(k, d1), 0) / total + unseen
                 share = np.where(s > 0, s, 1)
                 left2 = np.where(s > 0, (d2[0] * s1 + d2[1] * s2 + d2[2] * s3) / share, 1.0)
@@ -463,7 +483,10 @@ def _quantile(rows: DataFrame, name: str) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, perplexity, threshold, kept)."""
-    found = common.written(perplexity(docs, labels), "perplexities").withColumn("short", F.col("n_words") < SHORT)
+    used: list[str] = []
+    found = common.written(perplexity(docs, labels, used=used), "perplexities").withColumn("short", F.col("n_words") < SHORT)
+    for folder in used:
+        common.remove(docs.sparkSession, folder)
     held = found.join(common.sized(trusted_ids(labels).where("held")), F.col("doc_id") == F.col("trusted"), "left_semi")
     own, every = _quantile(held, "own"), _quantile(found, "every")
     same = every["of"].eqNullSafe(own["of"]) & (every["brief"] == own["brief"])

@@ -127,3 +127,16 @@ def test_every_histogram_is_placed_exactly():
                 for a, k in pattern:
                     placed[a] += count * k
             assert dict(placed) == hist
+
+
+def test_word_hashes_do_not_depend_on_the_way(monkeypatch):
+    from presswork.llm import common
+
+    rnd = random.Random(4)
+    raw = [" ".join("".join(rnd.choices("abé𝒳z", k=rnd.randrange(1, 30))) for _ in range(rnd.randrange(40))).encode() for _ in range(30)] + [b"", b" ", b"abc"]
+    w = common.Words(raw)
+    fast = [common.word_hashes(w, second) for second in (False, True)]
+    alone = [common.word_hashes(common.Words([x]), False) for x in raw]
+    assert np.concatenate(alone).tolist() == fast[0].tolist()
+    monkeypatch.setattr(common, "PREFIX_BYTES", 0)
+    assert all((common.word_hashes(w, k == 1) == x).all() for k, x in enumerate(fast)) and (fast[0] != fast[1]).all()
