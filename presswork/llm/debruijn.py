@@ -58,7 +58,7 @@ COUNTERS = 1 << 14
 #: A counter is hot beyond this many times the mean, and beyond HOT_LEAST paths.
 HOT_TIMES, HOT_LEAST = 8, 2000
 BLOOM_WORDS = 1 << 20
-BUCKETS_A_PARTITION, PATHS_A_BUCKET = 4, 1 << 18
+BUCKETS_A_PARTITION, PATHS_A_BUCKET, NODES_A_BUCKET = 4, 1 << 18, 1 << 20
 #: Copies of a source interval beyond which they are salted.
 HOT_ROWS = 2000
 SLICE = 1 << 20
@@ -433,7 +433,8 @@ def compacted(rows: DataFrame) -> DataFrame:
 
 def verified_by(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, mark, spans): every document's spans with the second hashes of their sources' windows, and their paths."""
-    rows = common.durable(graph(docs, spans, common.parts(docs.sparkSession) * BUCKETS_A_PARTITION))
+    windows = spans.agg(F.sum("windows")).first()[0] or 0
+    rows = common.durable(graph(docs, spans, max(common.parts(docs.sparkSession) * BUCKETS_A_PARTITION, -(-windows // NODES_A_BUCKET))))
     common.release(docs.sparkSession)
     of = spans.groupBy(*SOURCE, "src_start", "windows").agg(F.count(F.lit(1)).alias("copies"))
     salts = F.ceil(F.col("copies") / HOT_ROWS).cast("int")

@@ -122,6 +122,9 @@ def train(raw: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, float, float
     tokens = [np.fromiter((number.setdefault(w, len(number)) for w in x.translate(bytes(_FOLD)).split()), np.int32) for x in raw]
     keep = [k for k, t in enumerate(tokens) if len(t)]
     y = toxic[keep].astype(np.float64)
+    odds = float(np.log(toxic.mean() / (1 - toxic.mean())))
+    if not keep or y.min() == y.max():  # one class has no words to learn from
+        return np.zeros(BUCKETS, np.float32), odds, odds
     tokens = [tokens[k] for k in keep]
     grams, count = _gram_lists(list(number))
     at = np.cumsum(count) - count
@@ -161,7 +164,7 @@ def train(raw: list[bytes], toxic: np.ndarray) -> tuple[np.ndarray, float, float
             a += 0.1 * (grad - a)
             b += 0.001 * (grad * grad - b)
             param -= RATE * (a / (1 - 0.9**epoch)) / (np.sqrt(b / (1 - 0.999**epoch)) + 1e-8)
-    return (emb @ (top[:, 1] - top[:, 0])).astype(np.float32), float(bias[1] - bias[0]), float(np.log(toxic.mean() / (1 - toxic.mean())))
+    return (emb @ (top[:, 1] - top[:, 0])).astype(np.float32), float(bias[1] - bias[0]), odds
 
 
 def _within(sizes: list[int], limit: int) -> list[bool]:

@@ -93,6 +93,13 @@ def test_unseen_misspellings_are_toxic_and_clean_words_are_not():
     assert (toxicity.margins(odd, *model) > 0).all() and (toxicity.margins(fine, *model) < 0).all()
 
 
+def test_training_without_words_or_classes():
+    for raw, toxic in (([], []), ([b"a"], [True]), ([b"", b" "], [True, False]), ([b"", b"a b"], [True, False])):
+        model = toxicity.train(raw, np.array(toxic, bool))
+        m = toxicity.margins([b"", b"any words", b"x" * 3_000_000], *model)
+        assert np.isfinite(m).all() and (m == m[0]).all()
+
+
 def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
     assert toxicity._within([5, 9, 3, 2, 1], 10) == [True, False, True, True, False]
     docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * 10 + "x" * (10**6 if i == 1 else 0)) for i in range(60)], "doc_id long, text string")
