@@ -64,9 +64,9 @@ def claim_many(work: DataFrame, workers: int, now: Column, lease_seconds: int, l
 def rebuild(records: DataFrame, work: DataFrame, now: Column) -> DataFrame:
     """work with a fresh row for all that is missing; new ids lie above the largest, by article."""
     lost = missing(records, work)
-    top = work.agg(F.coalesce(F.max("work_id"), F.lit(0))).first()[0]
+    top = work.agg(F.coalesce(F.max("work_id"), F.lit(0))).scalar()
     # Ids need no single-task ranking: an article owes one stage at most, so its id is unique.
-    rows = lost.select((F.lit(top + 1) + F.col("article_id")).alias("work_id"), "article_id", "stage")
+    rows = lost.select((top + 1 + F.col("article_id")).alias("work_id"), "article_id", "stage")
     cols = [F.col(c) if c in rows.columns else now.alias(c) if c == "next_attempt_at" else F.lit(0).alias(c) if c == "attempts" else F.lit(None).cast(work.schema[c].dataType).alias(c) for c in work.columns]
     return work.unionByName(rows.select(*cols))
 
