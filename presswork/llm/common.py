@@ -160,7 +160,7 @@ _ODD_2 = np.uint64(0xA0761D6478BD642F)
 
 
 #: Longest buffer that is hashed by prefix sums; longer ones go word by word.
-PREFIX_BYTES = 1 << 23
+PREFIX_BYTES = 1 << 22
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

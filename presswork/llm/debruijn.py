@@ -45,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -478,33 +479,50 @@ def _intervals(doc: int, mark: int, rows: list[list]) -> pa.RecordBatch:
     )
 
 
-def _verified(raw: list[bytes], spans: list[list[dict] | None]) -> list[tuple[list[bytes], np.ndarray, int, int]]:
-    """For each text its words, which of them stay, and the numbers of spans and of paths."""
+def _lengths(column: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _verified(raw: list[bytes], spans: pa.Array) -> tuple[common.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, which of them stay, spans a text, paths a text), for all texts at once."""
     words = common.Words(raw)
     _, check = _node_hashes(words)
-    out = []
-    for k, (x, own) in enumerate(zip(raw, spans)):
+    n = len(raw)
+    flat = spans.flatten()
+    start, checks, cuts = (flat.field(k) for k in range(3))
+    sizes = pc.binary_length(checks).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    base = np.cumsum(sizes) - sizes
+    total = int(sizes.sum())
+    doc = np.repeat(np.repeat(np.arange(n), _lengths(spans)), sizes)
+    at = np.repeat(start.to_numpy(zero_copy_only=False).astype(np.int64) - base, sizes) + np.arange(total)
+    good = check[words.first[doc] + at] == np.frombuffer(b"".join(checks.to_pylist()), "<u8") if total else np.zeros(0, bool)
+    cut = cuts.flatten()
+    place = np.repeat(base, _lengths(cuts)) + cut.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    path = np.repeat(cut.field(1).to_numpy(zero_copy_only=False).astype(np.int64), np.diff(np.append(place, total)))
+    brk = np.zeros(total, bool)
+    brk[place[cut.field(2).to_numpy(zero_copy_only=False).astype(bool)]] = True
+    doc, at, path, brk = doc[good], at[good], path[good], brk[good]
+    _, first = np.unique((doc << 32) | at, return_index=True)
+    doc, at, path, brk = doc[first], at[first], path[first], brk[first]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | brk[1:]
+    order = np.lexsort((path, doc))
+    d, p = doc[order], path[order]
+    other = np.ones(len(d), bool)
+    other[1:] = (d[1:] != d[:-1]) | (p[1:] != p[:-1])
+    gone = np.zeros(len(words.start) + 1, np.int32)
+    np.add.at(gone, words.first[doc] + at, 1)
+    np.add.at(gone, words.first[doc] + at + WINDOW, -1)
+    return words, np.cumsum(gone[:-1]) == 0, np.bincount(doc[new], minlength=n), np.bincount(d[other], minlength=n)
+
+
+def _kept(raw: list[bytes], spans: pa.Array) -> Iterator[tuple[list[bytes], list[bytes], int, int]]:
+    """(words, words that stay, spans, paths) of each text."""
+    words, stay, n_spans, n_paths = _verified(raw, spans)
+    for k, x in enumerate(raw):
         mine = x.split()
-        if not own:
-            out.append((mine, np.ones(len(mine), bool), 0, 0))
-            continue
-        sizes = np.array([len(s["checks"]) // 8 for s in own])
-        base = np.cumsum(sizes) - sizes
-        start = np.repeat(np.array([s["start"] for s in own]) - base, sizes) + np.arange(int(sizes.sum()))
-        good = check[words.first[k] + start] == np.frombuffer(b"".join(s["checks"] for s in own), "<u8")
-        cuts = [(b + c["at"], c["path"], c["brk"]) for b, s in zip(base.tolist(), own) for c in s["cuts"]]
-        at = np.array([c[0] for c in cuts])
-        path = np.repeat(np.array([c[1] for c in cuts], np.int64), np.diff(np.append(at, len(start))))
-        brk = np.zeros(len(start), bool)
-        brk[at[[c[2] for c in cuts]]] = True
-        start, first = np.unique(start[good], return_index=True)
-        path, brk = path[good][first], brk[good][first]
-        new = np.append(True, (start[1:] != start[:-1] + 1) | brk[1:]) if len(start) else brk
-        gone = np.zeros(len(mine) + 1, np.int32)
-        np.add.at(gone, start, 1)
-        np.add.at(gone, start + WINDOW, -1)
-        out.append((mine, np.cumsum(gone[:-1]) == 0, int(new.sum()), len(np.unique(path))))
-    return out
+        keep = stay[words.first[k] : words.first[k + 1]].tolist()
+        yield mine, [w for w, s in zip(mine, keep) if s] if n_spans[k] else mine, int(n_spans[k]), int(n_paths[k])
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -522,38 +540,39 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spans, ids = repeats(docs)
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
 
+    def sift(part: pa.RecordBatch) -> np.ndarray:
+        word, bit = _bloom_places(part.column(0).fill_null(0).to_numpy(), len(shared.value))
+        return _usable(part) & ((shared.value[word.astype(np.int64)] & bit) == bit).all(0)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents without repeats need no join."""
+        for part in common.slices(batches, limit=SLICE):
+            part = part.filter(pa.array(~sift(part)))
+            raw = common.texts(part.column(1))
+            words = [x.split() for x in raw]
+            zero = np.zeros(len(raw), np.int64)
+            sha = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+            yield common.record(doc_id=part.column(0), mark=pa.array([zlib.crc32(x) for x in raw], pa.int64()), n_words=pa.array([len(w) for w in words], pa.int64()), n_removed=zero, n_spans=zero, n_paths=zero, kept_sha256=pa.array(sha, pa.string()), kept=pa.nulls(len(raw), pa.string()))
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = shared.value
         for part in common.slices(batches, limit=SLICE):
+            part = part.filter(pa.array(sift(part)))
             raw = common.texts(part.column(1))
-            word, bit = _bloom_places(part.column(0).fill_null(0).to_numpy(), len(bloom))
-            maybe = _usable(part) & ((bloom[word.astype(np.int64)] & bit) == bit).all(0)
-            sha, texts, n = [], [], []
-            for x, m in zip(raw, maybe.tolist()):
-                words = x.split()
-                n.append(len(words))
-                sha.append(None if m else hashlib.sha256(b" ".join(words)).hexdigest())
-                texts.append(x if m else None)
-            yield common.record(doc_id=part.column(0), mark=pa.array(map(zlib.crc32, raw), pa.int64()), n_words=n, sha=pa.array(sha, pa.string()), raw=pa.array(texts, pa.binary()))
+            yield common.record(doc_id=part.column(0), mark=pa.array([zlib.crc32(x) for x in raw], pa.int64()), raw=pa.array(raw, pa.binary()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, 4, SLICE):
-            sha, raw = batch.column(3).to_pylist(), common.texts(batch.column(4))
-            removed, n_spans, n_paths, kept = [], [], [], []
-            for k, (words, stay, n, paths) in enumerate(_verified(raw, batch.column(5).to_pylist())):
-                text = b" ".join([w for w, s in zip(words, stay.tolist()) if s])
-                removed.append(int(len(words) - stay.sum()))
-                n_spans.append(n)
-                n_paths.append(paths)
-                kept.append(text.decode() if n else None)
-                sha[k] = sha[k] or hashlib.sha256(text).hexdigest()
-            yield common.record(doc_id=batch.column(0), mark=batch.column(1), n_words=batch.column(2), n_removed=removed, n_spans=n_spans, n_paths=n_paths, kept_sha256=sha, kept=pa.array(kept, pa.string()))
-
-    looked = common.map_arrow(_rows(docs), look, "doc_id long, mark long, n_words long, sha string, raw binary")
-    # Most documents have no repeat: they need no join.
-    joined = looked.where("raw IS NOT NULL").join(spans, ["doc_id", "mark"], "left").select("doc_id", "mark", "n_words", "sha", "raw", "spans")
-    clean = looked.where("raw IS NULL").select("doc_id", "mark", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit(0).cast("long").alias("n_paths"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-    return clean.unionByName(common.map_arrow(joined, cut, "doc_id long, mark long, n_words long, n_removed long, n_spans long, n_paths long, kept_sha256 string, kept string"))
+        for batch in common.slices(batches, 2, SLICE):
+            out: list[list] = [[] for _ in range(6)]
+            for words, stay, n, paths in _kept(common.texts(batch.column(2)), batch.column(3)):
+                text = b" ".join(stay)
+                for o, v in zip(out, (len(words), len(words) - len(stay), n, paths, hashlib.sha256(text).hexdigest(), text.decode() if n else None)):
+                    o.append(v)
+            kinds = (*[pa.int64()] * 4, pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(o, t) for o, t in zip(out, kinds))], ["doc_id", "mark", "n_words", "n_removed", "n_spans", "n_paths", "kept_sha256", "kept"])
+
+    schema = "doc_id long, mark long, n_words long, n_removed long, n_spans long, n_paths long, kept_sha256 string, kept string"
+    joined = common.map_arrow(_rows(docs), look, "doc_id long, mark long, raw binary").join(spans, ["doc_id", "mark"], "left").select("doc_id", "mark", "raw", "spans")
+    return common.map_arrow(_rows(docs), plain, schema).unionByName(common.map_arrow(joined, cut, schema))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -578,7 +597,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1, SLICE):
             texts = batch.column(1)
-            new = [b" ".join([w for w, s in zip(words, stay.tolist()) if s]).decode() if n else None for words, stay, n, _ in _verified(common.texts(texts), batch.column(2).to_pylist())]
+            new = [b" ".join(stay).decode() if n else None for _, stay, n, _ in _kept(common.texts(texts), batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([y if y is not None else x for x, y in zip(texts.to_pylist(), new)], pa.string())], ["row", "kept"])
 
     schema = docs.select(whole).schema["row"].dataType.simpleString()

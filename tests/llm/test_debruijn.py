@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from presswork.llm import debruijn as m
@@ -94,11 +95,11 @@ def test_windows_with_equal_fingerprints_but_other_words_stay(spark, monkeypatch
     check = m._node_hashes(m.common.Words([raw]))[1][:8]
     wrong = check.copy()
     wrong[3] += np.uint64(1)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("checks", pa.binary()), ("cuts", pa.list_(pa.struct([("at", pa.int32()), ("path", pa.int64()), ("brk", pa.bool_())])))]))
     span = lambda start, x: [{"start": start, "checks": x.tobytes(), "cuts": [{"at": 0, "path": 7, "brk": False}]}]
-    (_, stay, n, _), (_, every, one, paths) = m._verified([raw, raw], [span(0, wrong), span(0, check)])
-    assert n == 2 and one == paths == 1 and not every.any() and not stay.any()
-    ((_, stay, n, _),) = m._verified([raw], [span(3, wrong[3:4])])
-    assert n == 0 and stay.all()
+    words, stay, spans, paths = m._verified([raw, raw, raw, raw], pa.array([span(0, wrong), None, span(0, check), span(3, wrong[3:4])], kind))
+    assert spans.tolist() == [2, 0, 1, 0] and paths.tolist() == [1, 0, 1, 0]
+    assert [int(stay[a:b].sum()) for a, b in zip(words.first, words.first[1:])] == [0, 20, 0, 20]
 
 
 def test_cut_repeats_keeps_columns_nulls_and_long_texts(spark):
