@@ -59,7 +59,7 @@ FOLD = 8
 QUANTILE, STEPS = 0.99, 10_000
 #: Documents under so many words have less steady perplexities and thresholds of their own.
 SHORT = 20
-SLICE = 2 << 20
+SLICE = 3 << 20
 #: Ranges of pairs that are exchanged one after the other, and bytes of text a shard of pairs or words.
 PASSES, BYTES_A_SHARD = 4, 16 << 20
 #: Folders of answers; a task reads one of them.
@@ -117,14 +117,6 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return head, np.append(head[1:], len(x))
 
 
-def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where x stands in a sorted table of distinct values, whether it does)."""
-    if not len(table):
-        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
-    return at, table[at] == x
-
-
 def discounts(found: dict[int, int]) -> tuple[float, float, float]:
     """The three discounts of modified Kneser-Ney from the counts of counts."""
     n1, n2, n3, n4 = (found.get(k, 0) for k in (1, 2, 3, 4))
@@ -281,12 +273,25 @@ def _answers(folder: str) -> dict[int, list[dict]]:
     return {k: sorted(v, key=lambda r: r["shard"]) for k, v in out.items()}
 
 
-def _of(answers: dict[int, list[dict]], number: int, check: int, kinds: int) -> list[np.ndarray]:
-    """The answers of a slice, each kind in one row of numbers."""
+def _rows_of(answers: dict[int, list[dict]], number: int, check: int) -> list[list[bytes]]:
+    """The answers to a slice, in order of shards."""
     rows = answers.get(number, [])
     if any(r["check"] != check for r in rows):
         raise RuntimeError("the documents came in another order than when they were counted; write them to a table first")
-    return [np.concatenate([np.zeros(0, np.uint32), *(_numbers(r["values"][k]) for r in rows)]).astype(np.int64) for k in range(kinds)]
+    return [r["values"] for r in rows]
+
+
+def _of_pairs(answers: dict[int, list[dict]], number: int, check: int) -> list[np.ndarray]:
+    """For the pairs of a slice: context sum, words after once, twice, more often, words before, whether owned; then the trigrams' counts."""
+    rows = _rows_of(answers, number, check)
+    pairs = np.concatenate([np.zeros((6, 0), np.uint32), *(_untuples(v[0], v[1], 6) for v in rows)], axis=1).astype(np.int64)
+    return [*pairs, np.concatenate([np.zeros(0, np.uint32), *(_numbers(v[2]) for v in rows)]).astype(np.int64)]
+
+
+def _of_words(answers: dict[int, list[dict]], number: int, check: int) -> list[np.ndarray]:
+    """For the words of a slice: pairs' sums that begin with it and how many are one, two, more; pairs that end in it."""
+    rows = _rows_of(answers, number, check)
+    return list(np.concatenate([np.zeros((5, 0), np.uint32), *(_untuples(v[0], v[1], 5) for v in rows)], axis=1).astype(np.int64))
 
 
 def _stats(n: np.ndarray) -> np.ndarray:
@@ -294,47 +299,53 @@ def _stats(n: np.ndarray) -> np.ndarray:
     return np.array([*((n == c).sum() for c in (1, 2, 3, 4)), (n >= 3).sum(), (n > 0).sum(), n.sum()], np.int64)
 
 
+def _tuples(columns: list[np.ndarray]) -> list[bytes]:
+    """Columns of small numbers that go together, as the distinct tuples and the number of each row's tuple."""
+    key = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        key = common.mix(key * _A + c.astype(np.uint64))
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    return [_pack(np.concatenate([c[first] for c in columns]).astype("<u4")), _pack(number.astype("<u4"))]
+
+
+def _untuples(table: bytes, number: bytes, columns: int) -> np.ndarray:
+    """The columns, as rows of a matrix."""
+    return _numbers(table).reshape(columns, -1)[:, _numbers(number)]
+
+
 def _meet_pairs(own: list[tuple]) -> Iterator[tuple]:
     """The answers of one shard of pairs to each slice, and its counts of counts (part -1: of trigrams, -2: of pairs)."""
-    rows = []
-    for _, number, _, keys, (n_tri, tri, n, n_back, back) in own:
-        rows.append((number, _keys(keys), *(_numbers(x).astype(np.int64) for x in (n_tri, tri, n, n_back, back))))
-    known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k[(np.add.reduceat(np.append(n, 0), np.append(0, np.cumsum(nt)[:-1])) > 0) | (nb > 0)] if len(k) else k for _, k, nt, _, n, nb, _ in rows)]))
-
-    def joined(keys: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at, ok = _place(known, keys)
-        return (np.repeat(at, sizes).astype(np.uint64) << np.uint64(32)) | words.astype(np.uint64), np.repeat(ok, sizes)
-
-    three, count, before = [], [], []
-    for _, keys, n_tri, tri, n, n_back, back in rows:
-        x, _ = joined(keys, n_tri, tri)
-        three.append(x[n > 0])
-        count.append(n[n > 0])
-        before.append(joined(keys, n_back, back)[0])
-    three, count, before = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((three, np.uint64), (count, np.int64), (before, np.uint64)))
-    order = np.argsort(three)
-    three = three[order]
-    head, _ = _distinct(three)
-    n3 = np.add.reduceat(count[order], head) if len(head) else np.zeros(0, np.int64)
-    three = three[head]
-    of = (three >> np.uint64(32)).astype(np.int64)
-    size = len(known)
+    keys = [_keys(r[3]) for r in own]
+    n_tri, tri, n, n_back, back = (np.concatenate([_numbers(r[4][k]) for r in own]).astype(np.int64) for k in range(5))
+    sizes = [len(k) for k in keys]
+    keys = np.concatenate(keys)
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    pair = np.empty(len(keys), np.int64)
+    pair[order] = np.cumsum(new) - 1
+    size = int(new.sum())
+    triple = (np.repeat(pair, n_tri).astype(np.uint64) << np.uint64(32)) | tri.astype(np.uint64)
+    values, number, by, head = _numbered(triple)
+    n3 = np.add.reduceat(n[by], head) if len(head) else np.zeros(0, np.int64)
+    of = (values >> np.uint64(32)).astype(np.int64)
     sums = [np.bincount(of, x, size).astype(np.int64) for x in (n3, n3 == 1, n3 == 2, n3 >= 3)]
-    ends = np.bincount((np.unique(before) >> np.uint64(32)).astype(np.int64), minlength=size)
+    before = np.unique((np.repeat(pair, n_back).astype(np.uint64) << np.uint64(32)) | back.astype(np.uint64))
+    ends = np.bincount((before >> np.uint64(32)).astype(np.int64), minlength=size)
     yield -1, 0, 0, 0, [_pack(_stats(n3).astype("<i8"))]
     yield -2, 0, 0, 0, [_pack(_stats(ends).astype("<i8"))]
-    free = np.ones(size, bool)
-    for number, keys, n_tri, tri, n, n_back, back in rows:
-        at, ok = _place(known, keys)
-        x, fits = joined(keys, n_tri, tri)
-        t, found = _place(three, x)
-        mine = np.zeros(len(keys), bool)
-        some = np.flatnonzero(n_back > 0)
-        mine[some] = free[at[some]]
-        free[at[some]] = False
-        look = lambda table, at=at, ok=ok: np.where(ok, table[at] if size else 0, 0)
-        values = [*(look(s) for s in sums), look(ends), mine, np.where(found & fits, n3[t] if len(n3) else 0, 0)]
-        yield number >> 32, number, own[0][0], 0, [_pack(v.astype("<u4")) for v in values]
+    # The first slice that has a pair in trusted text owns it.
+    mine = np.zeros(len(keys), np.int64)
+    some = np.flatnonzero(n_back > 0)
+    mine[some[np.unique(pair[some], return_index=True)[1]]] = 1
+    columns = [*(x[pair] for x in (*sums, ends)), mine]
+    counts = n3[number] if len(n3) else n3
+    a = t = 0
+    upto = np.append(0, np.cumsum(n_tri))
+    for row, k in zip(own, sizes):
+        b, u = a + k, int(upto[a + k])
+        yield row[1] >> 32, row[1], row[0], 0, [*_tuples([c[a:b] for c in columns]), _pack(counts[t:u].astype("<u4"))]
+        a, t = b, u
 
 
 def _meet_words(own: list[tuple]) -> Iterator[tuple]:
@@ -349,7 +360,7 @@ def _meet_words(own: list[tuple]) -> Iterator[tuple]:
     yield -3, 0, 0, 0, [_pack(_stats(sums[4]).astype("<i8"))]
     for number, keys, _ in rows:
         at = np.searchsorted(known, keys)
-        yield number >> 32, number, own[0][0], 0, [_pack(s[at].astype("<u4")) for s in sums]
+        yield number >> 32, number, own[0][0], 0, _tuples([s[at] for s in sums])
 
 
 def _exchange(asked: DataFrame, shards: int, meet, folder: str) -> dict[int, np.ndarray]:
@@ -426,7 +437,7 @@ def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD, used: list[
             for number, part, raw, check in _slices(batches):
                 _, v, h, own, begins, u, learnt = keyed(part, raw)
                 p = Pairs(own, begins, edges, u, h, learnt, 0, 1 << bits, words=False)
-                _, _, _, _, ends, mine, _ = _of(answers, number, check, 7)
+                _, _, _, _, ends, mine, _ = _of_pairs(answers, number, check)
                 words = np.unique(np.append(h, _EDGE)) if len(h) else h
                 # One occurrence of each pair that this slice owns.
                 at = np.zeros(len(p.pairs), np.int64)
@@ -453,10 +464,10 @@ def perplexity(docs: DataFrame, labels: DataFrame, fold: int = FOLD, used: list[
         for number, part, raw, check in _slices(batches):
             w, _, h, own, begins, u, learnt = keyed(part, raw)
             p = Pairs(own, begins, edges, u, h, learnt, 0, 1 << bits)
-            c, c1, c2, c3, ends, _, n3 = _of(pairs, number, check, 7)
+            c, c1, c2, c3, ends, _, n3 = _of_pairs(pairs, number, check)
             value = pa.nulls(len(raw), pa.float64())
             if total:
-                s, s1, s2, s3, k = _of(words_, number, check, 5)
+                s, s1, s2, s3, k = _of_words(words_, number, check)
                 # Every pair, context and word of the slice is in the range; the word before is the edge at a text's start.
                 _, of, _, _ = _numbered(np.append(h, _EDGE) if len(h) else h)
                 at_w = of[: len(h)]
