@@ -6,6 +6,8 @@ memory follows the slice (or the one longest document), never the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -15,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,7 +103,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = SLIC
         n = batch.num_rows
         if not n:
             continue
-        ends = np.cumsum(np.fromiter((len(x) if x is not None else 0 for x in as_bytes(batch.column(column))), np.int64, n))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < n:
             before = ends[at - 1] if at else 0
@@ -159,8 +162,8 @@ _BYTE_2 = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 _ODD_2 = np.uint64(0xA0761D6478BD642F)
 
 
-#: Longest buffer that is hashed by prefix sums; longer ones go word by word.
-PREFIX_BYTES = 1 << 22
+#: Bytes that are hashed at once by prefix sums; a longer word goes in blocks.
+PREFIX_BYTES = 1 << 18
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -177,23 +180,41 @@ def _powers(odd: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(w: Words, second: bool = False) -> np.ndarray:
     """A 64-bit hash of each word's bytes, by a polynomial over random byte values; ``second`` is an independent one."""
     byte, odd = (_BYTE_2, _ODD_2) if second else (_BYTE, _ODD)
-    if not len(w.start):
-        return np.zeros(0, np.uint64)
     lens = w.end - w.start
-    n = len(w.buf)
-    if n <= PREFIX_BYTES:
-        power, back = _powers(odd, n)
-        upto = np.cumsum(byte[w.buf] * power[:n], dtype=np.uint64)
-        return mix((upto[w.end - 1] - np.where(w.start > 0, upto[w.start - 1], np.uint64(0))) * back[w.start] + lens.astype(np.uint64))
-    power, _ = _powers(odd, int(lens.max()))
-    first = np.cumsum(lens) - lens
-    flat = np.repeat(w.start - first, lens) + np.arange(int(lens.sum()))
-    place = flat - np.repeat(w.start, lens)
-    return mix(np.add.reduceat(byte[w.buf[flat]] * power[place], first) + lens.astype(np.uint64))
+    out = np.empty(len(lens), np.uint64)
+    block = max(PREFIX_BYTES, 64)
+    power, back = _powers(odd, block)
+    at = 0
+    while at < len(out):
+        lo = int(w.start[at])
+        to = int(np.searchsorted(w.end, lo + PREFIX_BYTES, "right"))
+        if to > at:
+            upto = byte[w.buf[lo : w.end[to - 1]]]
+            upto *= power[: len(upto)]
+            np.cumsum(upto, out=upto)
+            start = w.start[at:to] - lo
+            out[at:to] = (upto[w.end[at:to] - lo - 1] - np.where(start > 0, upto[start - 1], np.uint64(0))) * back[start]
+        else:
+            sums = ((k, byte[w.buf[lo + k : min(lo + k + block, w.end[at])]]) for k in range(0, int(lens[at]), block))
+            out[at] = sum(pow(int(odd), k, 1 << 64) * int((x * power[: len(x)]).sum(dtype=np.uint64)) for k, x in sums) & (1 << 64) - 1
+            to = at + 1
+        at = to
+    return mix(out + lens.astype(np.uint64))
+
+
+def give_back() -> None:
+    """Returns the memory that the last task freed to the system; workers stay beside the executor's heap, also while stages run that do not use them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def record(**columns) -> pa.RecordBatch:

@@ -268,14 +268,15 @@ def _answers(folder: str) -> dict[int, list[dict]]:
         return {}
     files = pyarrow.dataset.dataset(path, filesystem=system, format="parquet", exclude_invalid_files=False, ignore_prefixes=[".", "_"])
     out: dict[int, list[dict]] = {}
-    for row in files.to_table(filter=pyarrow.dataset.field("part") == own).to_pylist():
+    found = files.to_batches(filter=pyarrow.dataset.field("part") == own, batch_size=256, batch_readahead=1, fragment_readahead=1, use_threads=False)
+    for row in (r for batch in found for r in batch.to_pylist()):
         out.setdefault(row["slice"], []).append(row)
     return {k: sorted(v, key=lambda r: r["shard"]) for k, v in out.items()}
 
 
 def _rows_of(answers: dict[int, list[dict]], number: int, check: int) -> list[list[bytes]]:
-    """The answers to a slice, in order of shards."""
-    rows = answers.get(number, [])
+    """The answers to a slice, in order of shards; they are read once and not kept."""
+    rows = answers.pop(number, [])
     if any(r["check"] != check for r in rows):
         raise RuntimeError("the documents came in another order than when they were counted; write them to a table first")
     return [r["values"] for r in rows]
