@@ -45,6 +45,8 @@ HOT_BUCKET = 4096
 #: Searches that go down together; bounds the memory of a step.
 BLOCK = 2048
 SLICE = 1 << 20
+#: Shingles whose bits are counted at once; a longer text is counted alone.
+SHINGLES = 1 << 14
 
 # The XXH64 primes (fixed values of the hash).
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
@@ -119,10 +121,17 @@ def fingerprints(raw: list[bytes], size: int = 3) -> np.ndarray:
     j = np.minimum(i + size, w.first[1:][who]) - 1
     h = xxh64(flat, to[i], to[j] + lens[j] - to[i])
     has = np.flatnonzero(count)
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.add.reduceat(bits, base[has], axis=0, dtype=np.int32)
-    over = (2 * sums > count[has][:, None]).astype(np.uint8)
-    out[has] = np.packbits(over, axis=1).view(">u8")[:, 0]
+    ends = (base + count)[has]
+    at = 0
+    while at < len(has):  # a shingle takes some 320 bytes as separate bits and their sums
+        lo = base[has[at]]
+        to = max(at + 1, int(np.searchsorted(ends, lo + SHINGLES, "right")))
+        some = has[at:to]
+        bits = np.unpackbits(h[lo : ends[to - 1]].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.add.reduceat(bits, base[some] - lo, axis=0, dtype=np.int32)
+        over = (2 * sums > count[some][:, None]).astype(np.uint8)
+        out[some] = np.packbits(over, axis=1).view(">u8")[:, 0]
+        at = to
     return out
 
 

@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from presswork.llm import common, kneser_ney
+from presswork.llm import common, kneser_ney, simhash_gray
 
 
 def _texts(size):
@@ -29,6 +29,19 @@ def test_hashes_of_a_slice_take_a_few_times_its_bytes():
     assert _peak(lambda: kneser_ney.contexts(raw)) < 15 * sum(map(len, raw))
 
 
+def test_fingerprints_of_a_slice_do_not_hold_the_bits_of_all_shingles():
+    raw = _texts(1 << 20)
+    assert _peak(lambda: simhash_gray.fingerprints(raw)) < 50 * sum(map(len, raw))
+
+
+def test_fingerprints_do_not_depend_on_the_block(monkeypatch):
+    raw = [*_texts(20_000), b"", b"one", b"one two", b" ", b"a b c d"]
+    whole = simhash_gray.fingerprints(raw)
+    for size in (1, 2, 300):
+        monkeypatch.setattr(simhash_gray, "SHINGLES", size)
+        assert simhash_gray.fingerprints(raw).tolist() == whole.tolist()
+
+
 def test_a_worker_gives_back_what_a_task_freed(spark):
     def report(hold):
         def run(batches):
