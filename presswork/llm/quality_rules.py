@@ -31,8 +31,9 @@ empty table gives an empty table; extra columns are not read.
 from __future__ import annotations
 
 import math
+import struct
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -104,9 +105,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
     return out
 
 
+def _array(numbers: list[float]) -> Column:
+    """A constant array of which plans show no values: every plan's text stays on the driver, in several copies of them."""
+    jvm = SparkSession.active()._jvm
+    values = SparkSession.active().sparkContext._gateway.new_array(jvm.double, len(numbers))
+    jvm.java.nio.ByteBuffer.wrap(struct.pack(f">{len(numbers)}d", *numbers)).asDoubleBuffer().get(values)
+    catalyst = jvm.org.apache.spark.sql.catalyst.expressions
+    literal = catalyst.Literal(catalyst.UnsafeArrayData.fromPrimitiveArray(values), jvm.org.apache.spark.sql.types.DataType.fromDDL("array<double>"))
+    return Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(literal))
+
+
 def ratio_of(words: Column, fold: Column, model: list[float]) -> Column:
     """The mean log ratio of a text's words and pairs, by the counts of the other folds."""
-    table = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
+    table = _array(model)
     scores = F.transform(words, lambda w, i: F.get(table, _one(w) + fold * BUCKETS) + F.get(table, _two(w, F.get(words, i + 1)) + fold * BUCKETS))
     return F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.greatest(2 * F.size(words), F.lit(1))
 

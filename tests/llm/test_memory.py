@@ -6,7 +6,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from presswork.llm import common, kneser_ney, simhash_gray
+from presswork.llm import common, kneser_ney, quality_rules, simhash_gray
 
 
 def _texts(size):
@@ -68,3 +68,9 @@ def test_a_word_longer_than_a_block_has_the_same_hash(monkeypatch):
     want = common.word_hashes(common.Words(raw))
     monkeypatch.setattr(common, "PREFIX_BYTES", 100)
     assert np.array_equal(common.word_hashes(common.Words(raw)), want)
+
+
+def test_plans_do_not_show_the_model(spark, sf_dir):
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    plan = quality_rules.keep_good(docs, labels)._jdf.queryExecution().toString()
+    assert len(plan) < 100_000
